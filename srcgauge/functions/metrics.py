@@ -20,17 +20,27 @@ def round_to(x: Expr, digits: int, d: Dialect = CORE) -> Expr:
     scale = float(10**digits)
     if d.is_core:
         return F.floor(x * scale + 0.5) / F.lit(scale)
+
     # The product's rounding error is recovered exactly by splitting x in two
     # halves, so ties are judged on the true value.
-    big = x * 134217729.0
-    high = big - (big - x)
-    low = x - high
-    product = x * scale
-    error = (high * scale - product) + low * scale
-    whole = F.floor(product).cast("double")
-    side = (product - whole - 0.5) + error
-    up = (side > 0) | ((side == 0) & (whole % 2 == 1))
-    return (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    def exact(v: Expr) -> Expr:
+        big = v * 134217729.0
+        high = big - (big - v)
+        return let(
+            F.struct(v.alias("v"), high.alias("high"), (v * scale).alias("product")),
+            lambda p: nearest(
+                p["product"],
+                (p["high"] * scale - p["product"]) + (p["v"] - p["high"]) * scale,
+            ),
+        )
+
+    def nearest(product: Expr, error: Expr) -> Expr:
+        whole = F.floor(product).cast("double")
+        side = (product - whole - 0.5) + error
+        up = (side > 0) | ((side == 0) & (whole % 2 == 1))
+        return (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+
+    return let(x, exact)
 
 
 # -- cyclomatic complexity ----------------------------------------------------

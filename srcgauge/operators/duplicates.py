@@ -17,6 +17,7 @@ from ..functions.dialect import CORE, Dialect, dialect
 from ..functions.fixed import DUPLICATE_MIN_LOC
 from ..functions.metrics import token_jaccard
 from ..functions.sqltext import Expr
+from ..streaming.shared import fresh_folder
 from .files import CODE, supported
 from .functions import explode_rows, with_functions
 
@@ -39,11 +40,20 @@ def may_exceed(limit: int) -> Expr:
     return parens * PATTERNS > limit
 
 
-def row_pairs(fns: Expr, limit: int) -> Expr:
+def any_large(files: DataFrame, limit: int) -> bool:
+    """Whether some file could exceed the limit: one pass over the text that
+    stops at the first hit. It decides the plan, never the result."""
+    if files.isStreaming:
+        return False
+    return not supported(files).filter(may_exceed(limit).column).isEmpty()
+
+
+def row_pairs(fns: Expr, limit: int | None = None) -> Expr:
     """Pairs found inside the row, none for a file above the limit."""
-    return E.when(E.size(fns) <= limit, similar.duplicate_pairs(fns)).otherwise(
-        empty(similar.PAIR_DDL)
-    )
+    pairs = similar.duplicate_pairs(fns)
+    if limit is None:
+        return pairs
+    return E.when(E.size(fns) <= limit, pairs).otherwise(empty(similar.PAIR_DDL))
 
 
 def duplicate_pairs(
@@ -51,22 +61,34 @@ def duplicate_pairs(
 ) -> DataFrame:
     """Rows (file_id, i, j, line, first, second, percent), i before j."""
     d = dialect(profile)
-    small = explode_rows(
-        with_functions(files, d, ("words",)), row_pairs(E.col("fns"), limit), "p", "file_id"
+    large = any_large(files, limit)
+    rows = explode_rows(
+        with_functions(files, d, ("words",)),
+        row_pairs(E.col("fns"), limit if large else None),
+        "p",
+        "file_id",
     ).select("file_id", *(f"p.{k}" for k in COLUMNS))
-    return small.unionByName(spread_pairs(files, d, limit))
+    return rows.unionByName(spread_pairs(files, d, limit)) if large else rows
 
 
-def spread_pairs(
-    files: DataFrame, profile: str | Dialect = CORE, limit: int = ROW_LIMIT
-) -> DataFrame:
-    """Pairs of the files above the limit, by joins on (file, word)."""
-    d = dialect(profile)
-    large = with_functions(supported(files).filter(may_exceed(limit).column), d, ("words",))
+def written_classes(files: DataFrame, d: Dialect, limit: int) -> DataFrame:
+    """Word sets of the files above the limit, kept as a table in the shared
+    folder: the joins below read them eight times."""
     fns = E.col("fns")
     found = E.when(E.size(fns) > limit, similar.word_classes(fns)).otherwise(empty(CLASS_DDL))
+    large = with_functions(supported(files).filter(may_exceed(limit).column), d, ("words",))
     classes = explode_rows(large, found, "c", "file_id").select("file_id", "c.*")
+    spark = files.sparkSession
+    path = fresh_folder(spark, "word-classes")
+    classes.write.parquet(path)
+    return spark.read.schema(classes.schema).parquet(path)
+
 
+def spread_pairs(
+    files: DataFrame, profile: str | Dialect = CORE, limit: int = ROW_LIMIT
+) -> DataFrame:
+    """Pairs of the files above the limit, by joins on (file, word)."""
+    classes = written_classes(files, dialect(profile), limit)
     prefixes = classes.select(
         "file_id",
         "sid",

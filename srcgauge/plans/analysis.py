@@ -35,13 +35,16 @@ def _with_pairs(
         return with_functions(files, d, want, anchor).select(
             *columns, empty(PAIR_DDL).alias("pairs").column
         )
-    exceeds = duplicates.may_exceed(limit).column
 
-    def of(part: DataFrame) -> DataFrame:
+    def of(part: DataFrame, upto: int | None = None) -> DataFrame:
         return with_functions(part, d, (*want, "words"), anchor).select(
-            *columns, duplicates.row_pairs(FNS, limit).alias("pairs").column
+            *columns, duplicates.row_pairs(FNS, upto).alias("pairs").column
         )
 
+    if not duplicates.any_large(files, limit):
+        return of(files)
+    exceeds = duplicates.may_exceed(limit).column
+
     fields = [F.col(k) for k in duplicates.COLUMNS]
     spread = (
         duplicates.spread_pairs(files, d, limit)
@@ -49,7 +52,7 @@ def _with_pairs(
         .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("spread"))
     )
     large = (
-        of(files.filter(exceeds))
+        of(files.filter(exceeds), limit)
         .join(spread, "file_id", "left")
         .select(*columns, F.coalesce("spread", "pairs").alias("pairs"))
     )
