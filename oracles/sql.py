@@ -158,7 +158,8 @@ def metrics_ctes(name: str, source: str, keys: str, body: str, service: bool = F
 
     def round_(x: str, digits: int = 2) -> str:
         if service:
-            return f"round_even(({x})::DECIMAL(38, 15), {digits})::DOUBLE"
+            # printf rounds the exact binary value, ties to even
+            return f"format('{{:.{digits}f}}', {x})::DOUBLE"
         return half_up(x, digits)
 
     return f"""

@@ -15,11 +15,18 @@ def by_language(lang: Expr, python: Expr, braces: Expr) -> Expr:
 
 
 def language_detect(filename: Expr) -> Expr:
-    ending = F.lower(F.substring_index(filename, ".", -1))
+    """Language by the text after the last dot, in any case.
+
+    Matched by pattern: Spark's ``lower`` first builds case tables for seconds.
+    """
+
+    def ends(*endings: str) -> Expr:
+        return F.regexp_like(filename, rf"(?i)(?:\A|\.)(?:{'|'.join(endings)})\z")
+
     return (
-        F.when(ending.isin(*fixed.JAVASCRIPT_ENDINGS), "javascript")
-        .when(ending.isin(*fixed.TYPESCRIPT_ENDINGS), "typescript")
-        .when(ending.isin(*fixed.PYTHON_ENDINGS), "python")
+        F.when(ends(*fixed.JAVASCRIPT_ENDINGS), "javascript")
+        .when(ends(*fixed.TYPESCRIPT_ENDINGS), "typescript")
+        .when(ends(*fixed.PYTHON_ENDINGS), "python")
         .otherwise("unknown")
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 DOC_ENDINGS = ("js", "jsx", "ts", "tsx", "mjs", "cjs", "py", "pyw", "md")
 FUNCTIONS_PER_FILE = 5
@@ -32,7 +32,8 @@ def documents_as_files(df: DataFrame) -> DataFrame:
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_as_files(table(spark, sf_dir, "documents"))
+    text = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return documents_as_files(spread(text))
 
 
 def _when(condition: Column, text: str) -> Column:
@@ -83,24 +84,33 @@ def _js_function(k: Column, size: Column) -> Column:
 
 
 def part_as_code(df: DataFrame) -> DataFrame:
-    """One function per part, five functions per file, even files Python."""
+    """One function per part, five functions per file, even files Python.
+
+    Only the numbers are shuffled; the text is written after the shuffle. The
+    partition count is given, or AQE would merge such small rows into one task.
+    """
     k, size = F.col("p_partkey"), F.col("p_size")
-    per_function = df.select(k, F.floor(k / FUNCTIONS_PER_FILE).alias("file_id"), size)
     even = F.col("file_id") % 2 == 0
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        per_function.select(
-            k,
-            "file_id",
-            F.when(even, _py_function(k, size)).otherwise(_js_function(k, size)).alias("fn"),
-        )
+        df.select(k, F.floor(k / FUNCTIONS_PER_FILE).alias("file_id"), size)
+        .repartition(partitions, "file_id")
         .groupBy("file_id")
-        .agg(F.expr("listagg(fn, '\n') within group (order by p_partkey)").alias("code"))
+        .agg(F.sort_array(F.collect_list(F.struct(k, size))).alias("parts"))
         .select(
             "file_id",
             F.concat(
                 F.lit("file_"), "file_id", F.when(even, F.lit(".py")).otherwise(F.lit(".js"))
             ).alias("filename"),
-            "code",
+            F.array_join(
+                F.transform(
+                    "parts",
+                    lambda p: F.when(even, _py_function(p["p_partkey"], p["p_size"])).otherwise(
+                        _js_function(p["p_partkey"], p["p_size"])
+                    ),
+                ),
+                "\n",
+            ).alias("code"),
         )
     )
 
