@@ -15,9 +15,8 @@ EOL = r"[^\n\r\x{2028}\x{2029}]"
 
 def q(text: str) -> str:
     """A text as SQL literal; newlines by chr."""
-    return "||".join(f"'{p.replace(chr(39), chr(39) * 2)}'" for p in text.split("\n")).replace(
-        "||", "||chr(10)||"
-    )
+    quoted = (p.replace("'", "''") for p in text.split("\n"))
+    return "||chr(10)||".join(f"'{p}'" for p in quoted)
 
 
 def words(items: list[str]) -> str:

@@ -162,7 +162,7 @@ def function_issues(fns: Expr, limits: Mapping[str, Expr], d: Dialect = CORE) ->
 
 def has_switch(code: Expr, family: str, d: Dialect = CORE) -> Expr:
     if family == PY:
-        return F.regexp_like(code, F.lit(rf"match{d.s}++[{d.word}]++{d.s}*+:"))
+        return F.regexp_like(code, F.lit(rf"match{d.s}++{d.w}++{d.s}*+:"))
     return F.regexp_like(code, F.lit(rf"switch{d.s}*+\([^)]*+\){d.s}*+\{{"))
 
 

@@ -57,7 +57,7 @@ def decision_patterns(family: str, d: Dialect = CORE) -> dict[str, str]:
             )
         return kinds
     kinds = {w: d.words(w) for w in ("if", "for", "while", "case", "catch")}
-    kinds["else_if"] = rf"(?<![{d.word}])else{d.s}+if(?![{d.word}])"
+    kinds["else_if"] = rf"(?<!{d.w})else{d.s}+if(?!{d.w})"
     kinds["ternary"] = rf"\?{d.s}*[^:]"
     kinds["and"] = "&&"
     kinds["or"] = r"\|\|"
@@ -96,7 +96,7 @@ def cyclomatic(code: Expr, lang: Expr, d: Dialect = CORE) -> Expr:
 # -- Halstead -----------------------------------------------------------------
 def token_pattern(d: Dialect = CORE) -> str:
     parts = [
-        rf"[a-zA-Z_$][{d.word}]*+",
+        rf"[a-zA-Z_$]{d.w}*+",
         r"[+\-*/%=!<>&|^~?:]++",
         rf"[{d.digit}]++\.?[{d.digit}]*+",
     ]

@@ -25,15 +25,15 @@ def js_patterns(d: Dialect = CORE) -> list[str]:
     Group 1 is the name, group 2 the parameter text. Names start at a word
     start and are possessive, so long words cost one pass.
     """
-    s, w = d.s, d.word
+    s, w = d.s, d.w
     params = r"\(([^)]*+)\)"
     patterns = [
-        rf"(?:async{s}++)?function{s}++([{w}]++){s}*+{params}",
-        rf"(?:const|let|var){s}++([{w}]++){s}*+={s}*+(?:async{s}++)?(?:function{s}*+)?{params}{s}*+(?:=>)?",
-        rf"(?<![{w}])([{w}]++){s}*+{params}{s}*+\{{",
+        rf"(?:async{s}++)?function{s}++({w}++){s}*+{params}",
+        rf"(?:const|let|var){s}++({w}++){s}*+={s}*+(?:async{s}++)?(?:function{s}*+)?{params}{s}*+(?:=>)?",
+        rf"(?<!{w})({w}++){s}*+{params}{s}*+\{{",
     ]
     if d.is_core:
-        patterns.append(rf"(?:async{s}++|(?<![{w}]))([{w}]++){s}*+={s}*+{params}{s}*+=>")
+        patterns.append(rf"(?:async{s}++|(?<!{w}))({w}++){s}*+={s}*+{params}{s}*+=>")
     return patterns
 
 
@@ -45,7 +45,7 @@ def py_pattern(d: Dialect = CORE, anchor: str = "reference") -> str:
     """
     lead = r"[ \t]*+" if anchor == "line" else rf"{d.s}*+"
     return (
-        rf"{d.line_start}({lead})(?:async{d.s}++)?def{d.s}++([{d.word}]++){d.s}*+\(([^)]*+)\)"
+        rf"{d.line_start}({lead})(?:async{d.s}++)?def{d.s}++({d.w}++){d.s}*+\(([^)]*+)\)"
     )
 
 
@@ -69,9 +69,8 @@ def params_py(text: Expr, d: Dialect = CORE) -> Expr:
 
 
 def _found(code: Expr, pattern: str) -> Expr:
-    """Matches in text order: array of struct(line, text)."""
-    plain = F.translate(code, OPEN + CLOSE, "\x02\x02")
-    marked = F.regexp_replace(plain, f"({pattern})", f"{OPEN}$1{CLOSE}")
+    """Matches in text order: array of struct(line, text). The code is unmarked."""
+    marked = F.regexp_replace(code, f"({pattern})", f"{OPEN}$1{CLOSE}")
 
     def read(m: Expr) -> Expr:
         marks = F.split(F.regexp_replace(m, rf"[^{OPEN}\n]++", ""), "\n", -1)
@@ -89,12 +88,18 @@ def _found(code: Expr, pattern: str) -> Expr:
     )
 
 
+def unmarked(code: Expr) -> Expr:
+    """The code with the two marks, should they occur, as another control character."""
+    taken = F.contains(code, OPEN) | F.contains(code, CLOSE)
+    return F.when(taken, F.translate(code, OPEN + CLOSE, "\x02\x02")).otherwise(code)
+
+
 def js_matches(code: Expr, d: Dialect = CORE) -> Expr:
     """All matches of all patterns: struct(start, name, pattern, seq, params)."""
 
-    def of(k: int, pattern: str) -> Expr:
+    def of(plain: Expr, k: int, pattern: str) -> Expr:
         return F.transform(
-            _found(code, pattern),
+            _found(plain, pattern),
             lambda m, i: F.struct(
                 m["line"].alias("start"),
                 F.regexp_extract(m["text"], pattern, 1).alias("name"),
@@ -104,7 +109,10 @@ def js_matches(code: Expr, d: Dialect = CORE) -> Expr:
             ),
         )
 
-    return F.concat(*(of(k, p) for k, p in enumerate(js_patterns(d), 1)))
+    return let(
+        unmarked(code),
+        lambda plain: F.concat(*(of(plain, k, p) for k, p in enumerate(js_patterns(d), 1))),
+    )
 
 
 def js_deduped(code: Expr, d: Dialect = CORE) -> Expr:
@@ -119,7 +127,7 @@ def py_matches(code: Expr, d: Dialect = CORE, anchor: str = "reference") -> Expr
     """All defs in text order: struct(start, name, pattern, seq, params, base)."""
     pattern = py_pattern(d, anchor)
     return F.transform(
-        _found(code, pattern),
+        _found(unmarked(code), pattern),
         lambda m, i: F.struct(
             m["line"].alias("start"),
             F.regexp_extract(m["text"], pattern, 2).alias("name"),

@@ -37,23 +37,14 @@ def read_submissions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
 
 def read_source_tree(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """One row per file below ``path``; the id is the file's path."""
-    raw = (
-        spark.read.option("recursiveFileLookup", str(recursive).lower())
-        .option("wholetext", True)
-        .text(path)
-    )
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     return _from_text(raw)
 
 
 def stream_source_tree(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
     """The same rows as a stream of arriving files."""
-    raw = (
-        spark.readStream.option("recursiveFileLookup", "true")
-        .option("wholetext", True)
-        .option("maxFilesPerTrigger", max_files)
-        .text(path)
-    )
-    return _from_text(raw)
+    arriving = spark.readStream.option("maxFilesPerTrigger", max_files)
+    return _from_text(arriving.text(path, wholetext=True, recursiveFileLookup=True))
 
 
 def _from_text(raw: DataFrame) -> DataFrame:
