@@ -6,6 +6,8 @@ Every expression works on a plain column and inside a lambda alike.
 from __future__ import annotations
 
 
+from string import ascii_letters
+
 from . import sqltext as F
 from .sqltext import Expr
 from . import fixed
@@ -57,7 +59,7 @@ def decision_patterns(family: str, d: Dialect = CORE) -> dict[str, str]:
             )
         return kinds
     kinds = {w: d.words(w) for w in ("if", "for", "while", "case", "catch")}
-    kinds["else_if"] = rf"(?<!{d.w})else{d.s}+if(?!{d.w})"
+    kinds["else_if"] = rf"e(?<!{d.w}e)lse{d.s}+if(?!{d.w})"
     kinds["ternary"] = rf"\?{d.s}*[^:]"
     kinds["and"] = "&&"
     kinds["or"] = r"\|\|"
@@ -79,26 +81,31 @@ def cyclomatic_clean(clean: Expr, family: str, d: Dialect = CORE) -> Expr:
         passes += [kinds["if_else"]] if d.is_core else []
     else:
         plain = d.words("if", "for", "while", "case", "catch")
-        passes = [rf"{plain}|&&|\|\||\?\?", kinds["else_if"], kinds["ternary"]]
+        passes = [rf"(?=[cfiw&|?])(?:{plain}|&&|\|\||\?\?)", kinds["else_if"], kinds["ternary"]]
+    hints = [None, "else", "?"]
     total = F.lit(1)
-    for pattern in passes:
-        total = total + count_of(clean, pattern)
+    for pattern, hint in zip(passes, hints):
+        total = total + count_of(clean, pattern, hint)
     return total
 
 
 def cyclomatic(code: Expr, lang: Expr, d: Dialect = CORE) -> Expr:
-    python = cyclomatic_clean(strip_family(code, PY, d), PY, d)
-    braces = cyclomatic_clean(strip_family(code, JS, d), JS, d)
+    python = let(strip_family(code, PY, d), lambda x: cyclomatic_clean(x, PY, d))
+    braces = let(strip_family(code, JS, d), lambda x: cyclomatic_clean(x, JS, d))
     chosen = by_language(lang, python, braces)
     return F.when(lang == "unknown", 1).otherwise(chosen) if d.is_core else chosen
 
 
 # -- Halstead -----------------------------------------------------------------
 def token_pattern(d: Dialect = CORE) -> str:
+    # Numbers come first, so a name may begin with any word character here.
+    # Letters are spelled out: Java tests such a class with one table look-up,
+    # ranges one by one.
+    head = f"[{ascii_letters}0123456789_$]"
     parts = [
-        rf"[a-zA-Z_$]{d.w}*+",
-        r"[+\-*/%=!<>&|^~?:]++",
         rf"[{d.digit}]++\.?[{d.digit}]*+",
+        rf"{head}{d.w}*+",
+        r"[+\-*/%=!<>&|^~?:]++",
     ]
     if d.is_core:  # quoted text is swallowed and never counted
         parts += ['"[^"]*+"', "'[^']*+'", "`[^`]*+`"]
@@ -119,9 +126,12 @@ def is_operator(token: Expr, family: str) -> Expr:
     return token.isin(*operator_words(family))
 
 
+def has_symbol_head(token: Expr) -> Expr:
+    return F.substring(token, 1, 1).isin(*fixed.NON_OPERAND_HEADS)
+
+
 def is_operand(token: Expr, family: str) -> Expr:
-    head = F.substring(token, 1, 1)
-    return ~head.isin(*fixed.NON_OPERAND_HEADS) & ~is_operator(token, family)
+    return ~is_operator(token, family) & ~has_symbol_head(token)
 
 
 def token_class(token: Expr, lang: Expr) -> Expr:
@@ -177,7 +187,9 @@ def halstead_clean(clean: Expr, family: str, d: Dialect = CORE) -> Expr:
         token_extract(clean, d),
         lambda ts: _halstead_struct(
             F.filter(ts, lambda t: is_operator(t, family)),
-            F.filter(ts, lambda t: is_operand(t, family)),
+            F.filter(
+                F.filter(ts, lambda t: ~is_operator(t, family)), lambda t: ~has_symbol_head(t)
+            ),
             d,
         ),
     )
@@ -273,7 +285,7 @@ def nesting(body: Expr, family: str, d: Dialect = CORE) -> Expr:
 
 
 def return_count(body: Expr, d: Dialect = CORE) -> Expr:
-    return count_of(body, d.words("return"))
+    return count_of(body, d.words("return"), "return")
 
 
 # -- heat ---------------------------------------------------------------------

@@ -9,6 +9,8 @@ only the functions still open.
 
 from __future__ import annotations
 
+from string import ascii_letters, digits, punctuation
+
 from . import sqltext as F
 from .sqltext import Expr
 from . import fixed
@@ -30,10 +32,10 @@ def js_patterns(d: Dialect = CORE) -> list[str]:
     patterns = [
         rf"(?:async{s}++)?function{s}++({w}++){s}*+{params}",
         rf"(?:const|let|var){s}++({w}++){s}*+={s}*+(?:async{s}++)?(?:function{s}*+)?{params}{s}*+(?:=>)?",
-        rf"(?<!{w})({w}++){s}*+{params}{s}*+\{{",
+        rf"(?={w})(?<!{w})({w}++){s}*+{params}{s}*+\{{",
     ]
     if d.is_core:
-        patterns.append(rf"(?:async{s}++|(?<!{w}))({w}++){s}*+={s}*+{params}{s}*+=>")
+        patterns.append(rf"(?={w})(?:async{s}++|(?<!{w}))({w}++){s}*+={s}*+{params}{s}*+=>")
     return patterns
 
 
@@ -44,8 +46,11 @@ def py_pattern(d: Dialect = CORE, anchor: str = "reference") -> str:
     ``anchor="line"`` keeps it on the ``def`` line.
     """
     lead = r"[ \t]*+" if anchor == "line" else rf"{d.s}*+"
+    # A def line begins with white space, async or def: other characters are
+    # dropped by one table look-up before the look-behind.
+    others = "".join(c for c in punctuation + digits + ascii_letters if c not in "ad[]\\^-&")
     return (
-        rf"{d.line_start}({lead})(?:async{d.s}++)?def{d.s}++({d.w}++){d.s}*+\(([^)]*+)\)"
+        rf"(?![{others}]){d.line_start}({lead})(?:async{d.s}++)?def{d.s}++({d.w}++){d.s}*+\(([^)]*+)\)"
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from . import sqltext as F
 from .sqltext import Expr
 from . import fixed
+from .arrays import let
 from .dialect import CORE, Dialect
 
 JS, PY = "brace", "indent"  # the two syntax families
@@ -58,8 +61,10 @@ def line_class(line: Expr, lang: Expr, d: Dialect = CORE) -> Expr:
     )
 
 
-def count_of(text: Expr, pattern: str) -> Expr:
-    return F.regexp_count(text, F.lit(pattern))
+def count_of(text: Expr, pattern: str, hint: str | None = None) -> Expr:
+    """Number of matches. A text without the hint has none and is not searched."""
+    found = F.regexp_count(text, F.lit(pattern))
+    return F.when(F.contains(text, hint), found).otherwise(0) if hint else found
 
 
 def line_total(code: Expr) -> Expr:
@@ -69,13 +74,14 @@ def line_total(code: Expr) -> Expr:
 def line_counts(code: Expr, lang: Expr, d: Dialect = CORE) -> Expr:
     """Struct loc, sloc, blankLines, commentLines.
 
-    Counted with line-anchored patterns, so no array of lines is built.
+    Counted with patterns that begin at a newline, so no array of lines is built.
     """
-    lead = rf"(?<![^\n])[{d.inline_space}]*+"
+    lead = rf"\n[{d.inline_space}]*+"
+    led = F.concat("\n", code)  # every line now follows a newline
     loc = line_total(code)
-    blank = count_of(code, rf"{lead}(?![^\n])")
+    blank = count_of(led, rf"{lead}(?![^\n])")
     comment = by_language(
-        lang, count_of(code, rf"{lead}#"), count_of(code, rf"{lead}(?://|/\*|\*)")
+        lang, count_of(led, rf"{lead}#"), count_of(led, rf"{lead}(?://|/\*|\*)")
     )
     return F.struct(
         loc.alias("loc"),
@@ -86,24 +92,33 @@ def line_counts(code: Expr, lang: Expr, d: Dialect = CORE) -> Expr:
 
 
 def strip_family(code: Expr, family: str, d: Dialect = CORE) -> Expr:
-    """Remove comments and blank out string literals, rule after rule."""
+    """Remove comments and blank out string literals, rule after rule.
+
+    A rule only runs on a text that holds its opening mark.
+    """
     if family == PY:
         rules = [
-            (r"(?s)'''.*?'''", ""),
-            (r'(?s)""".*?"""', ""),
-            (rf"#[^{d.eol}]*+", ""),
+            ("'''", r"(?s)'''.*?'''", ""),
+            ('"""', r'(?s)""".*?"""', ""),
+            ("#", rf"#{d.rest_of_line}", ""),
         ]
     else:
         rules = [
-            (r"(?s)/\*.*?\*/", ""),
-            (rf"//[^{d.eol}]*+", ""),
-            ("`[^`]*+`", '""'),
+            ("/*", r"(?s)/\*.*?\*/", ""),
+            ("//", rf"//{d.rest_of_line}", ""),
+            ("`", "`[^`]*+`", '""'),
         ]
-    rules += [("'[^']*+'", '""'), ('"[^"]*+"', '""')]
-    for pattern, blank in rules:
-        code = F.regexp_replace(code, pattern, blank)
+    rules += [("'", "'[^']*+'", '""'), ('"', '"[^"]*+"', '""')]
+    for mark, pattern, blank in rules:
+        code = let(code, _rule(mark, pattern, blank))
     return code
 
 
+def _rule(mark: str, pattern: str, blank: str) -> Callable[[Expr], Expr]:
+    return lambda text: F.when(
+        F.contains(text, mark), F.regexp_replace(text, pattern, blank)
+    ).otherwise(text)
+
+
 def strip_noise(code: Expr, lang: Expr, d: Dialect = CORE) -> Expr:
     return by_language(lang, strip_family(code, PY, d), strip_family(code, JS, d))
