@@ -816,3 +816,39 @@ for _rule in ("decompose", "param_object", "extract", "flatten"):
     ORACLES[f"refactor_{_rule}"] = code(
         measured_ctes(), f"SELECT file_id, ord, {ADVICE_COLUMNS} FROM ({suggestion_sql(_rule)})"
     )
+
+
+def _level_json(band_of, x: str) -> str:
+    return f"{{'label': {band_of(x)}, 'color': {band_of(x, 2)}, 'level': ({band_of(x, 3)})::INTEGER}}"
+
+
+_halstead_json = "{" + ", ".join(f"'{h.strip()}': {h.strip()}" for h in HALSTEAD.split(",")) + "}"
+_issue_json = "'type': type, 'rule': rule, 'message': message, 'line': line, 'severity': severity"
+JSON_RESULT = code(
+    issues_ctes()
+    + ","
+    + advice_cte()
+    + ",with_loc AS (SELECT src.*, counts.loc FROM src JOIN counts USING (file_id)),"
+    + metrics_ctes("fm", "with_loc", "file_id", "code")
+    + f""",
+jf AS (SELECT file_id, count(*)::INTEGER AS n, list({{'name': name, 'startLine': startLine, 'endLine': endLine,
+  'loc': loc, 'params': params, 'paramCount': paramCount, 'cyclomaticComplexity': cc,
+  'complexityLevel': {_level_json(cc_band, "cc")}, 'halstead': {_halstead_json},
+  'maintainabilityIndex': mi, 'maintainabilityLevel': {_level_json(mi_band, "mi")},
+  'maxNestingDepth': nesting, 'heatIntensity': heat}} ORDER BY ord) AS functions,
+  list({{'name': name, 'startLine': startLine, 'endLine': endLine, 'intensity': heat, 'complexity': cc,
+  'color': {cc_band("cc", 2)}}} ORDER BY ord) AS heatmap FROM fx GROUP BY file_id),
+ji AS (SELECT file_id, list(CASE WHEN endLine = 0 THEN to_json({{{_issue_json}}})
+  ELSE to_json({{{_issue_json}, 'endLine': endLine}}) END ORDER BY issue_ord) AS issues_list FROM issues GROUP BY file_id),
+ja AS (SELECT file_id, list({{{", ".join(f"'{c.strip()}': {c.strip()}" for c in ADVICE_COLUMNS.split(","))}}}
+  ORDER BY ord) AS advice_list FROM advice GROUP BY file_id)""",
+    f"""SELECT file_id, to_json({{'language': language, 'filename': filename, 'summary': {{'loc': counts.loc,
+  'sloc': sloc, 'blankLines': blankLines, 'commentLines': commentLines, 'functionCount': coalesce(n, 0)::INTEGER,
+  'cyclomaticComplexity': cc, 'complexityLevel': {_level_json(cc_band, "cc")}, 'maintainabilityIndex': mi,
+  'maintainabilityLevel': {_level_json(mi_band, "mi")}, 'halstead': {_halstead_json}}},
+  'functions': coalesce(functions, []), 'linterIssues': coalesce(issues_list, []),
+  'refactorSuggestions': coalesce(advice_list, []), 'heatmap': coalesce(heatmap, [])}})::VARCHAR AS result
+  FROM src JOIN counts USING (file_id) JOIN fm USING (file_id) LEFT JOIN jf USING (file_id)
+  LEFT JOIN ji USING (file_id) LEFT JOIN ja USING (file_id)""",
+)
+ORACLES["result_json"] = JSON_RESULT
