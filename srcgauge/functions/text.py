@@ -104,16 +104,35 @@ def strip_family(code: Expr, family: str, d: Dialect = CORE) -> Expr:
         ]
     else:
         rules = [
-            ("/*", r"(?s)/\*.*?\*/", ""),
             ("//", rf"//{d.rest_of_line}", ""),
             ("`", "`[^`]*+`", '""'),
         ]
+    if family != PY:
+        code = let(code, _block_comments)
     rules += [("'", "'[^']*+'", '""'), ('"', '"[^"]*+"', '""')]
     for mark, pattern, blank in rules:
         code = let(code, _rule(mark, pattern, blank))
     return code
 
 
+def _block_comments(text: Expr) -> Expr:
+    """Searched up to the last closing mark only: behind it, every opening mark
+    (path patterns in strings, say) would be followed to the end in vain."""
+    tail = F.substring_index(text, "*/", -1)
+    return F.when(
+        F.contains(text, "/*") & F.contains(text, "*/"),
+        let(
+            tail,
+            lambda rest: F.concat(
+                F.regexp_replace(
+                    F.left(text, F.length(text) - F.length(rest)), r"(?s)/\*.*?\*/", ""
+                ),
+                rest,
+            ),
+        ),
+    ).otherwise(text)
+
+
 def _rule(mark: str, pattern: str, blank: str) -> Callable[[Expr], Expr]:
     return lambda text: F.when(
         F.contains(text, mark), F.regexp_replace(text, pattern, blank)

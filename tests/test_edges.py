@@ -33,6 +33,8 @@ def cc_of(spark, name, code, profile="core"):
         ("a.js", 'let u = "http://x"; if (a) {}', 1, 1),
         ("a.js", "/* if */ a && b || `if ${c}`", 3, 3),
         ("a.js", "éif (a) {}", 2, 1),
+        ("a.js", "/*/ if */ if /*/ if", 3, 3),
+        ("a.js", "'/*' + '*/' && if (b) /* if", 4, 4),
         ("a.py", "x = a if b else c", 3, 2),
         ("a.py", "a if b else c if d else e\nif x\nelse", 5, 4),
         ("a.py", 'c = "#fff" if a else b', 1, 1),
