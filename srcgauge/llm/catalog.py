@@ -10,11 +10,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcgauge.llm.balltree import exact_top_k
+from srcgauge.llm.forest import nearest
 from srcgauge.llm.packing import pack_documents
+from srcgauge.llm.pieces import encode_decode
 from srcgauge.llm.sharding import shuffle_into_shards
 from srcgauge.sources.tables import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 8
 
 
@@ -22,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     digests = table(spark, sf_dir, "documents").select(
@@ -34,9 +42,21 @@ def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(table(spark, sf_dir, "documents"), PIECE_BPE, digest=True)
+    return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
+def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_projection_forest": op2_projection_forest,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
+    "op8_prefix_table_pieces": op8_prefix_table_pieces,
+    "op9_ball_tree": op9_ball_tree,
 }
 
 ORACLES: dict[str, str] = {}
