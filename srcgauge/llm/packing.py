@@ -17,7 +17,9 @@ most ``FAN_IN * (FAN_IN + 1)`` bins, at any input size.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,32 +36,73 @@ from srcgauge.llm.common import slices, stored, texts_of
 FAN_IN = 16
 #: Pieces that a task packs together.
 GROUP_PIECES = 1 << 16
-#: Distinct words whose ids a worker remembers.
-KNOWN_WORDS = 400_000
+#: Chunks of a generation that a worker remembers.
+KNOWN_WORDS = 300_000
 #: Text that white space splits another way in the tokenizer than in Python.
 CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: Words as the vocabulary's pattern cuts a chunk without an apostrophe.
+PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
+def byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable
+    Latin-1 as it is, the others from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
+
+
 class WordIds(dict):
-    """Ids of a word as little-endian bytes, found by the tokenizer on first use.
+    """Ids of a chunk between white space as little-endian bytes.
 
     The tokenizer of this vocabulary drops white space and never joins across
-    it, so a text's ids are its words' ids one after another.
+    it, so a text's ids are its chunks' ids one after another. Chunks are
+    remembered in two generations: when the young one is full it becomes the old
+    one. An unknown chunk of plain words goes to the tokenizer's merges word by
+    word; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > KNOWN_WORDS:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(chunk)
+        if found is None:
+            ids = self.word_by_word(chunk)
+            if ids is None:
+                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[chunk] = found
         return found
 
+    def word_by_word(self, chunk: str) -> list[int] | None:
+        """Ids of a chunk whose words are plain: letters, or ASCII. None: not plain."""
+        if "'" in chunk or "<|" in chunk or not chunk.isprintable():
+            return None
+        if not chunk.isascii() and (
+            not unicodedata.is_normalized("NFC", chunk) or "İ" in chunk or "Σ" in chunk
+        ):
+            return None
+        ids = []
+        for word in PARTS.findall(chunk.lower()):
+            if not word.isascii():
+                if not word.isalpha():
+                    return None
+                word = "".join([self.letters[b] for b in word.encode()])
+            ids += [t.id for t in self.merges(word)]
+        return ids
+
     def of(self, text: str) -> bytes:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
         if any(c in text for c in CONTROLS):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
