@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from srcgauge.llm.balltree import exact_top_k
 from srcgauge.llm.forest import nearest
+from srcgauge.llm.language import language_id
+from srcgauge.llm.neardup import near_duplicates
 from srcgauge.llm.packing import pack_documents
 from srcgauge.llm.pieces import encode_decode
 from srcgauge.llm.sharding import shuffle_into_shards
+from srcgauge.llm.toxicity import toxicity
 from srcgauge.sources.tables import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +33,18 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_log_ratio_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2)
+
+
 def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     digests = table(spark, sf_dir, "documents").select(
@@ -54,6 +69,9 @@ def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_projection_forest": op2_projection_forest,
+    "op4_log_ratio_toxicity": op4_log_ratio_toxicity,
+    "op5_kneser_ney_language": op5_kneser_ney_language,
+    "op6_super_minhash": op6_super_minhash,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
     "op8_prefix_table_pieces": op8_prefix_table_pieces,
     "op9_ball_tree": op9_ball_tree,

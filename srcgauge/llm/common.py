@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,23 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that no step holds more than a few MB of text."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str | None = None, most: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that a step holds about ``most`` bytes of text, or one text."""
     for batch in batches:
         step = SLICE_ROWS
         if text is not None and batch.num_rows:
-            mean = max(1, batch.column(text).nbytes // batch.num_rows)
-            step = max(1, min(SLICE_ROWS, SLICE_BYTES // mean))
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+            ends = np.cumsum(sizes.astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                stop = int(np.searchsorted(ends, before + most, side="right"))
+                stop = min(max(start + 1, stop), start + step)
+                yield batch.slice(start, stop - start)
+                start = stop
+            continue
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 
@@ -51,3 +63,14 @@ def remainder(key: str | Column, modulus: int) -> Column:
     """crc32 of a key written as text, modulo ``modulus``; a null key counts as ''."""
     key = F.col(key) if isinstance(key, str) else key
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers over all their bits (a one-to-one map)."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
