@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from srcgauge.llm.balltree import exact_top_k
 from srcgauge.llm.forest import nearest
+from srcgauge.llm.html import main_text
 from srcgauge.llm.language import language_id
+from srcgauge.llm.licenses import license_scan
 from srcgauge.llm.neardup import near_duplicates
+from srcgauge.llm.oracles import ORACLES  # noqa: F401  (the entry reads it here)
 from srcgauge.llm.packing import pack_documents
 from srcgauge.llm.pieces import encode_decode
 from srcgauge.llm.sharding import shuffle_into_shards
@@ -33,6 +36,10 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op3_host_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_log_ratio_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,15 +73,19 @@ def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_projection_forest": op2_projection_forest,
+    "op3_host_path_text": op3_host_path_text,
     "op4_log_ratio_toxicity": op4_log_ratio_toxicity,
     "op5_kneser_ney_language": op5_kneser_ney_language,
     "op6_super_minhash": op6_super_minhash,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
     "op8_prefix_table_pieces": op8_prefix_table_pieces,
     "op9_ball_tree": op9_ball_tree,
+    "op10_sentence_rules": op10_sentence_rules,
 }
-
-ORACLES: dict[str, str] = {}
