@@ -378,8 +378,8 @@ def _(spark, sf):
 
 @query("dup_logic_pairs_spread")
 def _(spark, sf):
-    """The joined form for every file, whatever its size."""
-    return duplicates.spread_pairs(code(spark, sf), limit=0).select(
+    """The pairs of the nested analysis, spread into rows."""
+    return duplicates.listed_pairs(code(spark, sf)).select(
         "file_id", "i", "j", "first", "second", "percent"
     )
 

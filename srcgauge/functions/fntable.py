@@ -17,12 +17,8 @@ ALL = ("cc", "halstead", "nesting", "returns", "words", "body")
 
 
 def sorted_words(body: Expr, d: Dialect) -> Expr:
-    """Distinct words, longest first: long words are rare, which is what the
-    prefix filter of the duplicate search wants at the front."""
-    keyed = F.transform(
-        M.distinct_words(body, d), lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))
-    )
-    return F.transform(F.sort_array(keyed), lambda x: x["w"])
+    """Distinct words in order, so that equal sets are equal arrays."""
+    return F.sort_array(M.distinct_words(body, d))
 
 
 def _measures(body: Expr, family: str, d: Dialect, want: set[str]) -> Expr:

@@ -3,7 +3,9 @@
 Two functions are duplicates when the Jaccard similarity of their word sets is
 above 4/5. Equal sets are collapsed first. Two sets above the bound must share
 one of the first ``n - floor(4n/5)`` words of any common word order, so only
-sets that meet in such a prefix word are compared; no result is lost.
+sets that meet in such a prefix word are compared; no result is lost. The order
+is by rarity in the file (number of sets that hold the word, then the word), so
+words that many functions share bring no sets together.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from . import fixed
 from .arrays import empty, group_runs, let
 
 PAIR_DDL = "struct<i:int,j:int,line:int,first:string,second:string,percent:int>"
+_MEMBERS = "array<struct<ord:int,loc:int,line:int,name:string>>"
+GROUP_DDL = f"struct<a:{_MEMBERS},b:{_MEMBERS},percent:int,copies:boolean>"
 _SHIFT = 1 << 31
 
 
@@ -51,10 +55,6 @@ def word_classes(fns: Expr) -> Expr:
     )
 
 
-def prefix_words(words: Expr, n: Expr) -> Expr:
-    return F.slice(words, F.lit(1), n - F.floor(n * 4 / F.lit(5)).cast("int"))
-
-
 def close_enough(shared: Expr, n1: Expr, n2: Expr) -> Expr:
     """Jaccard > 4/5 in whole numbers."""
     return shared * 5 > (n1 + n2 - shared) * 4
@@ -70,12 +70,35 @@ def meeting_words(classes: Expr) -> Expr:
         F.transform(
             classes,
             lambda c: F.transform(
-                prefix_words(c["words"], c["n"]),
-                lambda w: F.struct(w.alias("word"), c["n"].alias("n"), c["sid"].alias("sid")),
+                c["words"], lambda w: F.struct(w.alias("word"), c["sid"].alias("sid"))
+            ),
+        )
+    )
+    by_word = group_runs(F.sort_array(entries), lambda a, b: a["word"] == b["word"])
+    counted = F.flatten(
+        F.transform(
+            by_word,
+            lambda g: F.transform(
+                g,
+                lambda e: F.struct(
+                    e["sid"].alias("sid"), F.size(g).alias("held"), e["word"].alias("word")
+                ),
+            ),
+        )
+    )
+    rare_first = group_runs(F.sort_array(counted), lambda a, b: a["sid"] == b["sid"])
+    prefixes = F.flatten(
+        F.transform(
+            rare_first,
+            lambda g: F.transform(
+                F.slice(g, F.lit(1), F.size(g) - F.floor(F.size(g) * 4 / F.lit(5)).cast("int")),
+                lambda e: F.struct(
+                    e["word"].alias("word"), F.size(g).alias("n"), e["sid"].alias("sid")
+                ),
             ),
         )
     )
-    runs = group_runs(F.sort_array(entries), lambda a, b: a["word"] == b["word"])
+    runs = group_runs(F.sort_array(prefixes), lambda a, b: a["word"] == b["word"])
     return F.filter(runs, lambda g: F.size(g) > 1)
 
 
@@ -138,6 +161,39 @@ def _similar_classes(classes: Expr) -> Expr:
     return F.filter(F.transform(codes, verify), lambda p: p.is_not_null())
 
 
+def _possible(fns: Expr) -> Expr:
+    return (F.size(fns) > 1) & F.exists(fns, lambda f: f["loc"] > fixed.DUPLICATE_MIN_LOC)
+
+
+def duplicate_groups(fns: Expr) -> Expr:
+    """Groups whose pairs are duplicates: copies (every pair of ``a``), and similar
+    classes (every member of ``a`` with every one of ``b``). As long as the result
+    of the search, not as its pairs."""
+
+    def of(classes: Expr) -> Expr:
+        copies = F.transform(
+            F.filter(classes, lambda c: F.size(c["members"]) > 1),
+            lambda c: F.struct(
+                c["members"].alias("a"),
+                c["members"].alias("b"),
+                F.lit(100).alias("percent"),
+                F.lit(True).alias("copies"),
+            ),
+        )
+        similar = F.transform(
+            _similar_classes(classes),
+            lambda p: F.struct(
+                p["a"].alias("a"),
+                p["b"].alias("b"),
+                p["percent"].alias("percent"),
+                F.lit(False).alias("copies"),
+            ),
+        )
+        return F.concat(copies, similar)
+
+    return F.when(_possible(fns), let(word_classes(fns), of)).otherwise(empty(GROUP_DDL))
+
+
 def duplicate_pairs(fns: Expr) -> Expr:
     """All duplicate pairs of a file in (i, j) order."""
 
@@ -183,5 +239,4 @@ def duplicate_pairs(fns: Expr) -> Expr:
             ),
         )
 
-    possible = (F.size(fns) > 1) & F.exists(fns, lambda f: f["loc"] > fixed.DUPLICATE_MIN_LOC)
-    return F.when(possible, let(word_classes(fns), of)).otherwise(empty(PAIR_DDL))
+    return F.when(_possible(fns), let(word_classes(fns), of)).otherwise(empty(PAIR_DDL))

@@ -1,8 +1,9 @@
-"""Near-duplicate functions of one file, as rows.
+"""Near-duplicate functions of one file.
 
-A file of ordinary size is searched inside its own row. A file with more than
-``limit`` functions is spread over the cluster instead: its word sets meet on
-(file, word) keys, so no task holds the file's pairs. Both ways are exact.
+The search runs inside the file's row, for files of any size: its work follows the
+number of functions and of groups found. Groups of duplicates leave the row as
+they are; their pairs are made as rows afterwards, so no row holds all pairs.
+Files are told apart by their rows, so a repeated ``file_id`` changes nothing.
 """
 
 from __future__ import annotations
@@ -12,151 +13,48 @@ from pyspark.sql import functions as F
 
 from ..functions import similar
 from ..functions import sqltext as E
-from ..functions.arrays import empty
-from ..functions.dialect import CORE, Dialect, dialect
+from ..functions.dialect import CORE, Dialect
 from ..functions.fixed import DUPLICATE_MIN_LOC
 from ..functions.metrics import token_jaccard
-from ..functions.sqltext import Expr
-from ..streaming.shared import fresh_folder
-from .files import CODE, supported
 from .functions import explode_rows, with_functions
 
-ROW_LIMIT = 2_000
-PATTERNS = 4  # at most this many function patterns can match at one parenthesis
-
-CLASS_DDL = (
-    "struct<sid:int,n:int,words:array<string>,"
-    "members:array<struct<ord:int,loc:int,line:int,name:string>>>"
-)
 COLUMNS = ("i", "j", "line", "first", "second", "percent")
 
 
-def may_exceed(limit: int) -> Expr:
-    """True where a file could hold more than ``limit`` functions.
-
-    Every match holds an opening parenthesis, so their number bounds it.
-    """
-    parens = E.length(CODE) - E.length(E.replace(CODE, "(", ""))
-    return parens * PATTERNS > limit
-
-
-def any_large(files: DataFrame, limit: int) -> bool:
-    """Whether some file could exceed the limit: one pass over the text that
-    stops at the first hit. It decides the plan, never the result."""
-    if files.isStreaming:
-        return False
-    return not supported(files).filter(may_exceed(limit).column).isEmpty()
-
-
-def row_pairs(fns: Expr, limit: int | None = None) -> Expr:
-    """Pairs found inside the row, none for a file above the limit."""
-    pairs = similar.duplicate_pairs(fns)
-    if limit is None:
-        return pairs
-    return E.when(E.size(fns) <= limit, pairs).otherwise(empty(similar.PAIR_DDL))
+def duplicate_groups(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
+    """Rows (file_id, a, b, percent, copies): each pair of ``a`` and ``b`` is a duplicate;
+    of copies, ``a`` and ``b`` are one list."""
+    found = with_functions(files, profile, ("words",))
+    groups = similar.duplicate_groups(E.col("fns"))
+    return explode_rows(found, groups, "g", "file_id").select("file_id", "g.*")
 
 
-def duplicate_pairs(
-    files: DataFrame, profile: str | Dialect = CORE, limit: int = ROW_LIMIT
-) -> DataFrame:
+def duplicate_pairs(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
     """Rows (file_id, i, j, line, first, second, percent), i before j."""
-    d = dialect(profile)
-    large = any_large(files, limit)
-    rows = explode_rows(
-        with_functions(files, d, ("words",)),
-        row_pairs(E.col("fns"), limit if large else None),
-        "p",
-        "file_id",
-    ).select("file_id", *(f"p.{k}" for k in COLUMNS))
-    return rows.unionByName(spread_pairs(files, d, limit)) if large else rows
-
-
-def written_classes(files: DataFrame, d: Dialect, limit: int) -> DataFrame:
-    """Word sets of the files above the limit, kept as a table in the shared
-    folder: the joins below read them eight times."""
-    fns = E.col("fns")
-    found = E.when(E.size(fns) > limit, similar.word_classes(fns)).otherwise(empty(CLASS_DDL))
-    large = with_functions(supported(files).filter(may_exceed(limit).column), d, ("words",))
-    classes = explode_rows(large, found, "c", "file_id").select("file_id", "c.*")
-    spark = files.sparkSession
-    path = fresh_folder(spark, "word-classes")
-    classes.write.parquet(path)
-    return spark.read.schema(classes.schema).parquet(path)
-
-
-def spread_pairs(
-    files: DataFrame, profile: str | Dialect = CORE, limit: int = ROW_LIMIT
-) -> DataFrame:
-    """Pairs of the files above the limit, by joins on (file, word)."""
-    classes = written_classes(files, dialect(profile), limit)
-    prefixes = classes.select(
-        "file_id",
-        "sid",
-        "n",
-        F.explode(similar.prefix_words(E.col("words"), E.col("n")).column).alias("word"),
-    )
-    left = prefixes.select("file_id", "word", F.col("sid").alias("a"), F.col("n").alias("n_a"))
-    right = prefixes.select("file_id", "word", F.col("sid").alias("b"), F.col("n").alias("n_b"))
-    meeting = (
-        left.join(right, ["file_id", "word"])
-        .filter(
-            (F.col("a") < F.col("b"))
-            & (F.col("n_a") * 5 > F.col("n_b") * 4)
-            & (F.col("n_b") * 5 > F.col("n_a") * 4)
-        )
-        .select("file_id", "a", "b")
-        .distinct()
+    first = duplicate_groups(files, profile).select(
+        "file_id", "b", "percent", "copies", F.explode("a").alias("x")
     )
-
-    def sets(side: str) -> DataFrame:
-        return classes.select(
-            "file_id",
-            F.col("sid").alias(side),
-            F.col("n").alias(f"n_{side}"),
-            F.col("words").alias(f"words_{side}"),
-        )
-
-    shared = F.size(F.array_intersect("words_a", "words_b"))
-    sizes = E.col("shared"), E.col("n_a"), E.col("n_b")
-    verified = (
-        meeting.join(sets("a"), ["file_id", "a"])
-        .join(sets("b"), ["file_id", "b"])
-        .select("file_id", "a", "b", "n_a", "n_b", shared.alias("shared"))
-        .filter(similar.close_enough(*sizes).column)
-        .select(
-            "file_id",
-            "a",
-            "b",
-            similar.percent_of(*sizes).alias("percent").column,
-        )
-    )
-    members = classes.select("file_id", "sid", F.explode("members").alias("m"))
-
-    def side(name: str, member: str) -> DataFrame:
-        return members.select("file_id", F.col("sid").alias(name), F.col("m").alias(member))
-
-    across = (
-        verified.join(side("a", "x"), ["file_id", "a"])
-        .join(side("b", "y"), ["file_id", "b"])
-        .select("file_id", "x", "y", "percent")
-    )
-    # Copies: every pair of one set is a result row of its own.
-    within = (
-        side("a", "x")
-        .filter(F.col("x.loc") > DUPLICATE_MIN_LOC)
-        .join(side("a", "y"), ["file_id", "a"])
-        .filter(F.col("x.ord") < F.col("y.ord"))
-        .select("file_id", "x", "y", F.lit(100).alias("percent"))
+    # A pair whose earlier function is short is no result: leave it out early.
+    first = first.filter(~F.col("copies") | (F.col("x.loc") > DUPLICATE_MIN_LOC))
+    both = first.select("file_id", "percent", "copies", "x", F.explode("b").alias("y")).filter(
+        ~F.col("copies") | (F.col("x.ord") < F.col("y.ord"))
     )
     pair = similar.ordered_pair(E.col("x"), E.col("y"), E.col("percent"))
     return (
-        across.unionByName(within)
-        .select("file_id", pair.alias("p").column)
+        both.select("file_id", pair.alias("p").column)
         .filter(F.col("p.loc") > DUPLICATE_MIN_LOC)
         .select("file_id", *(f"p.{k}" for k in COLUMNS))
     )
 
 
+def listed_pairs(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
+    """The same rows from the list of pairs that the nested analysis holds."""
+    found = with_functions(files, profile, ("words",))
+    return explode_rows(found, similar.duplicate_pairs(E.col("fns")), "p", "file_id").select(
+        "file_id", *(f"p.{k}" for k in COLUMNS)
+    )
+
+
 def body_similarity(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
     """Each function's word set against the next function's, with the set sizes."""
     fns = E.col("fns")

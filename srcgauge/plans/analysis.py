@@ -1,8 +1,7 @@
 """The whole analysis: one nested row per file.
 
 Everything about a file is computed inside its row, so the plan is a single
-projection over the scan. Only the duplicate search of files with thousands of
-functions leaves the row (see ``operators.duplicates``).
+projection over the scan, for files of any size.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from ..functions import findings, fntable
 from ..functions import sqltext as E
 from ..functions.arrays import empty
 from ..functions.dialect import CORE, Dialect, dialect
-from ..functions.similar import PAIR_DDL
+from ..functions.similar import PAIR_DDL, duplicate_pairs
 from ..functions.sqltext import Expr
 from ..operators import duplicates
 from ..operators.files import CODE, LANG, summary_struct, supported
@@ -27,36 +26,15 @@ KEYS = ("file_id", "filename", "language")
 
 
 def _with_pairs(
-    files: DataFrame, d: Dialect, want: tuple[str, ...], anchor: str, limit: int
+    files: DataFrame, d: Dialect, want: tuple[str, ...], anchor: str
 ) -> DataFrame:
     """Supported files with code, ``fns`` and the duplicate ``pairs``."""
     columns = [*KEYS, "code", "fns"]
     if not d.is_core:  # the service has no duplicate rule
-        return with_functions(files, d, want, anchor).select(
-            *columns, empty(PAIR_DDL).alias("pairs").column
-        )
-
-    def of(part: DataFrame, upto: int | None = None) -> DataFrame:
-        return with_functions(part, d, (*want, "words"), anchor).select(
-            *columns, duplicates.row_pairs(FNS, upto).alias("pairs").column
-        )
-
-    if not duplicates.any_large(files, limit):
-        return of(files)
-    exceeds = duplicates.may_exceed(limit).column
-
-    fields = [F.col(k) for k in duplicates.COLUMNS]
-    spread = (
-        duplicates.spread_pairs(files, d, limit)
-        .groupBy("file_id")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("spread"))
-    )
-    large = (
-        of(files.filter(exceeds), limit)
-        .join(spread, "file_id", "left")
-        .select(*columns, F.coalesce("spread", "pairs").alias("pairs"))
-    )
-    return of(files.filter(~exceeds)).unionByName(large)
+        found = with_functions(files, d, want, anchor)
+        return found.select(*columns, empty(PAIR_DDL).alias("pairs").column)
+    found = with_functions(files, d, (*want, "words"), anchor)
+    return found.select(*columns, duplicate_pairs(FNS).alias("pairs").column)
 
 
 def _issues(limits: Mapping[str, Expr], d: Dialect) -> Expr:
@@ -76,13 +54,12 @@ def with_issues(
     thresholds: Mapping[str, object] | None = None,
     want: tuple[str, ...] = ("cc", "nesting", "returns"),
     anchor: str = "reference",
-    limit: int = duplicates.ROW_LIMIT,
 ) -> DataFrame:
     """Files with ``fns`` and the ordered array ``linterIssues``."""
     d = dialect(profile)
     limits = findings.resolve_limits(thresholds)
     return (
-        _with_pairs(files, d, want, anchor, limit)
+        _with_pairs(files, d, want, anchor)
         .withColumn("cases", findings.case_count(CODE, LANG, d).column)
         .select(*KEYS, "code", "fns", _issues(limits, d).alias("linterIssues").column)
     )
@@ -92,10 +69,9 @@ def lint_all(
     files: DataFrame,
     profile: str | Dialect = CORE,
     thresholds: Mapping[str, object] | None = None,
-    limit: int = duplicates.ROW_LIMIT,
 ) -> DataFrame:
     """One row per finding with its place ``issue_ord`` in the file."""
-    found = with_issues(files, profile, thresholds, limit=limit)
+    found = with_issues(files, profile, thresholds)
     return posexplode_rows(
         found, E.col("linterIssues"), "issue_ord", "x", "file_id"
     ).select("file_id", "issue_ord", "x.*")
@@ -139,10 +115,8 @@ def lint_large_switch(files: DataFrame, profile: str | Dialect = CORE) -> DataFr
     ).select("file_id", "x.*")
 
 
-def lint_duplicate(
-    files: DataFrame, profile: str | Dialect = CORE, limit: int = duplicates.ROW_LIMIT
-) -> DataFrame:
-    pairs = duplicates.duplicate_pairs(files, profile, limit)
+def lint_duplicate(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
+    pairs = duplicates.duplicate_pairs(files, profile)
     issue = findings.duplicate_issue(E.struct(*(E.col(k).alias(k) for k in duplicates.COLUMNS)))
     return pairs.select("file_id", "i", "j", issue.alias("x").column).select(
         "file_id", "i", "j", "x.*"
@@ -177,12 +151,11 @@ def analyze(
     profile: str | Dialect = CORE,
     thresholds: Mapping[str, object] | None = None,
     anchor: str = "reference",
-    limit: int = duplicates.ROW_LIMIT,
 ) -> DataFrame:
     """The nested analysis document of every supported file."""
     d = dialect(profile)
     want = ("cc", "halstead", "nesting", "returns")
-    return with_issues(files, d, thresholds, want, anchor, limit).select(
+    return with_issues(files, d, thresholds, want, anchor).select(
         *KEYS,
         summary_struct(CODE, LANG, E.size(FNS), d).alias("summary").column,
         E.transform(FNS, fntable.public_function).alias("functions").column,
@@ -201,12 +174,10 @@ def result_json(analysis: DataFrame) -> DataFrame:
     return analysis.select("file_id", F.to_json(F.struct(*fields)).alias("result"))
 
 
-def file_counts(
-    files: DataFrame, profile: str | Dialect = CORE, limit: int = duplicates.ROW_LIMIT
-) -> DataFrame:
+def file_counts(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
     """Functions, issues and suggestions per file."""
     d = dialect(profile)
-    return with_issues(files, d, limit=limit).select(
+    return with_issues(files, d).select(
         "file_id",
         F.size("fns").alias("functionCount"),
         F.size("linterIssues").alias("issueCount"),

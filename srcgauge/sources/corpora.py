@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import spread, table
+from .tables import table
 
 DOC_ENDINGS = ("js", "jsx", "ts", "tsx", "mjs", "cjs", "py", "pyw", "md")
 FUNCTIONS_PER_FILE = 5
@@ -32,8 +32,7 @@ def documents_as_files(df: DataFrame) -> DataFrame:
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return documents_as_files(spread(text))
+    return documents_as_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _when(condition: Column, text: str) -> Column:

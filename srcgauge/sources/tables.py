@@ -7,14 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use every core for a scan of fewer splits than cores.
-
-    The metrics are bound by the processor, so a small file read as one split
-    would leave the other cores idle. A large table has more splits than cores
-    and is passed on as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

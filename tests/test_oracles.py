@@ -1,19 +1,12 @@
-"""A sample of the registered queries beside their SQL twins; all of them run
-with ``python tests/oracle_check.py DIR``."""
+"""Every registered query beside its SQL twin."""
 
 import pytest
 
 import __spark_entry__ as entry
+from srcgauge import catalog
 from tests.oracle_check import compare
 
-SAMPLE = (
-    "line_split", "strip_noise", "token_class", "file_summary", "functions_all_service",
-    "dup_logic_pairs_spread", "heat_overlay", "badge_rows", "analysis_result", "change_only",
-    "page_code_text", "stream_latest",
-)
-
-
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, sf_dir, name):
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
     assert compare(spark, con, query, sql, sf_dir) == ""

@@ -1,6 +1,7 @@
 """Random code, Spark against the SQL twins."""
 
 import random
+import time
 from pathlib import Path
 
 import pandas as pd
@@ -67,12 +68,8 @@ CASES = {
         lambda df: catalog.flat_issues(analysis.lint_all(df), "issue_ord"),
         S.W(S.issues_ctes(), "SELECT * FROM issues"),
     ),
-    "lint_spread": (
-        lambda df: catalog.flat_issues(analysis.lint_all(df, limit=3), "issue_ord"),
-        S.W(S.issues_ctes(), "SELECT * FROM issues"),
-    ),
     "pairs": (
-        lambda df: duplicates.duplicate_pairs(df, limit=4).select(
+        lambda df: duplicates.duplicate_pairs(df).select(
             "file_id", "i", "j", "first", "second", "percent"
         ),
         S.W(f"{S.function_ctes()},{S.DUP}", "SELECT file_id, i, j, first, second, percent FROM pairs"),
@@ -95,15 +92,59 @@ def test_random_code(both, spark, case):
     assert compare(spark, con, lambda *_: ours(df), twin, "") == ""
 
 
-def test_copies_meet_in_both_ways(spark):
-    """A file of near copies: rows inside and spread give the same pairs."""
+COPIES = "file_id bigint, filename string, code string"
+
+
+def near_copies() -> str:
     def body(i: int) -> str:
         extra = " ".join(f"w{j}" for j in range(i % 7))
         return f"function f{i % 3}(a) {{\n one two three four five\n six seven eight\n {extra}\n\n\n}}\n"
 
-    code = "".join(body(i) for i in range(60))
-    df = spark.createDataFrame([(1, "a.js", code)], "file_id bigint, filename string, code string")
-    inside = duplicates.duplicate_pairs(df).collect()
-    spread = duplicates.duplicate_pairs(df, limit=0).collect()
-    assert len(inside) > 300
-    assert sorted(inside) == sorted(spread)
+    return "".join(body(i) for i in range(60))
+
+
+def test_listed_and_grouped_pairs_agree(spark):
+    df = spark.createDataFrame([(1, "a.js", near_copies())], COPIES)
+    listed = duplicates.listed_pairs(df).collect()
+    assert len(listed) > 300
+    assert sorted(listed) == sorted(duplicates.duplicate_pairs(df).collect())
+    groups = duplicates.duplicate_groups(df).collect()
+    assert len(groups) < len(listed) / 3 and sum(len(g.a) for g in groups if g.copies) == 60
+
+
+def test_repeated_ids_and_null_code(spark):
+    """Each row is a file of its own; a null code changes no other row."""
+    code = near_copies()
+    one = spark.createDataFrame([(1, "a.js", code)], COPIES)
+    two = spark.createDataFrame([(1, "a.js", code), (1, "a.js", code), (2, "b.js", None)], COPIES)
+    for rows in (duplicates.duplicate_pairs, analysis.lint_all):
+        assert rows(two).count() == 2 * rows(one).count()
+    assert analysis.analyze(two).count() == analysis.analyze(one).count() * 2 + 1
+
+
+def test_no_job_runs_while_the_plan_is_built(spark):
+    df = spark.createDataFrame([(1, "a.js", near_copies())], COPIES)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans")
+    try:
+        for build in (duplicates.duplicate_pairs, analysis.lint_all, analysis.analyze):
+            build(df)
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_dissimilar_functions_that_share_a_word(spark):
+    """Time follows the functions, not their pairs."""
+    def timed(n: int) -> float:
+        code = "".join(
+            f"function f{i}(a) {{\n sharedword_sharedword a{i} b{i}\n c{i}\n d{i}\n e{i}\n\n}}\n"
+            for i in range(n)
+        )
+        df = spark.createDataFrame([(1, "a.js", code)], COPIES)
+        start = time.perf_counter()
+        assert duplicates.duplicate_pairs(df).count() == 0
+        return time.perf_counter() - start
+
+    timed(500)
+    assert timed(5000) < 30
