@@ -579,8 +579,9 @@ def kinds_sql() -> str:
 
 
 def limit_sql(default: int) -> str:
-    digits = r"regexp_extract(raw, '^\s*([+-]?[0-9]{1,9})', 1)"
-    return f"coalesce(nullif(try_cast({digits} AS INTEGER), 0), {default})"
+    number = r"try_cast(regexp_extract(raw, '^\s*([+-]?[0-9]+)', 1) AS HUGEINT)"
+    kept = f"CASE WHEN {number} IS NOT NULL THEN least(2147483647, greatest(-2147483647, {number})) END"
+    return f"coalesce(nullif({kept}, 0), {default})::INTEGER"
 
 
 _tokens_docs = f"""c AS (SELECT file_id, language, {clean_sql("code")} AS clean FROM src),
@@ -762,6 +763,10 @@ SELECT file_id, coalesce(filename, ''), '', 'missing field: code' FROM raw WHERE
     "lint_all_custom_limits": code(
         issues_ctes(True, {"loc": 30, "nesting": 2, "params": 4, "cc": 8}), "SELECT * FROM issues"
     ),
+    "lint_all_core_limits": code(
+        issues_ctes(False, {"loc": 30, "nesting": 3, "params": 5, "cc": 2147483647}),
+        "SELECT * FROM issues",
+    ),
     "refactor_all": code(f"{measured_ctes()},{advice_cte()}", "SELECT * FROM advice"),
     "refactor_all_service": code(f"{measured_ctes(True)},{advice_cte(True)}", "SELECT * FROM advice"),
     "issue_message": code(
@@ -770,7 +775,8 @@ SELECT file_id, coalesce(filename, ''), '', 'missing field: code' FROM raw WHERE
         "SELECT file_id, 'advice', ord, description FROM advice",
     ),
     "thresholds_resolve": f"""WITH r AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'none'
-  WHEN 1 THEN ' ' || p_size || ' lines' WHEN 2 THEN '0' WHEN 3 THEN '' ELSE (-p_size)::VARCHAR END AS raw FROM part)
+  WHEN 1 THEN ' ' || p_size || ' lines' WHEN 2 THEN '0' WHEN 3 THEN
+  CASE WHEN p_size % 2 = 0 THEN '' ELSE '99999999' || p_size || 'x' END ELSE (-p_size)::VARCHAR END AS raw FROM part)
 SELECT p_partkey, {limit_sql(50)} AS max_loc, {limit_sql(3)} AS max_nesting, {limit_sql(5)} AS max_params,
   {limit_sql(10)} AS max_cc FROM r""",
     "display_attrs": code(

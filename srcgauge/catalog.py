@@ -506,6 +506,12 @@ for _name, _rule in {
     _refactor_query(_name, _rule)
 
 
+@query("lint_all_core_limits")
+def _(spark, sf):
+    limits = {"loc": "30 lines", "nesting": "0", "params": "abc", "cc": "99999999999"}
+    return flat_issues(analysis.lint_all(code(spark, sf), thresholds=limits), "issue_ord")
+
+
 @query("refactor_all")
 def _(spark, sf):
     return analysis.refactor_all(code(spark, sf)).select("file_id", "ord", *SUGGESTION)
@@ -533,7 +539,12 @@ def _(spark, sf):
         F.when(F.col("p_size") % 5 == 0, F.lit("none"))
         .when(F.col("p_size") % 5 == 1, F.concat(F.lit(" "), "p_size", F.lit(" lines")))
         .when(F.col("p_size") % 5 == 2, F.lit("0"))
-        .when(F.col("p_size") % 5 == 3, F.lit(""))
+        .when(
+            F.col("p_size") % 5 == 3,
+            F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(
+                F.concat(F.lit("99999999"), "p_size", F.lit("x"))
+            ),
+        )
         .otherwise((-F.col("p_size")).cast("string"))
     )
     return (
@@ -707,7 +718,7 @@ def _(spark, sf):
         fresh_folder(spark, "stream-history-checkpoint"),
         analysed_at(),
     ).awaitTermination()
-    return shown_history(spark.read.parquet(path))
+    return shown_history(history.read_history(spark, path))
 
 
 @query("stream_latest")
@@ -718,7 +729,10 @@ def _(spark, sf):
         jobs.stream_table(spark, f"{sf}/events.parquet", EVENT_DDL),
         "user_id", values, order, path, fresh_folder(spark, "stream-latest-checkpoint"),
     ).awaitTermination()
-    return jobs.read_latest(spark, path, "user_id", ["event_id", *values], order)
+    return jobs.read_latest(
+        spark, path, "user_id", ["event_id", *values], order,
+        "user_id bigint, ts timestamp, event_id bigint, event_type string, value double",
+    )
 
 
 @query("stream_change_only")
@@ -730,4 +744,6 @@ def _(spark, sf):
         "user_id", "event_type", ["ts", "event_id"], day_of_event(),
         path, fresh_folder(spark, "stream-changes-checkpoint"),
     ).awaitTermination()
-    return jobs.read_changes(spark, path, ["user_id", "event_id", "event_type"])
+    return jobs.read_changes(
+        spark, path, ["user_id", "event_id", "event_type"], "user_id bigint, event_id bigint, event_type string"
+    )

@@ -19,21 +19,31 @@ SUGGESTION_DDL = (
     "description:string,pattern:string>"
 )
 
+_TOP = 2**31 - 1
+
 
 def resolve_limit(raw: Expr, name: str) -> Expr:
-    """A user's limit: leading whole number, or the default if none or zero."""
-    digits = F.regexp_extract(raw.cast("string"), r"^\s*([+-]?[0-9]{1,9})", 1)
-    return F.coalesce(
-        F.nullif(digits.try_cast("int"), F.lit(0)), F.lit(fixed.DEFAULT_LIMITS[name])
+    """A user's limit: its leading whole number, or the default if none or zero.
+
+    A number beyond the range of a count is the largest one, which is as good.
+    """
+    sign, digits = (F.regexp_extract(raw.cast("string"), r"^\s*([+-]?)0*([0-9]+)", i) for i in (1, 2))
+    size = F.when(F.length(digits) > 10, F.lit(_TOP)).otherwise(
+        F.least(digits.try_cast("bigint"), F.lit(_TOP))
     )
+    size = F.when(digits != "", size)  # least() would pass over a null
+    number = F.when(sign == "-", size * -1).otherwise(size).cast("int")
+    return F.coalesce(F.nullif(number, F.lit(0)), F.lit(fixed.DEFAULT_LIMITS[name]))
 
 
 def resolve_limits(limits: Mapping[str, object] | None) -> dict[str, Expr]:
+    """All limits; given ones are read as a user writes them, None is the default."""
     given = dict(limits or {})
     if unknown := set(given) - set(fixed.DEFAULT_LIMITS):
         raise ValueError(f"unknown limits: {sorted(unknown)}")
     return {
-        k: F.lit(int(given.get(k) or default)) for k, default in fixed.DEFAULT_LIMITS.items()
+        k: F.lit(default) if given.get(k) is None else resolve_limit(F.lit(str(given[k])), k)
+        for k, default in fixed.DEFAULT_LIMITS.items()
     }
 
 

@@ -1,12 +1,13 @@
 """Streaming forms of the analysis and of the latest-value operators.
 
-Every sink writes one folder per micro-batch and replaces it on a retry, so a
-lost executor or a restarted query leaves no duplicate rows.
+Every sink writes one folder per micro-batch and replaces the whole folder on a
+retry, so a lost executor or a restarted query leaves no duplicate rows, whatever
+partitions the first try wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ def stream_table(spark: SparkSession, path: str, schema: str, max_files: int = 1
     The path is given as a pattern matching itself: a plain path has to be a
     folder, a pattern may also name a single file.
     """
+    path = path.rstrip("/")
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
@@ -33,33 +35,49 @@ def stream_table(spark: SparkSession, path: str, schema: str, max_files: int = 1
 
 
 def _write_batch(df: DataFrame, batch: int, path: str, by: Sequence[str] = ()) -> None:
+    """Replace the folder of a batch; the reader finds ``batch`` as a partition."""
+    if by:
+        df = df.hint("rebalance", *by)
     (
-        df.withColumn("batch", F.lit(batch).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", *by)
-        .parquet(path)
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(*by)
+        .parquet(f"{path}/batch={batch}")
     )
 
 
-def _start(df: DataFrame, each, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def _make_folder(spark: SparkSession, path: str) -> None:
+    """So that a stream without a batch can be read as an empty table."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
+def _start(
+    df: DataFrame, each, checkpoint: str, trigger: Mapping[str, object], mode: str = "append"
+) -> StreamingQuery:
     return (
         df.writeStream.foreachBatch(each)
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
+#: What is there is read, then the query ends; {"processingTime": "10 seconds"} goes on.
+ALL_AVAILABLE: Mapping[str, object] = {"availableNow": True}
+
+
 def stream_analyze(
     files: DataFrame,
     history_path: str,
     checkpoint: str,
     timestamp: Column | None = None,
     profile: str = "core",
+    trigger: Mapping[str, object] = ALL_AVAILABLE,
 ) -> StreamingQuery:
     """Analyse arriving files and keep their history records."""
+    _make_folder(files.sparkSession, history_path)
     stamp = F.current_timestamp() if timestamp is None else timestamp
 
     def each(batch: DataFrame, number: int) -> None:
@@ -71,13 +89,20 @@ def stream_analyze(
             ("day", "language"),
         )
 
-    return _start(files, each, checkpoint)
+    return _start(files, each, checkpoint, trigger)
 
 
 def stream_latest(
-    df: DataFrame, key: str, values: Sequence[str], order: Sequence[str], path: str, checkpoint: str
+    df: DataFrame,
+    key: str,
+    values: Sequence[str],
+    order: Sequence[str],
+    path: str,
+    checkpoint: str,
+    trigger: Mapping[str, object] = ALL_AVAILABLE,
 ) -> StreamingQuery:
     """Running latest values per key; each batch writes the keys it changed."""
+    _make_folder(df.sparkSession, path)
     fields = [*order, *values]
     running = (
         df.groupBy(key)
@@ -85,14 +110,18 @@ def stream_latest(
         .select(key, "last.*")
     )
     return _start(
-        running, lambda batch, n: _write_batch(batch, n, path), checkpoint, mode="update"
+        running, lambda batch, n: _write_batch(batch, n, path), checkpoint, trigger, mode="update"
     )
 
 
 def read_latest(
-    spark: SparkSession, path: str, key: str, values: Sequence[str], order: Sequence[str]
+    spark: SparkSession, path: str, key: str, values: Sequence[str], order: Sequence[str],
+    schema: str | StructType | None = None,
 ) -> DataFrame:
-    return latest(spark.read.parquet(path), key, values, order)
+    """The last row of each key. With the stored columns' ``schema`` a stream without a
+    batch reads as empty."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return latest(reader.parquet(path), key, values, order)
 
 
 def stream_change_only(
@@ -103,33 +132,36 @@ def stream_change_only(
     bucket: Column,
     path: str,
     checkpoint: str,
+    trigger: Mapping[str, object] = ALL_AVAILABLE,
 ) -> StreamingQuery:
-    """Rows whose value differs from the key's previous one, across batches.
+    """Rows whose value differs from the key's previous one in order of arrival.
 
-    Inside a batch the batch operator does the work, so a hot key is split over
-    its buckets. Between batches only each key's last row is kept: one small
-    folder per batch, and a full copy every ``SNAPSHOT_EVERY`` batches.
+    Rows arrive batch by batch, and inside a batch in ``order``. A row that arrives
+    late is compared with the last row that arrived before it, as a reader of the
+    running values sees them. Inside a batch the batch operator does the work, so a
+    hot key is split over its buckets. Between batches only each key's last row is
+    kept: one small folder per batch, and a full copy every ``SNAPSHOT_EVERY`` batches.
     """
     out, deltas, snapshots = f"{path}/rows", f"{path}/state", f"{path}/snapshot"
     columns = df.columns
     stored = StructType([*df.schema.fields, StructField("batch", LongType())])
     others = [c for c in columns if c not in (key, *order)]
-
-    def last_rows(rows: DataFrame) -> DataFrame:
-        return latest(rows, key, [*order, *others], order).select(*columns)
+    _make_folder(df.sparkSession, out)
 
     def state(spark: SparkSession, upto: int, since: int) -> DataFrame | None:
+        """The last row of each key that arrived before batch ``upto``."""
         parts = []
         if since > 0:
             full = spark.read.schema(df.schema).parquet(f"{snapshots}/batch={since}")
-            parts.append(full.select(*columns))
+            parts.append(full.select(*columns, F.lit(-1).cast("bigint").alias("batch")))
         if upto > since:
             recent = spark.read.schema(stored).parquet(deltas)
-            parts.append(recent.filter(F.col("batch").between(since, upto - 1)).select(*columns))
+            recent = recent.filter(F.col("batch").between(since, upto - 1))
+            parts.append(recent.select(*columns, "batch"))
         if not parts:
             return None
         both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return last_rows(both)
+        return latest(both, key, [*order, *others], ["batch"]).select(*columns)
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -138,16 +170,33 @@ def stream_change_only(
             full = state(spark, number, number - SNAPSHOT_EVERY)
             full.write.mode("overwrite").parquet(f"{snapshots}/batch={number}")
         known = state(spark, number, since)
-        fresh = batch.select(*columns).withColumn("_old", F.lit(False))
-        if known is not None:
-            touched = known.join(batch.select(key).distinct(), key, "left_semi")
-            fresh = fresh.unionByName(touched.withColumn("_old", F.lit(True)))
-        changed = change_only(fresh, key, value, order, bucket)
-        _write_batch(changed.filter(~F.col("_old")).drop("_old"), number, out)
-        _write_batch(last_rows(batch.select(*columns)), number, deltas)
-
-    return _start(df, each, checkpoint)
-
-
-def read_changes(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows").select(*columns)
+        batch = batch.select(*columns).persist()
+        try:
+            changed = change_only(batch, key, value, order, bucket)
+            if known is not None:
+                # The first row of a key in the batch follows the last one before it.
+                first = batch.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+                before = known.select(key, F.struct(F.col(value).alias("v")).alias("_before"))
+                opening = first.join(before, key)
+                same = (F.struct(*order) == F.col("_first")) & F.col("_before.v").eqNullSafe(
+                    F.col(value)
+                )
+                changed = (
+                    changed.join(opening, key, "left")
+                    .filter(F.col("_before").isNull() | ~same)
+                    .select(*columns)
+                )
+            _write_batch(changed, number, out)
+            last = latest(batch, key, [*order, *others], order).select(*columns)
+            _write_batch(last, number, deltas)
+        finally:
+            batch.unpersist()
+
+    return _start(df, each, checkpoint, trigger)
+
+
+def read_changes(
+    spark: SparkSession, path: str, columns: Sequence[str], schema: str | StructType | None = None
+) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/rows").select(*columns)

@@ -200,6 +200,20 @@ def test_limits(analyse, spark):
         analysis.lint_all(frame(spark, ("a.py", code)), thresholds={"lines": 3})
 
 
+@pytest.mark.parametrize(
+    ("given", "used"),
+    [("30 lines", 30), ("0", 50), (0, 50), ("abc", 50), ("", 50), (None, 50), ("+7.9", 7),
+     (" 12", 12), (-5, -5), ("99999999999", None), ("-99999999999", -2147483647)],
+)
+def test_limits_as_users_write_them(spark, given, used):
+    """A file with functions of 8, 40 and 60 lines."""
+    code = "".join(f"def f{n}(a):\n" + "    x = 1\n" * (n - 1) for n in (8, 40, 60)).rstrip()
+    rows = analysis.lint_all(frame(spark, ("a.py", code)), thresholds={"loc": given}).collect()
+    found = [r.message for r in rows if r.rule == "max-function-length"]
+    lengths = [n for n in (8, 40, 60) if used is not None and n > used]
+    assert found == [f"Function 'f{n}' is {n} lines long (max {used})" for n in lengths]
+
+
 def test_profiles_differ_where_they_should(analyse):
     js = "f = (a) => {\n" + "a ? b : c;\n" * 16 + "}"
     core = analyse(("a.js", js))["a.js"]

@@ -1,5 +1,7 @@
 """History, latest values and the streaming jobs against their batch twins."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,39 @@ def test_change_only_over_batches(spark, slices, tmp_path, monkeypatch):
     assert len(list((tmp_path / "out" / "snapshot").iterdir())) == 2
 
 
+def test_change_only_in_order_of_arrival(spark, sf_dir, tmp_path, monkeypatch):
+    """Shuffled arrival: a late row follows what arrived before it, not what happened."""
+    monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 2)
+    rows = table(spark, sf_dir, "events").select(*COLUMNS, "value").toPandas()
+    rows = rows.sample(frac=1, random_state=5).reset_index(drop=True)
+    folder, last, want, step = tmp_path / "arriving", {}, set(), len(rows) // 5 + 1
+    folder.mkdir()
+    for i in range(5):
+        part = rows.iloc[i * step : (i + 1) * step]
+        part.to_parquet(folder / f"{i}.parquet", coerce_timestamps="us")
+        for r in part.sort_values(ORDER).itertuples():
+            if r.user_id not in last or last[r.user_id] != r.event_type:
+                want.add((r.user_id, r.event_id))
+            last[r.user_id] = r.event_type
+        time.sleep(0.02)  # files are taken by their time
+    jobs.stream_change_only(
+        stream(spark, str(folder)).select(*COLUMNS), "user_id", "event_type", ORDER,
+        F.to_date("ts"), str(tmp_path / "out"), str(tmp_path / "cp"),
+    ).awaitTermination()
+    got = jobs.read_changes(spark, str(tmp_path / "out"), ["user_id", "event_id"]).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_a_stream_without_rows_reads_as_empty(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    arriving = stream(spark, f"{tmp_path}/in/").select(*COLUMNS)
+    out = str(tmp_path / "out")
+    jobs.stream_change_only(
+        arriving, "user_id", "event_type", ORDER, F.to_date("ts"), out, str(tmp_path / "cp")
+    ).awaitTermination()
+    assert jobs.read_changes(spark, out, ["user_id"], "user_id bigint").count() == 0
+
+
 def test_latest_over_batches(spark, slices, tmp_path):
     events, folder = slices
     values = ["event_type", "value"]
@@ -105,6 +140,15 @@ def test_a_repeated_batch_leaves_no_copies(spark, tmp_path):
     assert spark.read.parquet(path).count() == 10
 
 
+def test_a_batch_repeated_on_another_day_leaves_no_copies(spark, tmp_path):
+    df, path = spark.range(3).toDF("id"), str(tmp_path / "t")
+    for day in ("2024-05-01", "2024-05-02"):
+        jobs._write_batch(df.withColumn("day", F.lit(day).cast("date")), 7, path, ("day",))
+    rows = spark.read.parquet(path).collect()
+    assert sorted(r.id for r in rows) == [0, 1, 2]
+    assert {(str(r.day), r.batch) for r in rows} == {("2024-05-02", 7)}
+
+
 def test_history_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         [(i, f"f{i}.py", "def f(): pass") for i in range(60)], "file_id bigint, filename string, code string"
