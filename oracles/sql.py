@@ -482,8 +482,10 @@ hl AS (SELECT file_id, ord, name, cc, heat, {cc_band("cc", 2)} AS color,
 OVERLAY = """
 ov AS (SELECT * FROM hl QUALIFY row_number() OVER (PARTITION BY file_id, line ORDER BY ord DESC) = 1)"""
 PAGES_UNION = (
-    "SELECT 'web' AS kind, page_id, url FROM pages UNION ALL SELECT 'code', file_id, "
-    "'https://code.example.com/team' || file_id % 10 || '/project/blob/main/src/' || filename FROM src"
+    "SELECT 'web' AS kind, page_id, url, NULL AS shown FROM pages UNION ALL SELECT 'code', file_id, "
+    "'https://code.example.com/team' || file_id % 10 || '/project/' || "
+    "CASE WHEN file_id % 5 = 4 THEN 'view' ELSE 'blob/main/src/' || filename END, "
+    "CASE WHEN file_id % 5 = 4 THEN filename END FROM src"
 )
 PATH = r"CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?', 1) END"
 
@@ -615,7 +617,7 @@ FROM raw WHERE code IS NOT NULL UNION ALL
 SELECT file_id, coalesce(filename, ''), '', 'missing field: code' FROM raw WHERE code IS NULL""",
     "page_is_file": W(
         CODE,
-        f"SELECT kind, page_id, kind = 'code' OR regexp_matches({PATH}, '^/[^/]+/[^/]+/blob/') AS is_file "
+        f"SELECT kind, page_id, shown IS NOT NULL OR regexp_matches({PATH}, '^/[^/]+/[^/]+/blob/') AS is_file "
         f"FROM ({PAGES_UNION})",
     ),
     "page_repo_parts": W(
@@ -626,7 +628,7 @@ SELECT file_id, coalesce(filename, ''), '', 'missing field: code' FROM raw WHERE
     ),
     "page_file_name": W(
         CODE,
-        f"SELECT kind, page_id, string_split({PATH}, '/')[-1] AS filename FROM ({PAGES_UNION})",
+        f"SELECT kind, page_id, coalesce(shown, string_split({PATH}, '/')[-1]) AS filename FROM ({PAGES_UNION})",
     ),
     "page_code_text": W(
         CODE,

@@ -68,7 +68,7 @@ def _(spark, sf):
 
 @query("page_is_file")
 def _(spark, sf):
-    is_file = pages.page_is_file(E.col("url"), E.col("html")).alias("is_file").column
+    is_file = pages.page_is_file(E.col("url"), E.col("html")).alias("is_file")
     return corpora.saved_pages(spark, sf).select("kind", "page_id", is_file)
 
 
@@ -88,13 +88,13 @@ def _(spark, sf):
 
 @query("page_file_name")
 def _(spark, sf):
-    name = pages.page_file_name(E.col("url"), E.col("html")).alias("filename").column
+    name = pages.page_file_name(E.col("url"), E.col("html")).alias("filename")
     return corpora.saved_pages(spark, sf).select("kind", "page_id", name)
 
 
 @query("page_code_text")
 def _(spark, sf):
-    text = E.coalesce(pages.page_code_text(E.col("html")), "").alias("code").column
+    text = F.coalesce(pages.page_code_text(E.col("html")), F.lit("")).alias("code")
     return corpora.saved_pages(spark, sf).select("kind", "page_id", text)
 
 

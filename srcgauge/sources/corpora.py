@@ -126,7 +126,9 @@ def _escaped(code: Column) -> Column:
 
 
 def files_as_pages(files: DataFrame) -> DataFrame:
-    """Code files written out as saved file pages in four layouts."""
+    """Code files written out as saved file pages in five layouts. The last one has
+    elements inside each other, and only its elements tell that it is a file and
+    which."""
     lines = F.split(_escaped(F.col("code")), "\n", -1)
 
     def rows(before: Column | str, after: str, number: bool = False) -> Column:
@@ -143,7 +145,7 @@ def files_as_pages(files: DataFrame) -> DataFrame:
             "",
         )
 
-    layout = F.col("file_id") % 4
+    layout = F.col("file_id") % 5
     body = (
         F.when(layout == 0, rows('<tr><td data-line-number="', "</td></tr>", number=True))
         .when(
@@ -157,15 +159,25 @@ def files_as_pages(files: DataFrame) -> DataFrame:
             layout == 2,
             F.concat(F.lit('<div class="blob-wrapper"><pre>'), _escaped(F.col("code")), F.lit("</pre></div>")),
         )
+        .when(
+            layout == 3,
+            F.concat(F.lit('<div class="data highlight">'), _escaped(F.col("code")), F.lit("</div>")),
+        )
         .otherwise(
-            F.concat(F.lit('<div class="data highlight">'), _escaped(F.col("code")), F.lit("</div>"))
+            F.concat(
+                F.lit("<ul data-testid='breadcrumbs'><li>src<li>"), "filename",
+                F.lit("</ul><main data-hpc><div class='a react-code-lines'><div><div>"),
+                F.replace(_escaped(F.col("code")), F.lit("\n"), F.lit("</div>\n<div>")),
+                F.lit("</div></div></div></main>"),
+            )
         )
-    )
+    )
+    where = F.when(layout == 4, F.lit("view")).otherwise(F.concat(F.lit("blob/main/src/"), "filename"))
     return files.select(
         F.col("file_id").alias("page_id"),
         F.concat(
             F.lit("https://code.example.com/team"), F.col("file_id") % 10,
-            F.lit("/project/blob/main/src/"), "filename",
+            F.lit("/project/"), where,
         ).alias("url"),
         F.concat(F.lit("<!DOCTYPE html><html><body>"), body, F.lit("</body></html>")).alias("html"),
     )

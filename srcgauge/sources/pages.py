@@ -1,19 +1,23 @@
 """Reading code from saved web pages: URL parts, file name and code text.
 
-Elements are found with patterns on the page source. An element's text ends at
-the first closing tag of its own name; tags inside it are dropped.
+The URL is read with built-in expressions. Elements need their own closing tags,
+which no pattern finds, so pages are walked in Arrow batches; only pages with one
+of the markers in their source are sent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as SF
 
 from ..functions import sqltext as F
-from ..functions.arrays import let
 from ..functions.sqltext import Expr
-from ..functions.text import language_detect, trim_space
+from ..functions.text import language_detect
+from . import dom
+from .dom import Element, Page, has, has_class, under
 
 # What marks a page as a file view.
 FILE_PAGE_TESTIDS = ("raw-button", "react-blob", "code-viewer")
@@ -32,52 +36,105 @@ def url_path(url: Expr) -> Expr:
     return F.when(path == "", "/").otherwise(path)
 
 
-def _class(name: str) -> str:
-    """An opening tag's attributes up to its end, holding a class name."""
-    return rf'\s[^>]*?class="(?:[^">]*\s)?{name}(?:\s[^">]*)?"[^>]*+'
-
-
-def _attr(name: str, value: str | None = None) -> str:
-    return rf'\s[^>]*?{name}="{value}"[^>]*+' if value else rf"\s[^>]*?{name}[\s=>/][^>]*+"
-
-
-def _tag(attrs: str, tag: str = r"[A-Za-z][A-Za-z0-9\-]*+") -> str:
-    return rf"<({tag}){attrs}>"
+# Selectors of file names, code lines and whole blocks, in their order.
+NAME_SELECTORS = (
+    has("data-testid", "breadcrumbs-filename"),
+    under(has("data-testid", "breadcrumbs"), lambda e: e.tag == "li" and e.after is None),
+    under(has_class("react-directory-filename-column"), lambda e: e.tag == "a"),
+    has_class("final-path"),
+    under(has("data-testid", tag="h2"), has_class("Link--primary")),
+)
+LINE_SELECTORS = (
+    under(has_class("react-code-line-contents"), has_class("react-code-text")),
+    under(has_class("react-code-line-contents"), has("data-testid", "react-code-text")),
+    has_class("react-code-line-contents"),
+    has_class("react-file-line"),
+    has_class("blob-code", tag="td"),
+    has_class("blob-code-inner", tag="td"),
+    lambda e: e.tag == "td" and e.before is not None and "data-line-number" in e.before.attributes,
+    lambda e: e.before is not None and "data-line-number" in e.before.attributes,
+    lambda e: "react-code-line" in e.classes or "blob-code" in e.classes,
+)
+TEXT_SELECTORS = (
+    has_class("react-code-text"),
+    has("data-testid", "react-code-text"),
+    has_class("react-code-line-contents"),
+    has_class("react-file-line"),
+    has_class("blob-code-inner"),
+)
+CODE_TAGS = ("pre", "code", "table")
+#: A page without any of these has none of the elements above.
+HINTS = ("data-testid", "blob-", "react-", "data-line-number", "final-path", "Link--primary", "highlight")
 
 
-def _inner_all(html: Expr, opening: str) -> Expr:
-    return F.regexp_extract_all(html, F.lit(rf"(?s){opening}(.*?)(?:</\1\s*>|\z)"), F.lit(2))
+def _marked(e: Element) -> bool:
+    return (
+        e.attributes.get("data-testid") in FILE_PAGE_TESTIDS
+        or not e.classes.isdisjoint(FILE_PAGE_CLASSES)
+        or "data-line-number" in e.attributes
+    )
 
 
-def text_content(inner: Expr) -> Expr:
-    """Element text: tags dropped, entities replaced."""
-    text = F.regexp_replace(inner, r"<[^>]*+>", "")
-    for entity, plain in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+def _name(page: Page) -> str | None:
+    for selector in NAME_SELECTORS:
+        found = page.first(selector)
+        if found is not None and (text := found.text.strip()):
+            return text
+    return None
+
+
+def _line(e: Element) -> str:
+    return e.text.replace("\r", "").removesuffix("\n")
+
+
+def _code(page: Page) -> str | None:
+    """Code of a page: line cells first, then whole blocks."""
+    lines = next((found for s in LINE_SELECTORS if (found := page.all(s))), [])
+    texts = [_line(e) for e in lines]
+    if any(texts):
+        return "\n".join(texts)
+    for selector in TEXT_SELECTORS:
+        if found := page.all(selector):
+            return "\n".join(e.text for e in found)
+    blob = has("data-testid", "react-blob")
+    wrapper = page.first(lambda e: "blob-wrapper" in e.classes or blob(e))
+    if wrapper is not None:
+        code = page.first(lambda e: e.tag in CODE_TAGS and e.inside(lambda x: x is wrapper))
+        if code is not None:
+            return code.text
+    inside = under(has("data-hpc"), has_class("react-code-lines"))
+    for selector in (
+        has_class("data", "highlight"),
+        lambda e: inside(e) or "react-blob-print-hide" in e.classes,
+    ):
+        if (found := page.first(selector)) is not None:
+            return found.text
+    return None
+
+
+def _reader(what: Callable[[Page], object], ddl: str) -> Callable[[Column], Column]:
+    """A column function of the page source, null for pages without a hint."""
+
+    @SF.pandas_udf(ddl)
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(
+                [None if source is None else what(dom.read(source)) for source in batch], dtype=object
+            )
 
+    def of(html: Column) -> Column:
+        hinted = SF.lit(False)
+        for hint in HINTS:
+            hinted = hinted | SF.contains(html, SF.lit(hint))
+        return read(SF.when(hinted, html))
 
-def _line_text(inner: Expr) -> Expr:
-    plain = F.replace(text_content(inner), F.lit("\r"), F.lit(""))
-    return F.regexp_replace(plain, r"\n\z", "")
+    return of
 
 
-def page_is_file(url: Expr, html: Expr) -> Expr:
-    by_path = F.regexp_like(url_path(url), F.lit(r"^/[^/]+/[^/]+/blob/"))
-    marks = [_tag(_attr("data-testid", v)) for v in FILE_PAGE_TESTIDS]
-    marks += [_tag(_class(c)) for c in FILE_PAGE_CLASSES]
-    marks += [_tag(_attr("data-line-number"))]
-    hints = ("data-testid", "blob-code", "react-", "data-line-number")
-    # The plain text search keeps the patterns off pages without any marker.
-    hinted = F.lit(False)
-    for h in hints:
-        hinted = hinted | F.contains(html, F.lit(h))
-    found = F.lit(False)
-    for m in marks:
-        found = found | F.regexp_like(html, F.lit(m))
-    return by_path | (hinted & found)
+def page_is_file(url: Expr, html: Expr) -> Column:
+    by_path = F.regexp_like(url_path(url), F.lit(r"^/[^/]+/[^/]+/blob/")).column
+    marked = _reader(lambda page: page.first(_marked) is not None, "boolean")
+    return SF.coalesce(by_path, SF.lit(False)) | SF.coalesce(marked(html.column), SF.lit(False))
 
 
 def page_repo_parts(url: Expr) -> Expr:
@@ -91,115 +148,15 @@ def page_repo_parts(url: Expr) -> Expr:
     )
 
 
-def page_file_name(url: Expr, html: Expr) -> Expr:
+def page_file_name(url: Expr, html: Expr) -> Column:
     """First non-blank breadcrumb, else the last piece of the path."""
+    last = F.element_at(F.split(url_path(url), "/", -1), -1).column
+    return SF.coalesce(_reader(_name, "string")(html.column), last)
 
-    def first(opening: str, hint: str, within: str | None = None) -> Expr:
-        scope = html
-        if within:
-            scope = F.get(_inner_all(html, within), F.lit(0))
-        name = trim_space(text_content(F.get(_inner_all(scope, opening), F.lit(0))))
-        return F.when(F.contains(html, F.lit(hint)), F.when(name != "", name))
-
-    crumbs = _attr("data-testid", "breadcrumbs")
-    last_item = trim_space(
-        text_content(
-            F.element_at(
-                F.concat(
-                    F.array(F.lit("")),
-                    _inner_all(F.get(_inner_all(html, _tag(crumbs)), F.lit(0)), _tag("[^>]*+", "li")),
-                ),
-                -1,
-            )
-        )
-    )
-    return F.coalesce(
-        first(_tag(_attr("data-testid", "breadcrumbs-filename")), "breadcrumbs-filename"),
-        F.when(
-            F.contains(html, F.lit('data-testid="breadcrumbs"')), F.when(last_item != "", last_item)
-        ),
-        first(
-            _tag("[^>]*+", "a"), "react-directory-filename-column",
-            _tag(_class("react-directory-filename-column")),
-        ),
-        first(_tag(_class("final-path")), "final-path"),
-        first(_tag(_class("Link--primary")), "Link--primary", _tag(r"\s[^>]*?data-testid[^>]*+", "h2")),
-        F.element_at(F.split(url_path(url), "/", -1), -1),
-    )
-
-
-def page_code_text(html: Expr) -> Expr:
-    """Code of a saved page: line cells first, then whole-block fallbacks."""
-    contents = _tag(_class("react-code-line-contents"))
-    code_text = _tag(_class("react-code-text"))
-    code_testid = _tag(_attr("data-testid", "react-code-text"))
-
-    def guarded(hint: str, cells: Expr) -> Expr:
-        """The cells if there are any; the pattern only runs when the hint occurs."""
-        return F.when(
-            F.contains(html, F.lit(hint)),
-            let(cells, lambda xs: F.when(F.size(xs) > 0, xs)),
-        )
-
-    def inside(opening: str) -> Expr:
-        nested = F.transform(
-            _inner_all(html, contents), lambda part: F.get(_inner_all(part, opening), F.lit(0))
-        )
-        return F.filter(nested, lambda x: x.is_not_null())
-
-    def after_number(tag: str) -> Expr:
-        number = rf"<[A-Za-z][^>]*?\sdata-line-number[^>]*+>[^<]*+</[A-Za-z]++>\s*+"
-        return F.regexp_extract_all(
-            html, F.lit(rf"(?s){number}<({tag})\b[^>]*+>(.*?)</\1\s*>"), F.lit(2)
-        )
-
-    cells = F.coalesce(
-        guarded("react-code-line-contents", inside(code_text)),
-        guarded("react-code-line-contents", inside(code_testid)),
-        guarded("react-code-line-contents", _inner_all(html, contents)),
-        guarded("react-file-line", _inner_all(html, _tag(_class("react-file-line")))),
-        guarded("blob-code", _inner_all(html, _tag(_class("blob-code"), "td"))),
-        guarded("blob-code-inner", _inner_all(html, _tag(_class("blob-code-inner"), "td"))),
-        guarded("data-line-number", after_number("td")),
-        guarded("data-line-number", after_number("[A-Za-z]++")),
-        guarded("-code", _inner_all(html, _tag(_class("(?:react-code-line|blob-code)")))),
-    )
-    from_lines = let(
-        F.transform(cells, _line_text),
-        lambda xs: F.when(F.exists(xs, lambda x: F.length(x) > 0), F.array_join(xs, "\n")),
-    )
-
-    def block(hint: str, opening: str) -> Expr:
-        return guarded(hint, _inner_all(html, opening))
 
-    def joined(found: Expr, to: Callable[[Expr], Expr] = text_content) -> Expr:
-        return F.array_join(F.transform(found, to), "\n")
-
-    wrapper = F.coalesce(
-        block("blob-wrapper", _tag(_class("blob-wrapper"))),
-        block("react-blob", _tag(_attr("data-testid", "react-blob"))),
-    )
-    in_wrapper = F.get(
-        _inner_all(F.get(wrapper, F.lit(0)), _tag("[^>]*+", "pre|code|table")), F.lit(0)
-    )
-    lists = [
-        joined(block("react-code-text", code_text)),
-        joined(block("react-code-text", code_testid)),
-        joined(block("react-code-line-contents", contents)),
-        joined(block("react-file-line", _tag(_class("react-file-line")))),
-        joined(block("blob-code-inner", _tag(_class("blob-code-inner")))),
-    ]
-    singles = [
-        text_content(in_wrapper),
-        text_content(
-            F.get(block("highlight", _tag(r'\s[^>]*?class="(?:[^">]*\s)?data\s(?:[^">]*\s)?highlight(?:\s[^">]*)?"[^>]*+')), F.lit(0))
-        ),
-        text_content(F.get(block("react-code-lines", _tag(_class("react-code-lines"))), F.lit(0))),
-        text_content(
-            F.get(block("react-blob-print-hide", _tag(_class("react-blob-print-hide"))), F.lit(0))
-        ),
-    ]
-    return F.coalesce(from_lines, *lists, *singles)
+def page_code_text(html: Expr) -> Column:
+    """Code of a saved page; null if it shows none."""
+    return _reader(_code, "string")(html.column)
 
 
 def pages_to_files(pages: DataFrame) -> DataFrame:
@@ -208,13 +165,13 @@ def pages_to_files(pages: DataFrame) -> DataFrame:
     The gates on URL and name come before the code is read.
     """
     url, html, name = F.col("url"), F.col("html"), F.col("filename")
-    named = pages.filter(page_is_file(url, html).column).select(
+    named = pages.filter(page_is_file(url, html)).select(
         F.col("page_id").alias("file_id").column,
-        page_file_name(url, html).alias("filename").column,
+        page_file_name(url, html).alias("filename"),
         "html",
     )
     return (
         named.filter((language_detect(name) != "unknown").column)
-        .select("file_id", "filename", page_code_text(html).alias("code").column)
+        .select("file_id", "filename", page_code_text(html).alias("code"))
         .filter("code is not null")
     )

@@ -10,7 +10,7 @@ BLOB = "https://code.example.com/me/tool/blob/main/src/app.js"
 
 def one(spark, expression, url=BLOB, html=""):
     df = spark.createDataFrame([(url, html)], "url string, html string")
-    return df.select(expression.column).first()[0]
+    return df.select(expression.column if isinstance(expression, E.Expr) else expression).first()[0]
 
 
 URL, HTML = E.col("url"), E.col("html")
@@ -32,6 +32,11 @@ LAYOUTS = {
     "wrapper": '<div class="blob-wrapper"><pre>if (a &lt; 1) {\n}</pre></div>',
     "blob": '<section data-testid="react-blob"><code>if (a &lt; 1) {\n}</code></section>',
     "raw": '<div class="data highlight">if (a &lt; 1) {\n}</div>',
+    "nested blocks": '<div class="react-blob-print-hide"><div>if (a &lt; 1) {</div>\n<div>}</div></div>',
+    "inner tags": '<div class="react-code-line-contents"><div class="react-code-text">if (<div>a</div> &lt; 1) {'
+    '</div></div><div class="react-code-line-contents"><p class="react-code-text">}</p></div>',
+    "all lines": "<main data-hpc><div class='react-code-lines'><div>if (a &#60; 1) {\n</div><div>}</div></div></main>",
+    "single quotes": "<p class='react-file-line'>if (a &lt; 1) {</p><p class='react-file-line x'>&#x7d;</p>",
     "print": '<div class="react-blob-print-hide">if (a &lt; 1) {\n}</div>',
 }
 
@@ -41,6 +46,11 @@ def test_code_text(spark, layout):
     assert one(spark, pages.page_code_text(HTML), html=LAYOUTS[layout]) == "if (a < 1) {\n}"
 
 
+def test_a_condition_around_an_element(spark):
+    alone = "<div class=react-code-lines><p>a</p></div>"
+    assert one(spark, pages.page_code_text(HTML), html=alone) is None
+
+
 def test_no_code(spark):
     assert one(spark, pages.page_code_text(HTML), html="<p>blob-code</p>") is None
 
@@ -75,6 +85,8 @@ def test_repo_parts(spark):
         ('<b data-testid="breadcrumbs-filename"> </b>', "app.js"),
         ('<ul data-testid="breadcrumbs"><li>src</li><li>b.ts</li></ul>', "b.ts"),
         ('<div class="react-directory-filename-column"><a href="x">c.js</a></div>', "c.js"),
+        ('<p class="react-directory-filename-column">x</p>'
+         "<p class='react-directory-filename-column'><a>&#x63;&#46;js</a></p>", "c.js"),
         ('<strong class="final-path">d.py</strong>', "d.py"),
         ('<h2 data-testid="t"><a class="Link--primary">e.py</a></h2>', "e.py"),
     ],
