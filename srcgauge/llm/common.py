@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from srcgauge.streaming.shared import fresh_folder
 
@@ -74,3 +75,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def with_columns(schema: StructType, more: str) -> StructType:
+    """A schema and more fields, written as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])

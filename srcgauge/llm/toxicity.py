@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgauge.llm.common import mixed, remainder, slices, stored, texts_of
+from srcgauge.llm.common import mixed, remainder, slices, stored, texts_of, with_columns
 
 SIZES = (5, 6, 7, 8)
 BUCKET_BITS = 20
@@ -27,7 +27,7 @@ LEARN_ROWS = 20_000
 #: of freedom) is so large.
 SIGNIFICANT = 13.0
 #: Features used at most, the most significant first (a bound on the model).
-MOST_FEATURES = 50_000
+MOST_FEATURES = 4_000
 LEARN_STEPS = 400
 PENALTY = 1e-5
 THRESHOLD = 0.7
@@ -56,18 +56,30 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield text[:n][whole], bucket[whole]
 
 
-def features(texts: list[str], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, bucket) pairs, of the buckets in ``used`` if given."""
-    found = []
+def features(texts: list[str], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text number, bucket) pairs, of the buckets in ``used``."""
+    found = [np.empty(0, np.int64)]
     for text, bucket in _grams(texts):
-        if used is not None:
-            some = used[bucket]
-            text, bucket = text[some], bucket[some]
-        found.append(text.astype(np.int64) << BUCKET_BITS | bucket)
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        some = used[bucket]
+        found.append(text[some].astype(np.int64) << BUCKET_BITS | bucket[some])
+    pairs = np.unique(np.concatenate(found))
     return pairs >> BUCKET_BITS, (pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
 
 
+def occurrences(texts: list[str]) -> Iterator[np.ndarray]:
+    """Per text the distinct buckets of all its n-grams, by marking them."""
+    marks = np.zeros(1 << BUCKET_BITS, bool)
+    grams = [
+        (bucket, np.searchsorted(text, np.arange(len(texts) + 1))) for text, bucket in _grams(texts)
+    ]
+    for i in range(len(texts)):
+        for bucket, edge in grams:
+            marks[bucket[edge[i] : edge[i + 1]]] = True
+        found = np.flatnonzero(marks)
+        marks[found] = False
+        yield found
+
+
 @dataclass
 class Model:
     #: Weight of each bucket: the learned one times the log-count ratio.
@@ -84,10 +96,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per split: in how many toxic and clean texts each bucket occurs."""
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for batch in slices(batches, "text", STEP_BYTES):
-        text, bucket = features(texts_of(batch, "text"))
-        toxic = batch.column("toxic").to_numpy()[text]
-        for label in (0, 1):
-            counts[label] += np.bincount(bucket[toxic == label], minlength=1 << BUCKET_BITS)
+        labels = batch.column("toxic").to_pylist()
+        for label, found in zip(labels, occurrences(texts_of(batch, "text")), strict=True):
+            counts[label][found] += 1
     at = np.flatnonzero(counts.any(axis=0))
     for some in np.array_split(at, max(1, len(at) // 100_000)):
         yield pa.RecordBatch.from_pydict(
@@ -197,20 +208,36 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> M
     return Model(weights, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of (doc_id, text): doc_id and score."""
+def score(
+    docs: DataFrame, model: Model, text_col: str = "text", passed: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row the columns ``passed`` and the toxicity."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*passed, F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", STEP_BYTES):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "score": shared.value.scores(texts_of(batch, "text")),
-                }
+        for batch in slices(batches, "_text", STEP_BYTES):
+            found = pa.array(shared.value.scores(texts_of(batch, "_text")))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in passed), found], [*passed, "toxicity"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, with_columns(docs.select(*passed).schema, "toxicity double"))
+
+
+def learned(
+    docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1,
+    learn_rows: int = LEARN_ROWS,
+) -> Model:
+    """A model from the labelled rows of (doc_id, text) outside the held fold."""
+    held = remainder("doc_id", folds) == held_fold
+    marked = (
+        labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
+        .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held)
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
+    )
+    return train(docs.filter(~held), marked, learn_rows)
 
 
 def toxicity(
@@ -233,15 +260,10 @@ def toxicity(
     often as they occur. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held = remainder("doc_id", folds) == held_fold
-    marked = (
-        labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int"))
-        .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held)
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-    )
-    model = train(rows.filter(~held), marked, learn_rows)
-    return score(rows, model).select(
-        "doc_id", held.alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    marks = labels.select(F.col(id_col).alias("doc_id"), "toxic")
+    model = learned(rows, marks, folds, held_fold, learn_rows)
+    return score(rows, model, passed=("doc_id",)).select(
+        "doc_id", (remainder("doc_id", folds) == held_fold).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= threshold).cast("int").alias("predicted"),
     )

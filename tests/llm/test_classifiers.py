@@ -8,7 +8,7 @@ import pytest
 
 from srcgauge.llm.catalog import op4_log_ratio_toxicity, op5_kneser_ney_language
 from srcgauge.llm.language import GAP, language_id, learn, sequences
-from srcgauge.llm.toxicity import features, toxicity
+from srcgauge.llm.toxicity import BUCKET_BITS, features, occurrences, toxicity
 
 MIDDLE = "/root/testdata/sf0.01"
 LARGE = "/root/testdata/sf0.1"
@@ -101,7 +101,9 @@ def test_probabilities_are_kneser_ney_and_sum_to_one():
 
 
 def test_features_stay_inside_a_text():
-    text, bucket = features(["abcdefg", "abc", "", "ABCDEFG"])
+    texts = ["abcdefg", "abc", "", "ABCDEFG"]
+    text, bucket = features(texts, np.ones(1 << BUCKET_BITS, bool))
+    assert [f.tolist() for f in occurrences(texts)] == [bucket[text == i].tolist() for i in range(4)]
     assert Counter(text.tolist()) == {0: 3 + 2 + 1, 3: 6}
     assert bucket[text == 0].tolist() == bucket[text == 3].tolist()
 
