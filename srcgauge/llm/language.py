@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgauge.llm.common import mixed, remainder, slices, stored, texts_of
+from srcgauge.llm.common import mixed, remainder, slices, stored, texts_of, with_columns
 
 ORDER = 4
 #: Characters learned from per language (on average, by a hash of the document).
@@ -225,12 +225,13 @@ def _learn_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, learn_from, learn_chars: int = LEARN_CHARS) -> Models | None:
-    """Models of the languages in ``docs`` (text, lang, pick), from rows where
+    """Models of the languages in ``docs`` (doc_id, text, lang), from rows where
     ``learn_from`` holds.
 
     About ``learn_chars`` characters per language are used, chosen by a hash of the
     row, so what reaches the driver is bounded: one table of counts per language.
     """
+    docs = docs.withColumn("pick", F.xxhash64("doc_id", "text"))
     usable = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
     shares = sizes.select(
@@ -277,19 +278,20 @@ def train(docs: DataFrame, learn_from, learn_chars: int = LEARN_CHARS) -> Models
     return models
 
 
-PREDICTED = (
-    "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
-)
+PREDICTED = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
-def identify(docs: DataFrame, models: Models | None) -> DataFrame:
-    """Per row of (doc_id, text): lang_pred, score, cross_entropy, rejected."""
+def identify(
+    docs: DataFrame, models: Models | None, text_col: str = "text", passed: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row the columns ``passed`` and lang_pred, score, cross_entropy, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    docs = docs.select(*passed, F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in slices(batches, "text", STEP_BYTES):
-            texts = texts_of(batch, "text")
+        for batch in slices(batches, "_text", STEP_BYTES):
+            texts = texts_of(batch, "_text")
             n = len(texts)
             names, score = np.full(n, UNKNOWN, object), np.zeros(n)
             own, rejected = np.full(n, np.nan), np.ones(n, bool)
@@ -303,17 +305,19 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
                 score[some], own[some] = 1 / odds[some], lowest[some]
                 judged = letters >= JUDGED_LETTERS
                 rejected = ~some | judged & (lowest > known.limits[best])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "lang_pred": pa.array(names, pa.string()),
-                    "score": score,
-                    "cross_entropy": pa.array(own, pa.float64(), from_pandas=True),
-                    "rejected": rejected,
-                }
+            found = [
+                pa.array(names, pa.string()),
+                pa.array(score),
+                pa.array(own, from_pandas=True),
+                pa.array(rejected),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in passed), *found],
+                [*passed, "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PREDICTED)
+    schema = docs.select(*passed).schema
+    return docs.mapInArrow(run, with_columns(schema, PREDICTED))
 
 
 def language_id(
@@ -340,8 +344,8 @@ def language_id(
         F.col(lang_col).alias("lang"),
     )
     held = remainder("doc_id", folds) == held_fold
-    models = train(rows.withColumn("pick", F.xxhash64("doc_id", "text")), ~held, learn_chars)
-    found = identify(rows, models)
+    models = train(rows, ~held, learn_chars)
+    found = identify(rows, models, passed=("doc_id",))
     return found.select(
         "doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
     )
