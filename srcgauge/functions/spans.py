@@ -144,6 +144,23 @@ def py_matches(code: Expr, d: Dialect = CORE, anchor: str = "reference") -> Expr
     )
 
 
+def _end_text(key: Expr, end: Expr) -> Expr:
+    """An end as text. A fold copies its state at every step, element by element; a
+    text is copied as one block of bytes, so the ends found so far cost little."""
+    return F.concat(key.cast("string"), F.lit(","), end.cast("string"), F.lit(";"))
+
+
+def _ends_of(done: Expr, key: str) -> Expr:
+    """Array of struct(key, end) from the texts of ``_end_text``."""
+    return F.transform(
+        F.filter(F.split(done, ";", -1), lambda t: t != ""),
+        lambda t: F.struct(
+            F.split_part(t, F.lit(","), F.lit(1)).cast("int").alias(key),
+            F.split_part(t, F.lit(","), F.lit(2)).cast("int").alias("end"),
+        ),
+    )
+
+
 def _brace_ends(code: Expr, starts: Expr) -> Expr:
     """End line for every start line (sorted, distinct): array of int."""
     # Events sorted by (line, kind, at): a start precedes its line's braces.
@@ -191,14 +208,9 @@ def _brace_ends(code: Expr, starts: Expr) -> Expr:
                 ),
             ).otherwise(kept)
             ended = F.transform(
-                F.filter(waiting, closes),
-                lambda o: F.struct(o["line"].alias("line"), e["line"].alias("end")),
-            )
-            return state(
-                depth,
-                kept,
-                F.when(F.size(ended) > 0, F.concat(acc["done"], ended)).otherwise(acc["done"]),
+                F.filter(waiting, closes), lambda o: _end_text(o["line"], e["line"])
             )
+            return state(depth, kept, F.concat(acc["done"], F.array_join(ended, "")))
 
         return F.when(F.size(acc["open"]) == 0, state(depth, acc["open"], acc["done"])).otherwise(
             settle(acc["open"])
@@ -223,11 +235,13 @@ def _brace_ends(code: Expr, starts: Expr) -> Expr:
                 F.least(o["line"] - 1 + fixed.FALLBACK_LINES, total).alias("end"),
             ),
         )
-        return F.transform(F.sort_array(F.concat(acc["done"], rest)), lambda x: x["end"])
+        return F.transform(
+            F.sort_array(F.concat(_ends_of(acc["done"], "line"), rest)), lambda x: x["end"]
+        )
 
     return F.aggregate(
         F.sort_array(F.concat(opens, braces)),
-        state(F.lit(0), empty(entry), empty("struct<line:int,end:int>")),
+        state(F.lit(0), empty(entry), F.lit("")),
         step,
         finish,
     )
@@ -268,7 +282,7 @@ def _indent_ends(lines: Expr, hits: Expr, d: Dialect) -> Expr:
         entry = F.struct(e["id"].alias("id"), e["indent"].alias("base"))
         closed = F.transform(
             F.filter(acc["open"], lambda o: o["base"] >= e["indent"]),
-            lambda o: F.struct(o["id"].alias("id"), (e["line"] - 1).alias("end")),
+            lambda o: _end_text(o["id"], e["line"] - 1),
         )
         return (
             F.when(
@@ -278,7 +292,7 @@ def _indent_ends(lines: Expr, hits: Expr, d: Dialect) -> Expr:
                 F.exists(acc["open"], lambda o: o["base"] >= e["indent"]),
                 state(
                     F.filter(acc["open"], lambda o: o["base"] < e["indent"]),
-                    F.concat(acc["done"], closed),
+                    F.concat(acc["done"], F.array_join(closed, "")),
                 ),
             )
             .otherwise(acc)
@@ -288,11 +302,13 @@ def _indent_ends(lines: Expr, hits: Expr, d: Dialect) -> Expr:
         rest = F.transform(
             acc["open"], lambda o: F.struct(o["id"].alias("id"), F.size(lines).alias("end"))
         )
-        return F.transform(F.sort_array(F.concat(acc["done"], rest)), lambda x: x["end"])
+        return F.transform(
+            F.sort_array(F.concat(_ends_of(acc["done"], "id"), rest)), lambda x: x["end"]
+        )
 
     return F.aggregate(
         F.sort_array(F.concat(indents, opens)),
-        state(empty("struct<id:int,base:int>"), empty("struct<id:int,end:int>")),
+        state(empty("struct<id:int,base:int>"), F.lit("")),
         step,
         finish,
     )
