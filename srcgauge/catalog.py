@@ -522,15 +522,30 @@ def _(spark, sf):
     return analysis.refactor_all(code(spark, sf), "service").select("file_id", "ord", *SUGGESTION)
 
 
+def _told(df: DataFrame, text: str, *parts: Column) -> DataFrame:
+    """Rows (file_id, kind, ord, text) of arrays of such structs, in one pass."""
+    return df.select("file_id", F.explode(F.concat(*parts)).alias("t")).select(
+        "file_id", "t.kind", "t.ord", F.col("t.text").alias(text)
+    )
+
+
+def _part(items: str, kind: str, text) -> Column:
+    return F.transform(
+        items,
+        lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("ord"), text(x).alias("text")
+        ),
+    )
+
+
 @query("issue_message")
 def _(spark, sf):
-    issues = analysis.lint_all(code(spark, sf)).select(
-        "file_id", F.lit("issue").alias("kind"), F.col("issue_ord").alias("ord"), F.col("message").alias("text")
+    return _told(
+        analysis.with_findings(code(spark, sf)),
+        "text",
+        _part("linterIssues", "issue", lambda x: x["message"]),
+        _part("refactorSuggestions", "advice", lambda x: x["description"]),
     )
-    advice = analysis.refactor_all(code(spark, sf)).select(
-        "file_id", F.lit("advice").alias("kind"), "ord", F.col("description").alias("text")
-    )
-    return issues.unionByName(advice)
 
 
 @query("thresholds_resolve")
@@ -562,27 +577,26 @@ def _(spark, sf):
 
 @query("display_attrs")
 def _(spark, sf):
-    issues = analysis.lint_all(code(spark, sf))
-    advice = analysis.refactor_all(code(spark, sf))
-    labels = functions.functions_all(code(spark, sf))
     badge = display.file_badge(F.col("filename"), F.col("language"))
-    label = display.function_label(F.col("startLine"), F.col("loc"), F.col("paramCount"))
-    shown = F.concat_ws("/", badge, label)
-    counts = analysis.file_counts(code(spark, sf))
     colors = F.concat_ws(
         "/",
-        display.issue_count_color(F.col("issueCount")),
-        display.suggestion_count_color(F.col("suggestionCount")),
+        display.issue_count_color(F.size("linterIssues")),
+        display.suggestion_count_color(F.size("refactorSuggestions")),
     )
-
-    def part(df: DataFrame, kind: str, place: Column, text: Column) -> DataFrame:
-        return df.select("file_id", F.lit(kind).alias("kind"), place.alias("ord"), text.alias("shown"))
-
-    return (
-        part(issues, "icon", F.col("issue_ord"), display.severity_icon(F.col("severity")))
-        .unionByName(part(advice, "color", F.col("ord"), display.priority_color(F.col("priority"))))
-        .unionByName(part(labels, "label", F.col("ord"), shown))
-        .unionByName(part(counts, "counts", F.lit(0), colors))
+    counts = F.struct(F.lit("counts").alias("kind"), F.lit(0).alias("ord"), colors.alias("text"))
+    return _told(
+        analysis.with_findings(code(spark, sf)),
+        "shown",
+        _part("linterIssues", "icon", lambda x: display.severity_icon(x["severity"])),
+        _part("refactorSuggestions", "color", lambda x: display.priority_color(x["priority"])),
+        _part(
+            "fns",
+            "label",
+            lambda f: F.concat_ws(
+                "/", badge, display.function_label(f["startLine"], f["loc"], f["paramCount"])
+            ),
+        ),
+        F.array(counts),
     )
 
 

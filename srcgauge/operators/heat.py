@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import fntable, metrics
 from ..functions import sqltext as E
-from ..functions.arrays import first_of_runs, group_runs
+from ..functions.arrays import first_of_runs, group_runs, let
 from ..functions.dialect import CORE, Dialect
 from ..functions.text import line_total
 from .files import CODE
 from .functions import exploded, explode_rows, with_functions
 
+_PLACE_BITS = 31
+_PLACES = 1 << _PLACE_BITS
+
 
 def heat_intensity(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
     return exploded(files, profile, ("cc",)).select(
@@ -47,24 +50,52 @@ def heat_lines(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
     )
 
 
+def _winners(fns: E.Expr, total: E.Expr) -> E.Expr:
+    """Per covered line the last region's place in ``fns``: array of line * 2^31 + place.
+
+    Regions and lines are paired as whole numbers that sort by line and then by
+    falling place, so the first of each line is the last region.
+    """
+    pairs = E.flatten(
+        E.transform(
+            fns,
+            lambda f: E.transform(
+                E.sequence(f["startLine"], E.least(f["endLine"], total)),
+                lambda line: line.cast("bigint") * _PLACES + (E.lit(_PLACES - 1) - f["ord"]),
+            ),
+        )
+    )
+    first = first_of_runs(
+        E.sort_array(pairs),
+        lambda a, b: E.shiftright(a, _PLACE_BITS) == E.shiftright(b, _PLACE_BITS),
+    )
+    return E.transform(first, lambda c: c - c % _PLACES + (E.lit(_PLACES - 1) - c % _PLACES))
+
+
 def heat_overlay(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
     """The colour of every covered line; the last region wins.
 
-    Grouped by (file, line), so even one huge file spreads over all tasks.
+    Chosen in the file's row: only winning lines leave it, without a shuffle.
     """
-    top = F.max_by(F.struct("name", "color", "intensity"), "ord")
-    return (
-        heat_lines(files, profile)
-        .groupBy("file_id", "line")
-        .agg(top.alias("t"))
-        .select(
-            "file_id",
-            "line",
-            "t.name",
-            "t.color",
-            *(metrics.rgb_part(E.col("t.color"), i).alias(c).column for i, c in enumerate("rgb")),
-            metrics.heat_alpha(E.col("t.intensity")).alias("alpha").column,
-        )
+    coloured = E.transform(
+        _winners(E.col("fns"), line_total(CODE)),
+        lambda c: let(
+            fntable.heat_region(E.get(E.col("fns"), (c % _PLACES).cast("int"))),
+            lambda h: E.struct(
+                E.shiftright(c, _PLACE_BITS).cast("int").alias("line"),
+                h["name"].alias("name"),
+                h["color"].alias("color"),
+                h["intensity"].alias("intensity"),
+            ),
+        ),
+    )
+    return explode_rows(with_functions(files, profile, ("cc",)), coloured, "t", "file_id").select(
+        "file_id",
+        "t.line",
+        "t.name",
+        "t.color",
+        *(metrics.rgb_part(E.col("t.color"), i).alias(c).column for i, c in enumerate("rgb")),
+        metrics.heat_alpha(E.col("t.intensity")).alias("alpha").column,
     )
 
 

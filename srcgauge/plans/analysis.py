@@ -65,18 +65,42 @@ def with_issues(
     )
 
 
-def lint_all(
+def with_findings(
     files: DataFrame,
     profile: str | Dialect = CORE,
     thresholds: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """One row per finding with its place ``issue_ord`` in the file."""
-    found = with_issues(files, profile, thresholds)
+    """Files with ``fns``, ``linterIssues`` and ``refactorSuggestions`` from one search for
+    functions; ``issue_rows`` and ``suggestion_rows`` take it."""
+    d = dialect(profile)
+    return with_issues(files, d, thresholds).withColumn(
+        "refactorSuggestions", findings.suggestions(FNS, LANG, d).column
+    )
+
+
+def issue_rows(found: DataFrame) -> DataFrame:
+    """One row per finding of analysed files, with its place ``issue_ord`` in the file."""
     return posexplode_rows(
         found, E.col("linterIssues"), "issue_ord", "x", "file_id"
     ).select("file_id", "issue_ord", "x.*")
 
 
+def suggestion_rows(found: DataFrame) -> DataFrame:
+    """One row per suggestion of analysed files, with its place ``ord`` in the file."""
+    return posexplode_rows(
+        found, E.col("refactorSuggestions"), "ord", "x", "file_id"
+    ).select("file_id", "ord", "x.*")
+
+
+def lint_all(
+    files: DataFrame,
+    profile: str | Dialect = CORE,
+    thresholds: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """One row per finding with its place ``issue_ord`` in the file."""
+    return issue_rows(with_issues(files, profile, thresholds))
+
+
 def lint_rule(
     files: DataFrame,
     rule: str,

@@ -1,5 +1,7 @@
 """Edge cases with values worked out by hand from the rules."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from srcgauge.functions import fixed
 from srcgauge.functions import metrics as M
 from srcgauge.functions import sqltext as E
 from srcgauge.functions.dialect import CORE, SERVICE
-from srcgauge.operators import files, functions
+from srcgauge.operators import duplicates, files, functions, heat
 from srcgauge.plans import analysis
 from srcgauge.sources import code_files
 
@@ -251,7 +253,28 @@ def test_invariants_on_the_corpus(spark, sf_dir):
 
 def test_public_functions_do_not_shuffle(spark):
     df = frame(spark, ("a.js", "function f() {}"))
-    for plan in (srcgauge.analyze(df), functions.functions_all(df), srcgauge.file_summary(df)):
+    plans = (
+        srcgauge.analyze(df), functions.functions_all(df), srcgauge.file_summary(df),
+        heat.heat_overlay(df), analysis.lint_all(df), duplicates.duplicate_pairs(df),
+    )
+    for plan in plans:
         text = plan._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in text
+        assert "Exchange" not in text and "Sort " not in text
+
+
+@pytest.mark.parametrize("name", ["a.js", "a.py"])
+def test_function_ends_follow_the_file(spark, name):
+    """Twice the functions take at most about twice the time."""
+    def timed(n: int) -> float:
+        line = "function f{0}(a) {{\n return {0};\n}}\n" if name == "a.js" else "def f{0}(a):\n    return {0}\n"
+        df = frame(spark, (name, "".join(line.format(i) for i in range(n))))
+        times = []
+        for _ in range(3):  # the best of three: the machine has other work
+            start = time.perf_counter()
+            assert functions.function_spans(df).count() == n
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    timed(2000)
+    assert timed(16_000) < 2.5 * max(timed(8000), 0.8)
     assert fixed.DEFAULT_LIMITS == {"loc": 50, "nesting": 3, "params": 5, "cc": 10}
