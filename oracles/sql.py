@@ -6,7 +6,6 @@ a plain self-join: other ways than the Spark side takes.
 
 from __future__ import annotations
 
-from srcgauge.functions import fixed
 from srcgauge.sources.corpora import DOC_ENDINGS, JS_PARAMS, NOTE, PY_PARAMS
 
 SPACE = r"[ \t\n\x0B\f\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -19,12 +18,56 @@ def q(text: str) -> str:
     return "||chr(10)||".join(f"'{p}'" for p in quoted)
 
 
-def words(items: list[str]) -> str:
-    return "[" + ",".join(q(w) for w in sorted(set(items))) + "]"
+def words(items: tuple[str, ...]) -> str:
+    return "[" + ",".join(q(w) for w in items) + "]"
+
+
+# Words and symbols counted as operators.
+JS_KEYWORDS = (
+    "break", "case", "catch", "continue", "debugger", "default", "delete",
+    "do", "else", "finally", "for", "function", "if", "in", "instanceof",
+    "new", "return", "switch", "this", "throw", "try", "typeof", "var",
+    "void", "while", "with", "class", "const", "enum", "export", "extends",
+    "import", "super", "implements", "interface", "let", "package", "private",
+    "protected", "public", "static", "yield", "async", "await", "of",
+)
+PY_KEYWORDS = (
+    "False", "None", "True", "and", "as", "assert", "async", "await",
+    "break", "class", "continue", "def", "del", "elif", "else", "except",
+    "finally", "for", "from", "global", "if", "import", "in", "is",
+    "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try",
+    "while", "with", "yield",
+)
+JS_SYMBOLS = (
+    "+", "-", "*", "/", "%", "**", "=", "+=", "-=", "*=", "/=", "%=",
+    "**=", "==", "!=", "===", "!==", "<", ">", "<=", ">=", "&&", "||",
+    "!", "&", "|", "^", "~", "<<", ">>", ">>>", "?", ":", "??", "?.",
+    "++", "--", "=>", "...", "&&=", "||=", "??=",
+)
+PY_SYMBOLS = (
+    "+", "-", "*", "/", "//", "%", "**", "=", "+=", "-=", "*=", "/=",
+    "//=", "%=", "**=", "==", "!=", "<", ">", "<=", ">=", "and", "or",
+    "not", "in", "is", "&", "|", "^", "~", "<<", ">>", ":=", "->", ":",
+)
+
+# Bands as (limit, label, colour, level).
+CC_BANDS = (
+    (5, "Low", "#3fb950", 0),
+    (10, "Moderate", "#d29922", 1),
+    (20, "High", "#f85149", 2),
+)
+CC_WORST = ("Critical", "#da3633", 3)
+MI_BANDS = (
+    (80, "Excellent", "#3fb950", 0),
+    (60, "Good", "#58a6ff", 1),
+    (40, "Moderate", "#d29922", 2),
+    (20, "Poor", "#f85149", 3),
+)
+MI_WORST = ("Critical", "#da3633", 4)
 
 
-PY_OPS = words(fixed.PY_KEYWORDS + fixed.PY_SYMBOLS)
-JS_OPS = words(fixed.JS_KEYWORDS + fixed.JS_SYMBOLS)
+PY_OPS = words(PY_KEYWORDS + PY_SYMBOLS)
+JS_OPS = words(JS_KEYWORDS + JS_SYMBOLS)
 
 
 # -- inputs -------------------------------------------------------------------
@@ -120,6 +163,7 @@ def n_of(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, {q(pattern)}))"
 
 
+# Decision patterns.
 JS_KINDS = {
     "if": r"\bif\b", "else_if": rf"\belse{SPACE}+if\b", "for": r"\bfor\b", "while": r"\bwhile\b",
     "case": r"\bcase\b", "catch": r"\bcatch\b", "ternary": rf"\?{SPACE}*[^:]", "and": "&&",
@@ -139,7 +183,8 @@ def cc_sql(x: str, service: bool = False) -> str:
     return f"1 + CASE WHEN language = 'python' THEN {python} ELSE {braces} END"
 
 
-TOKEN = r"[a-zA-Z_$][0-9A-Za-z_]*|[+\-*/%=!<>&|^~?:]+|[0-9]+\.?[0-9]*"
+# Fixed value: the token pattern.
+TOKEN = r"[a-zA-Z_$]\w*|[+\-*/%=!<>&|^~?:]+|\d+\.?\d*"
 QUOTED = "|\"[^\"]*\"|'[^']*'|`[^`]*`"
 
 
@@ -198,11 +243,11 @@ def band(x: str, part: int, bands, worst, op: str) -> str:
 
 
 def cc_band(x: str, part: int = 1) -> str:
-    return band(x, part, fixed.CC_BANDS, fixed.CC_WORST, "<=")
+    return band(x, part, CC_BANDS, CC_WORST, "<=")
 
 
 def mi_band(x: str, part: int = 1) -> str:
-    return band(x, part, fixed.MI_BANDS, fixed.MI_WORST, ">=")
+    return band(x, part, MI_BANDS, MI_WORST, ">=")
 
 
 LINES = """
@@ -228,6 +273,7 @@ def file_metrics(service: bool = False) -> str:
 
 
 # -- functions ----------------------------------------------------------------
+# Function patterns.
 JS_PATTERNS = [
     r"(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)",
     r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function\s*)?\(([^)]*)\)\s*(?:=>)?",

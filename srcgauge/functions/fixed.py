@@ -9,31 +9,37 @@ TYPESCRIPT_ENDINGS = ("ts", "tsx")
 PYTHON_ENDINGS = ("py", "pyw")
 
 # Words and symbols counted as operators.
-JS_KEYWORDS = """
-async await break case catch class const continue debugger default delete do
-else enum export extends finally for function if implements import in
-instanceof interface let new of package private protected public return static
-super switch this throw try typeof var void while with yield
-""".split()
-
-PY_KEYWORDS = """
-False None True and as assert async await break class continue def del elif
-else except finally for from global if import in is lambda nonlocal not or pass
-raise return try while with yield
-""".split()
-
-JS_SYMBOLS = """
-+ - * / % ** = += -= *= /= %= **= == != === !== < > <= >= && || ! & | ^ ~ << >>
->>> ? : ?? ?. ++ -- => ... &&= ||= ??=
-""".split()
-
-PY_SYMBOLS = """
-+ - * / // % ** = += -= *= /= //= %= **= == != < > <= >= and or not in is & | ^
-~ << >> := -> :
-""".split()
+JS_KEYWORDS = (
+    "break", "case", "catch", "continue", "debugger", "default", "delete",
+    "do", "else", "finally", "for", "function", "if", "in", "instanceof",
+    "new", "return", "switch", "this", "throw", "try", "typeof", "var",
+    "void", "while", "with", "class", "const", "enum", "export", "extends",
+    "import", "super", "implements", "interface", "let", "package", "private",
+    "protected", "public", "static", "yield", "async", "await", "of",
+)
+PY_KEYWORDS = (
+    "False", "None", "True", "and", "as", "assert", "async", "await",
+    "break", "class", "continue", "def", "del", "elif", "else", "except",
+    "finally", "for", "from", "global", "if", "import", "in", "is",
+    "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try",
+    "while", "with", "yield",
+)
+JS_SYMBOLS = (
+    "+", "-", "*", "/", "%", "**", "=", "+=", "-=", "*=", "/=", "%=",
+    "**=", "==", "!=", "===", "!==", "<", ">", "<=", ">=", "&&", "||",
+    "!", "&", "|", "^", "~", "<<", ">>", ">>>", "?", ":", "??", "?.",
+    "++", "--", "=>", "...", "&&=", "||=", "??=",
+)
+PY_SYMBOLS = (
+    "+", "-", "*", "/", "//", "%", "**", "=", "+=", "-=", "*=", "/=",
+    "//=", "%=", "**=", "==", "!=", "<", ">", "<=", ">=", "and", "or",
+    "not", "in", "is", "&", "|", "^", "~", "<<", ">>", ":=", "->", ":",
+)
 
 # Characters a symbol run or a quoted literal can begin with.
-NON_OPERAND_HEADS = list("+-*/%=!<>&|^~?:\"'`")
+NON_OPERAND_HEADS = [
+    "+", "-", "*", "/", "%", "=", "!", "<", ">", "&", "|", "^", "~", "?", ":", '"', "'", "`",
+]
 
 # Bands as (limit, label, colour, level).
 CC_BANDS = (

@@ -59,6 +59,7 @@ def decision_patterns(family: str, d: Dialect = CORE) -> dict[str, str]:
             )
         return kinds
     kinds = {w: d.words(w) for w in ("if", "for", "while", "case", "catch")}
+    # The look-behind comes after the first letter, so it is only tried at an `e`.
     kinds["else_if"] = rf"e(?<!{d.w}e)lse{d.s}+if(?!{d.w})"
     kinds["ternary"] = rf"\?{d.s}*[^:]"
     kinds["and"] = "&&"
