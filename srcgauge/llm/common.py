@@ -16,6 +16,18 @@ from srcgauge.streaming.shared import fresh_folder
 #: Rows of one Arrow batch that a task handles at once, and their text bytes.
 SLICE_ROWS = 2_000
 SLICE_BYTES = 8 << 20
+#: Bytes of the Arrow batches that go to and from Python workers.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have Spark send ``df`` to Python in batches of a few MB, whatever its texts' sizes.
+
+    This is a setting of the session, since plans read it when they run: executors
+    hold several batches per task beside the heap.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcgauge.llm.common import slices, stored
+from srcgauge.llm.common import slices, small_batches, stored
 
 #: A path wins with this share of its host's votes.
 WINNING_SHARE = 0.1
@@ -328,7 +328,7 @@ def main_text(
     there are at most ``broadcast_hosts``; otherwise pages are joined to them by
     host, each host's pages dealt to ``SALTS`` parts.
     """
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
         F.col(html_col).alias("html"),
     )

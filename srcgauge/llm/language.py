@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgauge.llm.common import mixed, remainder, slices, stored, texts_of, with_columns
+from srcgauge.llm.common import (
+    mixed, remainder, slices, small_batches, stored, texts_of, with_columns,
+)
 
 ORDER = 4
 #: Characters learned from per language (on average, by a hash of the document).
@@ -34,7 +36,7 @@ JUDGED_LETTERS = 40
 #: The accepted cross-entropy: so many times what one calibrating text in a thousand exceeds.
 MARGIN = 1.4
 GAP = 32
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 @lru_cache(1)
@@ -231,7 +233,7 @@ def train(docs: DataFrame, learn_from, learn_chars: int = LEARN_CHARS) -> Models
     About ``learn_chars`` characters per language are used, chosen by a hash of the
     row, so what reaches the driver is bounded: one table of counts per language.
     """
-    docs = docs.withColumn("pick", F.xxhash64("doc_id", "text"))
+    docs = small_batches(docs).withColumn("pick", F.xxhash64("doc_id", "text"))
     usable = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
     shares = sizes.select(
@@ -286,7 +288,7 @@ def identify(
 ) -> DataFrame:
     """Per row the columns ``passed`` and lang_pred, score, cross_entropy, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    docs = docs.select(*passed, F.col(text_col).alias("_text"))
+    docs = small_batches(docs).select(*passed, F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgauge.llm.common import mixed, slices, stored, texts_of
+from srcgauge.llm.common import mixed, slices, small_batches, stored, texts_of
 
 SLOTS = 128
 BANDS = 32
@@ -400,6 +400,7 @@ def near_duplicates(
     Candidates are found by 32 bands of 4 slots: a pair of similarity 0.8 shares none
     with probability 5e-8.
     """
+    docs = small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stored(rows.mapInArrow(_sketch(words_per_shingle), SKETCH), "sketches")
     sets_of = ["n", "h1", "h2"]

@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgauge.llm.common import slices, stored, texts_of
+from srcgauge.llm.common import slices, small_batches, stored, texts_of
 
 FAN_IN = 16
 #: Pieces that a task packs together.
 GROUP_PIECES = 1 << 16
 #: Chunks of a generation that a worker remembers.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 #: Text that white space splits another way in the tokenizer than in Python.
 CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -252,6 +252,7 @@ def pack_documents(
     The pieces are written once to the shared folder; only carried bins (a bounded
     number per group) are shuffled.
     """
+    docs = small_batches(docs)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     split = _pack_splits(tokenizer, capacity, pa.int64(), end_id)
     pieces = stored(source.mapInArrow(split, PIECES), "pieces")

@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgauge.llm.common import slices, texts_of
+from srcgauge.llm.common import slices, small_batches, texts_of
 
 SPACE = "▁"
 #: Digits that count as letters in patterns.
@@ -267,5 +267,6 @@ def encode_decode(
     independent: repeated rows and null ids stay as they are, an empty table gives
     no rows, other columns are ignored. One narrow pass, no shuffle.
     """
+    docs = small_batches(docs)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_code(model, digest), f"doc_id long, {CODED}")

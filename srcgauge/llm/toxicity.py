@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgauge.llm.common import mixed, remainder, slices, stored, texts_of, with_columns
+from srcgauge.llm.common import (
+    mixed, remainder, slices, small_batches, stored, texts_of, with_columns,
+)
 
 SIZES = (5, 6, 7, 8)
 BUCKET_BITS = 20
@@ -152,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> M
     share = min(1.0, learn_rows / max(1, total))
     picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     rows = stored(
-        docs.join(F.broadcast(picked), "doc_id")  # bounded by learn_rows
+        small_batches(docs).join(F.broadcast(picked), "doc_id")  # bounded by learn_rows
         .select("text", "toxic")
         .repartition(12),
         "toxicity",
@@ -213,7 +215,7 @@ def score(
 ) -> DataFrame:
     """Per row the columns ``passed`` and the toxicity."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(*passed, F.col(text_col).alias("_text"))
+    docs = small_batches(docs).select(*passed, F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", STEP_BYTES):
