@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,9 +117,9 @@ def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, ratios: np.nd
     features that occur together.
     """
     n, bias_at = len(labels), len(ratios)
-    rows = np.concatenate([rows, np.arange(n)])
-    columns = np.concatenate([columns, np.full(n, bias_at)])
-    values = np.append(ratios, 1.0)[columns]
+    rows = np.concatenate([rows, np.arange(n)]).astype(np.int32)
+    columns = np.concatenate([columns, np.full(n, bias_at)]).astype(np.int32)
+    values = np.append(ratios, 1.0).astype(np.float32)[columns]
 
     def ahead(w: np.ndarray) -> np.ndarray:
         return np.bincount(rows, weights=w[columns] * values, minlength=n)
@@ -200,12 +201,17 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> M
                 {"toxic": batch.column("toxic"), "buckets": pa.array(parts, pa.list_(pa.int32()))}
             )
 
-    seen = rows.mapInArrow(occurring, "toxic int, buckets array<int>").collect()
-    number = np.zeros(1 << BUCKET_BITS, np.int64)
+    seen = rows.mapInArrow(occurring, "toxic int, buckets array<int>").toArrow()
+    number = np.zeros(1 << BUCKET_BITS, np.int32)
     number[buckets] = np.arange(len(buckets))
-    columns = number[np.concatenate([np.array(r.buckets, np.int64) for r in seen])]
-    row = np.repeat(np.arange(len(seen)), [len(r.buckets) for r in seen])
-    learned, bias = fit(row, columns, np.array([float(r.toxic) for r in seen]), ratios)
+    lists = seen["buckets"]
+    row = np.repeat(
+        np.arange(len(seen), dtype=np.int32), pc.list_value_length(lists).to_numpy()
+    )
+    columns = number[pc.list_flatten(lists).to_numpy()]
+    labels = seen["toxic"].to_numpy().astype(np.float64)
+    del seen, lists
+    learned, bias = fit(row, columns, labels, ratios)
     weights[buckets] = learned * ratios
     return Model(weights, bias)
 
