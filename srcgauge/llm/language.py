@@ -14,6 +14,7 @@ import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,9 @@ from srcgauge.llm.common import (
 ORDER = 4
 #: Characters learned from per language (on average, by a hash of the document).
 LEARN_CHARS = 4_000_000
+#: Characters learned from in all, and languages (those of most characters), at most.
+ALL_CHARS = 32_000_000
+MOST_LANGUAGES = 200
 #: One in so many of these documents calibrates instead.
 CALIBRATE = 5
 UNKNOWN = "und"
@@ -231,19 +235,23 @@ def train(docs: DataFrame, learn_from, learn_chars: int = LEARN_CHARS) -> Models
     ``learn_from`` holds.
 
     About ``learn_chars`` characters per language are used, chosen by a hash of the
-    row, so what reaches the driver is bounded: one table of counts per language.
+    row, and ``ALL_CHARS`` in all, so what reaches the driver is bounded: the counts of
+    their sequences.
     """
     docs = small_batches(docs).withColumn("pick", F.xxhash64("doc_id", "text"))
     usable = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    shares = sizes.select(
-        "lang", F.least(F.lit(1.0), learn_chars / F.greatest(F.lit(1), "chars")).alias("share")
-    )
-    picked = F.pmod("pick", F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    sizes = sizes.orderBy(F.desc("chars"), "lang").limit(MOST_LANGUAGES).collect()
+    if not sizes:
+        return None
+    each = min(learn_chars, ALL_CHARS / len(sizes))
+    shares = [(F.lit(r.lang), F.lit(min(1.0, each / max(1, r.chars)))) for r in sizes]
+    share = F.try_element_at(F.create_map(*chain.from_iterable(shares)), F.col("lang"))
+    held = F.pmod(F.shiftright("pick", 20), F.lit(CALIBRATE)) == 0
     chosen = stored(
-        usable.join(F.broadcast(shares), "lang")  # one row per language
-        .filter(picked)
-        .select("lang", "text", (F.pmod(F.shiftright("pick", 20), F.lit(CALIBRATE)) == 0).alias("held")),
+        usable.filter(F.pmod("pick", F.lit(1 << 20)) < share * (1 << 20)).select(
+            "lang", "text", held.alias("held")
+        ),
         "languages",
     )
     made = chosen.filter("not held").groupBy("lang").applyInPandas(

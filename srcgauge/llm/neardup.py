@@ -30,6 +30,8 @@ from srcgauge.llm.common import mixed, slices, small_batches, stored, texts_of
 
 SLOTS = 128
 BANDS = 32
+#: Nodes that a task's union-find holds before it gives out its stars.
+FOREST_NODES = 500_000
 #: Members of a block of step 3.
 BLOCK = 512
 #: Bits kept of each slot, and slots that must agree in them for a pair to be
@@ -216,6 +218,12 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
                 x = up
             return x
 
+        def stars() -> pa.RecordBatch:
+            rows = [(root(x), x) for x in list(parent)]
+            parent.clear()
+            rows = np.array([r for r in rows if r[0] != r[1]], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_pydict({"a": rows[:, 0], "b": rows[:, 1]})
+
         for batch in batches:
             for a, b in zip(
                 batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True
@@ -223,9 +231,9 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        rows = [(root(x), x) for x in list(parent)]
-        rows = np.array([r for r in rows if r[0] != r[1]], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_pydict({"a": rows[:, 0], "b": rows[:, 1]})
+            if len(parent) > FOREST_NODES:
+                yield stars()
+        yield stars()
 
     pairs = stored(links.select("a", "b").mapInArrow(forest, "a long, b long"), purpose)
     state = None
