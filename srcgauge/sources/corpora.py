@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import dealt, table
 
 DOC_ENDINGS = ("js", "jsx", "ts", "tsx", "mjs", "cjs", "py", "pyw", "md")
 FUNCTIONS_PER_FILE = 5
@@ -32,7 +32,8 @@ def documents_as_files(df: DataFrame) -> DataFrame:
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_as_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return documents_as_files(dealt(text))
 
 
 def _when(condition: Column, text: str) -> Column:

@@ -170,3 +170,16 @@ def test_current_or_last(spark):
     current = spark.createDataFrame([(1, "live", 9)], ddl)
     rows = history.current_or_last(current, stored, "k", "v", ["t"]).collect()
     assert sorted(map(tuple, rows)) == [(1, "live", True), (2, "kept", False)]
+
+
+def test_texts_move_only_when_the_session_asks(spark, sf_dir):
+    def plan() -> str:
+        df = catalog.QUERIES["file_summary"](spark, sf_dir)
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan()
+    spark.conf.set("spark.srcgauge.splits", "3")
+    try:
+        assert "RoundRobinPartitioning(3)" in plan()
+    finally:
+        spark.conf.unset("spark.srcgauge.splits")
