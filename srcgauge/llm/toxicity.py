@@ -3,18 +3,19 @@
 Features are the n-grams (bytes of the lower-cased text) that occur in a text,
 hashed. Their naive Bayes log-count ratio between toxic and clean texts is
 computed in Spark over the learning rows; a feature enters the linear model
-scaled by it. The model is a logistic regression over the features whose ratio is
+scaled by it. The model is a logistic regression over all features whose ratio is
 significant, and its output is the score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,11 @@ LEARN_ROWS = 20_000
 #: A feature is used if its likelihood ratio statistic (chi-squared with one degree
 #: of freedom) is so large.
 SIGNIFICANT = 13.0
-#: Features used at most, the most significant first (a bound on the model).
-MOST_FEATURES = 4_000
+#: Occurrences of features in learning rows up to which the driver does the gradient
+#: steps (some 6 bytes each); beyond it each step is a job over the stored rows.
+HELD_OCCURRENCES = 16_000_000
+#: Weights that one row of a step's partial sums holds.
+SUMMED_AT_ONCE = 1 << 16
 LEARN_STEPS = 400
 PENALTY = 1e-5
 THRESHOLD = 0.7
@@ -109,46 +113,131 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, ratios: np.ndarray):
+@dataclass
+class Block:
+    """Some learning rows and the numbers of the features that occur in them."""
+
+    labels: np.ndarray
+    #: Features, one row after another; the rows that have some, and where each begins.
+    columns: np.ndarray
+    some: np.ndarray
+    starts: np.ndarray
+    #: Rows, one feature after another; the features, and where each begins.
+    rows: np.ndarray
+    present: np.ndarray
+    firsts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> Block:
+        """From the pairs (row, feature) that occur, ordered by row."""
+        order = np.argsort(columns, kind="stable")
+        some, starts = np.unique(rows, return_index=True)
+        present, firsts = np.unique(columns[order], return_index=True)
+        number = np.min_scalar_type(max(1, len(labels)))
+        return cls(labels, columns, some, starts, rows[order].astype(number), present, firsts)
+
+    def add(self, weights: np.ndarray, learning: bool, sums: np.ndarray) -> None:
+        """Add to each feature's sum the outputs of its rows, or their errors when
+        learning; the last weight and sum are the bias's."""
+        out = np.full(len(self.labels), weights[-1])
+        if len(self.columns):
+            out[self.some] += np.add.reduceat(weights[self.columns], self.starts)
+        if learning:
+            out = 1 / (1 + np.exp(-np.clip(out, -40, 40))) - self.labels
+        sums[-1] += out.sum()
+        if len(self.columns):
+            sums[self.present] += np.add.reduceat(out[self.rows], self.firsts)
+
+
+def _held_sums(seen: DataFrame) -> Callable[[np.ndarray, bool], np.ndarray]:
+    """Sums over all blocks, which the driver holds; it reads one split at a time."""
+    blocks = [pickle.loads(r.block) for r in seen.select("block").toLocalIterator()]
+
+    def summed(weights: np.ndarray, learning: bool) -> np.ndarray:
+        sums = np.zeros(len(weights))
+        for block in blocks:
+            block.add(weights, learning, sums)
+        return sums
+
+    return summed
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(sums) for sums in pdf["sums"])
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "sums": [total.tobytes()]})
+
+
+def _spread_sums(seen: DataFrame) -> Callable[[np.ndarray, bool], np.ndarray]:
+    """The same in a job: partial sums of each split, added up by part of the weights,
+    so that the driver gets one vector."""
+    context = seen.sparkSession.sparkContext
+
+    def summed(weights: np.ndarray, learning: bool) -> np.ndarray:
+        shared = context.broadcast(weights)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(len(shared.value))
+            for batch in batches:
+                for block in batch.column("block"):
+                    pickle.loads(block.as_py()).add(shared.value, learning, sums)
+            parts = [sums[i : i + SUMMED_AT_ONCE] for i in range(0, len(sums), SUMMED_AT_ONCE)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array(range(len(parts)), pa.int32()),
+                    "sums": pa.array([x.tobytes() for x in parts], pa.binary()),
+                }
+            )
+
+        schema = "part int, sums binary"
+        found = seen.select("block").mapInArrow(partial, schema)
+        found = found.groupBy("part").applyInPandas(_added, schema).collect()
+        shared.destroy()
+        return np.concatenate([np.frombuffer(r.sums) for r in sorted(found)])
+
+    return summed
+
+
+def fit(
+    summed: Callable[[np.ndarray, bool], np.ndarray],
+    n: int, toxic: int, occurring: int, ratios: np.ndarray,
+) -> tuple[np.ndarray, float]:
     """Logistic regression over x * ratio by accelerated gradient steps: (weights, bias).
 
-    ``rows`` and ``columns`` name the features that occur. Weights start from one
+    ``summed`` gives the sums of ``Block.add`` over the ``n`` rows, of which ``toxic``
+    are toxic and in which features occur ``occurring`` times. Weights start from one
     common value, naive Bayes' own, and a squared penalty spreads weight over
     features that occur together.
     """
-    n, bias_at = len(labels), len(ratios)
-    rows = np.concatenate([rows, np.arange(n)]).astype(np.int32)
-    columns = np.concatenate([columns, np.full(n, bias_at)]).astype(np.int32)
-    values = np.append(ratios, 1.0).astype(np.float32)[columns]
-
-    def ahead(w: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, weights=w[columns] * values, minlength=n)
+    values = np.append(ratios, 1.0)
 
-    def back(e: np.ndarray) -> np.ndarray:
-        return np.bincount(columns, weights=e[rows] * values, minlength=bias_at + 1) / n
+    def mean(w: np.ndarray, learning: bool) -> np.ndarray:
+        return values * summed(values * w, learning) / n
 
-    top = np.ones(bias_at + 1)
+    top = np.ones(len(values))
     for _ in range(20):  # the largest curvature
-        top = back(ahead(top / np.sqrt((top**2).sum())))
+        top = mean(top / np.sqrt((top**2).sum()), False)
     rate = 1 / (0.3 * np.sqrt((top**2).sum()) + PENALTY)
-    share = labels.mean()
-    weights = np.append(np.full(bias_at, 1 / max(1.0, len(rows) / n)), np.log(share / (1 - share)))
+    first = 1 / max(1.0, (occurring + n) / n)
+    weights = np.append(np.full(len(ratios), first), np.log(toxic / (n - toxic)))
     looked = weights
     for step in range(LEARN_STEPS):
-        error = 1 / (1 + np.exp(-np.clip(ahead(looked), -40, 40))) - labels
         pull = PENALTY * looked
         pull[-1] = 0
-        new = looked - rate * (back(error) + pull)
+        new = looked - rate * (mean(looked, True) + pull)
         looked = new + step / (step + 3) * (new - weights)
         weights = new
     return weights[:-1], float(weights[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS,
+    held_occurrences: int = HELD_OCCURRENCES,
+) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic), both already without held rows.
 
-    At most about ``learn_rows`` labelled rows are used, so the joined labels, the
-    learning texts and what reaches the driver are bounded. Without rows of both
+    At most about ``learn_rows`` labelled rows are used, so the joined labels and the
+    learning texts are bounded. Every significant feature is used; the driver gets
+    one weight a bucket at most and ``held_occurrences`` numbers. Without rows of both
     classes every score is the share of toxic rows.
     """
     total = labels.count()
@@ -182,36 +271,28 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> M
     found = (
         counted.select("bucket", F.log(p / q).alias("ratio"), gains.alias("gain"))
         .filter(F.col("gain") >= SIGNIFICANT)
-        .orderBy(F.desc("gain"), "bucket")
-        .limit(MOST_FEATURES)
-        .collect()
+        .select("bucket", "ratio")
+        .toArrow()  # a number a bucket at most
+        .sort_by("bucket")
     )
-    if not found:
+    if not len(found):
         return Model(weights, float(np.log(toxic / clean)))
-    buckets = np.array([r.bucket for r in found])
-    ratios = np.array([r.ratio for r in found])
-    used = np.zeros(1 << BUCKET_BITS, bool)
-    used[buckets] = True
+    buckets, ratios = found["bucket"].to_numpy(), found["ratio"].to_numpy()
+    number = np.full(1 << BUCKET_BITS, -1, np.int32)
+    number[buckets] = np.arange(len(buckets))
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = number >= 0
         for batch in slices(batches, "text", STEP_BYTES):
             text, bucket = features(texts_of(batch, "text"), used)
-            parts = np.split(bucket, np.searchsorted(text, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_pydict(
-                {"toxic": batch.column("toxic"), "buckets": pa.array(parts, pa.list_(pa.int32()))}
-            )
-
-    seen = rows.mapInArrow(occurring, "toxic int, buckets array<int>").toArrow()
-    number = np.zeros(1 << BUCKET_BITS, np.int32)
-    number[buckets] = np.arange(len(buckets))
-    lists = seen["buckets"]
-    row = np.repeat(
-        np.arange(len(seen), dtype=np.int32), pc.list_value_length(lists).to_numpy()
-    )
-    columns = number[pc.list_flatten(lists).to_numpy()]
-    labels = seen["toxic"].to_numpy().astype(np.float64)
-    del seen, lists
-    learned, bias = fit(row, columns, labels, ratios)
+            labels = batch.column("toxic").to_numpy().astype(np.float64)
+            block = pickle.dumps(Block.of(text, number[bucket], labels), protocol=5)
+            yield pa.RecordBatch.from_pydict({"occurring": [len(text)], "block": [block]})
+
+    seen = stored(rows.mapInArrow(occurring, "occurring long, block binary"), "toxic-features")
+    many = seen.agg(F.sum("occurring")).first()[0] or 0
+    summed = (_held_sums if many <= held_occurrences else _spread_sums)(seen)
+    learned, bias = fit(summed, clean + toxic, toxic, many, ratios)
     weights[buckets] = learned * ratios
     return Model(weights, bias)
 

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 
 from srcgauge.llm.catalog import op4_log_ratio_toxicity, op5_kneser_ney_language
 from srcgauge.llm.language import GAP, language_id, learn, sequences
+from srcgauge.llm import toxicity as toxicity_module
 from srcgauge.llm.toxicity import BUCKET_BITS, features, occurrences, toxicity
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -137,3 +139,31 @@ def test_toxicity_edge_rows(spark, frame):
     one_class = toxicity(df, marks.filter("toxic = 0")).collect()
     assert all(0 <= r.score < 0.5 for r in one_class)
     assert toxicity(df.limit(0), marks.limit(0)).count() == 0
+
+
+def wide_vocabulary(spark):
+    """30 toxic texts of the same 200 long words (some 7,000 n-grams), 12 of one other
+    word, 100 clean ones."""
+    draw = random.Random(1)
+    hot = " ".join("".join(draw.choices("abcdefghijklmnop", k=12)) for _ in range(200))
+    texts = [hot] * 30 + ["some zyxquark words"] * 12 + ["some kind words"] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 42)) for i in range(142)], "doc_id long, toxic int")
+    return docs, marks
+
+
+def test_rare_toxic_words_count_beside_a_wide_vocabulary(spark):
+    docs, marks = wide_vocabulary(spark)
+    model = toxicity_module.learned(docs, marks)
+    assert (model.weights != 0).sum() > 4_000
+    rare, clean, none = model.scores(["some zyxquark words", "some kind words", ""])
+    assert rare > 0.5 > clean and rare > none
+
+
+def test_steps_as_jobs_give_the_same_model(spark, monkeypatch):
+    docs, marks = wide_vocabulary(spark)
+    monkeypatch.setattr(toxicity_module, "LEARN_STEPS", 5)
+    held = toxicity_module.train(docs, marks)
+    monkeypatch.setattr(toxicity_module, "SUMMED_AT_ONCE", 1_000)
+    spread = toxicity_module.train(docs, marks, held_occurrences=0)
+    assert np.allclose(held.weights, spread.weights, atol=1e-6) and np.isclose(held.bias, spread.bias)
