@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, in built-in expressions only.
 
 A text is cut into sentences; a sentence that speaks of licensing is normalised and
-mapped to the identifier of the known licence sentence it is. The identifiers, in
+mapped to the identifiers of the known licence sentences it holds. The identifiers, in
 text order, are matched against ordered licence rules: a rule takes the part of
 the sequence that it matches, so a full licence text is recognised before the
 short sentences it also holds.
@@ -120,6 +120,55 @@ RAW_TRIGGER = TRIGGER.replace("[ -]", f"(-|{BETWEEN})").replace(" ", BETWEEN)
 LICENSING = "licen[sc]e|spdx|copyright"
 SPDX = r"spdx-license-identifier: ?([a-z0-9.+-]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A whole SPDX expression in a lower-case text; an exception (after "with") is no licence.
+SPDX_IDS = (
+    r"spdx-license-identifier:[^a-z0-9.,:+/-]*"
+    r"([a-z0-9.+-]+(?:[ \t()]+(?:or|and|with)[ \t(]+[a-z0-9.+-]+)*)"
+)
+#: What stands for an SPDX expression in the text that the other patterns see.
+TAGGED = "/:/"
+
+# The GNU patterns are read so that one mention of a licence is one identifier: from a
+# name to its version there is no other licence's name and no other version, and the
+# mentions already known are taken out.
+GNU = [name for name, _ in SENTENCES if name.startswith(("Agpl", "Lgpl", "Gpl2", "Gpl3"))]
+MARKS = {name: chr(0xE000 + i) for i, name in enumerate(GNU)}
+OTHER_NAME = (
+    r"gpl|general public licen|apache|mozilla|eclipse|creative commons|cc[ -]by|\bcc0"
+    r"|\b(?:mit|bsd|isc|mpl|epl)\b"
+)
+GNU_MENTION = "gpl|general public licen"
+#: "gpl version 2 or version 3" names the licence once.
+SHARED_NAME = (
+    r"((?:lesser |library |affero )?general public license|[al]?gpl)([ -]?,? ?(?:v|version )?[23](?:\.[01])?)"
+    r"( or | and | ?/ ?|, ?)((?:v|version )?[23](?:\.[01])?\b)(?! [a-z]+ (?:19|20))"
+)
+
+
+def _gnu_pattern(name: str, pattern: str) -> str:
+    version = next(v for v in ("21", "2", "3") if v in name)
+    own = {"21": r"2\.1", "2": r"2(?!\.1)", "3": "3"}[version]
+    between = rf"(?:(?!{OTHER_NAME}|\b(?:v|version )(?!{own})[0-9])[^\ue000-\ue0ff])"
+    pattern = pattern.replace("(gnu )?", "")
+    if name.startswith("Gpl"):
+        pattern = pattern.replace(
+            "(general public license|gpl)",
+            "(?:(?<!lesser )(?<!library )(?<!affero )general public license|(?<![al])gpl)",
+        )
+    for width in ("80", "120"):
+        pattern = pattern.replace(f".{{0,{width}}}", f"{between}{{0,{width}}}?")
+    return pattern
+
+
+#: Patterns as they are looked for in a sentence that may hold several.
+ALL_PATTERNS = {
+    name: _gnu_pattern(name, pattern)
+    if name in GNU
+    else rf"(?<!unencumbered software )({pattern})"  # known as Unlicense
+    if name == "PublicDomain"
+    else pattern
+    for name, pattern in SENTENCES
+}
 #: Ends of sentences: a mark and white space, or an empty line.
 SENTENCE_END = r"([.!?;]|\n[ \t\r]*\n)[ \t\n\r\f]+"
 #: A mark that ends no sentence.
@@ -129,41 +178,94 @@ UNKNOWN = "?"
 
 
 def sentences(text: str | Column) -> Column:
-    """Normalised sentences: lower-case ASCII words, one space between them."""
+    """Sentences of a text in lower case, as they are written."""
     text = F.col(text) if isinstance(text, str) else text
     lower = F.translate(text, UPPER, LOWER)
     lower = F.regexp_replace(lower, VERSION_MARK, "$1v $2")
-    parts = F.split(F.regexp_replace(lower, SENTENCE_END, f"$1{CUT}"), CUT)
-    return F.transform(
-        parts, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9.,:+/-]+", " "))
-    )
+    return F.split(F.regexp_replace(lower, SENTENCE_END, f"$1{CUT}"), CUT)
+
+
+def normalised(sentence: Column) -> Column:
+    """Lower-case ASCII words, one space between them."""
+    return F.trim(F.regexp_replace(sentence, r"[^a-z0-9.,:+/-]+", " "))
+
 
+def spdx_ids(sentence: Column) -> Column:
+    """The licences that a sentence's SPDX expressions name."""
+    found = F.regexp_extract_all(sentence, F.lit(SPDX_IDS), F.lit(1))
+    words = F.flatten(F.transform(found, lambda e: F.split(
+        F.regexp_replace(e, r"[ \t()]+with[ \t(]+[^ \t()]+", ""), r"[ \t()]+(?:or|and)[ \t(]+"
+    )))
+    ids = F.transform(words, lambda w: F.rtrim(w, F.lit(".")))
+    return F.transform(F.filter(ids, lambda i: i != ""), lambda i: F.concat(F.lit("Spdx:"), i))
 
-def sentence_id(sentence: Column) -> Column:
-    """Identifier of a normalised sentence; null if it is no known sentence."""
-    spdx = F.regexp_extract(sentence, SPDX, 1)
-    found = F.when(spdx != "", F.concat(F.lit("Spdx:"), F.rtrim(spdx, F.lit("."))))
-    for name, pattern in SENTENCES:
-        found = found.when(sentence.rlike(pattern), F.lit(name))
-    return found
+
+def gnu_marks(sentence: Column) -> Column:
+    """A normalised sentence with a mark for each GNU licence that it mentions."""
+    marked = F.regexp_replace(sentence, SHARED_NAME, "$1$2$3$1 $4")
+    for name in GNU:
+        marked = F.regexp_replace(marked, ALL_PATTERNS[name], MARKS[name])
+    return F.when(sentence.rlike(GNU_MENTION), marked).otherwise("")
+
+
+def sentence_ids(sentence: Column, marked: Column) -> Column:
+    """Identifiers of the known sentences in a normalised sentence, in text order."""
+
+    def place(name: str) -> Column:
+        if name in MARKS:
+            return F.when(marked.contains(MARKS[name]), F.instr(marked, MARKS[name])).otherwise(0)
+        return F.regexp_instr(sentence, F.lit(ALL_PATTERNS[name]))
+
+    def placed(names: list[str]) -> Column:
+        return F.array(*[F.struct(place(n).alias("at"), F.lit(n).alias("id")) for n in names])
+
+    nothing = F.array().cast("array<struct<at:int,id:string>>")
+    cc = [name for name in ALL_PATTERNS if name.startswith("Cc") and name != "Cc0"]
+    plain = [name for name in ALL_PATTERNS if name not in cc and name not in MARKS]
+    found = F.concat(
+        placed(plain),
+        F.when(marked != "", placed(list(MARKS))).otherwise(nothing),
+        F.when(sentence.rlike("cc[ -]|creative commons"), placed(cc)).otherwise(nothing),
+    )
+    found = F.array_sort(F.filter(found, lambda x: x["at"] > 0))
+    return F.transform(found, lambda x: x["id"])
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, licenses, sentence_ids, n_known, n_unknown.
 
     ``licenses`` holds the licences found, sorted and joined by commas ('' if none);
-    ``sentence_ids`` the known sentences' identifiers in text order, joined by spaces;
-    ``n_unknown`` counts other sentences that speak of a licence or copyright. A null
+    ``sentence_ids`` the known sentences' identifiers in text order, joined by spaces
+    (a sentence of several licences has several); ``n_known`` counts these identifiers,
+    ``n_unknown`` other sentences that speak of a licence or copyright. A null
     or empty text has none of these. Rows are independent: repeated rows and null ids
     stay as they are, an empty table gives no rows, other columns are ignored. One
     narrow pass over whole texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     speaks = F.coalesce(F.col("text").rlike(f"(?i){RAW_TRIGGER}"), F.lit(False))
-    asked = F.filter(sentences("text"), lambda s: s.rlike(TRIGGER))
+    parts = F.transform(
+        sentences("text"),
+        lambda s: F.struct(
+            spdx_ids(s).alias("tags"),
+            normalised(F.regexp_replace(s, SPDX_IDS, f" {TAGGED} ")).alias("text"),
+            normalised(s).alias("whole"),
+        ),
+    )
+    parts = F.filter(parts, lambda p: p["whole"].rlike(TRIGGER))
+    parts = F.transform(
+        parts, lambda p: F.struct(p["tags"], p["text"], p["whole"], gnu_marks(p["text"]).alias("marked"))
+    )
     ids = F.transform(
-        asked, lambda s: F.coalesce(sentence_id(s), F.when(s.rlike(LICENSING), F.lit(UNKNOWN)))
+        parts, lambda p: F.array_distinct(F.concat(p["tags"], sentence_ids(p["text"], p["marked"])))
+    )
+    unknown = F.transform(
+        parts,
+        lambda p: F.when(p["whole"].rlike(LICENSING), F.array(F.lit(UNKNOWN))).otherwise(
+            F.array().cast("array<string>")
+        ),
     )
+    ids = F.flatten(F.zip_with(ids, unknown, lambda i, u: F.when(F.size(i) > 0, i).otherwise(u)))
     ids = F.when(speaks, ids).otherwise(F.array().cast("array<string>"))
     rows = rows.select("doc_id", ids.alias("ids"))
     known = F.filter("ids", lambda i: i != UNKNOWN)
@@ -187,7 +289,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lambda state: state.found,
     )
     tagged = F.transform(
-        F.filter("known", lambda i: i.startswith("Spdx:")), lambda i: F.substring(i, 6, 200)
+        F.filter("known", lambda i: i.startswith("Spdx:")), lambda i: F.substr(i, F.lit(6))
     )
     found = F.array_sort(F.array_distinct(F.concat(matched, tagged)))
     licenses = F.when(F.size("known") > 0, F.concat_ws(",", found)).otherwise("")

@@ -51,3 +51,24 @@ def test_long_texts_repeats_and_null_ids(spark, frame, text):
     want = "MIT" if "MIT" in text else ""
     assert [r.licenses for r in license_scan(df).collect()] == [want] * 3
     assert license_scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Dual-licensed under the MIT License or the Apache License, Version 2.0.", "Apache-2.0,MIT"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nand code", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: (BSD-3-Clause AND Zlib)", "bsd-3-clause,mit,zlib"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2.0-only"),
+        ("SPDX-License-Identifier: MPL-1.1\nLicensed under the Apache License, Version 2.0", "Apache-2.0,mpl-1.1"),
+        ("SPDX-License-Identifier: LicenseRef-" + "x" * 300, "licenseref-" + "x" * 300),
+        ("GNU Lesser General Public License version 2.1, or any later version.", "LGPL-2.1-or-later"),
+        ("Under the GPL version 2 or the LGPL version 2.1.", "GPL-2.0-only,LGPL-2.1-only"),
+        ("Under the GPL version 2 or version 3.", "GPL-2.0-only,GPL-3.0-only"),
+        ("GNU General Public License Version 3, 29 June 2007", "GPL-3.0-only"),
+        ("Under the GPL or the Apache License, Version 2.0.", "Apache-2.0"),
+        ("free and unencumbered software released into the public domain", "Unlicense"),
+    ],
+)
+def test_every_licence_of_a_sentence(frame, text, want):
+    assert license_scan(frame([(1, text)])).first().licenses == want
