@@ -169,8 +169,11 @@ ALL_PATTERNS = {
     else pattern
     for name, pattern in SENTENCES
 }
-#: Ends of sentences: a mark and white space, or an empty line.
-SENTENCE_END = r"([.!?;]|\n[ \t\r]*\n)[ \t\n\r\f]+"
+#: Ends of sentences: a mark and white space, an empty line, or a colon before a list.
+SENTENCE_END = (
+    r"([.!?;][ \t\n\r\f]+|\n[ \t\r]*\n[ \t\n\r\f]*"
+    r"|:[ \t\r]*\n[ \t\n\r\f]*(?=(?:[*+\u2022-]|\(?[0-9a-z]{1,3}[.)])[ \t]))"
+)
 #: A mark that ends no sentence.
 VERSION_MARK = r"([^a-z0-9])v\.[ \t\n\r\f]+([0-9])"
 CUT = "\x1e"

@@ -72,3 +72,22 @@ def test_long_texts_repeats_and_null_ids(spark, frame, text):
 )
 def test_every_licence_of_a_sentence(frame, text, want):
     assert license_scan(frame([(1, text)])).first().licenses == want
+
+
+BULLETS = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:{}* Redistributions of source
+code must retain the above copyright notice, this list of conditions{}* Redistributions in binary form
+must reproduce the above copyright notice, this list of conditions{}* Neither the name of the owner nor
+the names of contributors may be used to endorse or promote products"""
+
+
+@pytest.mark.parametrize("gap", ["\n\n", "\n", "\n \n  "])
+def test_bulleted_licence(frame, gap):
+    row = license_scan(frame([(1, BULLETS.format(gap, gap, gap))])).first()
+    assert row.licenses == "BSD-3-Clause"
+    assert row.sentence_ids == "BsdGrant BsdSource BsdBinary BsdNames"
+
+
+def test_an_empty_line_ends_a_sentence(frame):
+    row = license_scan(frame([(1, "The licence of poets\n\nCopyright 2001")])).first()
+    assert row.n_unknown == 2
