@@ -5,10 +5,12 @@
    vote.
 2. Votes are counted per host in Spark; paths with a good share of them win.
 3. Every page is read again: its text is that of the containers on its host's
-   best winning path that the page has, or of its own best container if it has none.
+   best winning path that the page has, or of its own best container if it has none,
+   and of the article around them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
-are left out by their tags, roles and class words in both passes.
+are left out by their tags, roles and class words in both passes; a class word does
+not count where it would leave out the page's text itself.
 """
 
 from __future__ import annotations
@@ -84,14 +86,23 @@ WORDS = re.compile(r"[a-z]+")
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     path: str
     parent: Node | None
     skipped: bool
+    #: Left out by its tag or role, or inside such an element.
+    hard: bool = False
+    #: The outermost article or main element around it, itself included.
+    article: Node | None = None
+    #: Letters inside that no tag or role leaves out; whether a main heading is there.
+    letters: int = 0
+    headed: bool = False
     container: Node | None = None
     link: bool = False
+    #: A container's outer one.
+    outer: Node | None = None
     score: float = 0.0
     #: Numbers of the blocks inside: first, after the last.
     first: int = 0
@@ -100,10 +111,17 @@ class Node:
 
 @dataclass
 class Page:
-    """Containers and kept blocks of a page; a block is (text, container)."""
+    """Containers and kept blocks of a page, the first container being an implicit body."""
 
     containers: list[Node] = field(default_factory=list)
     blocks: list[str] = field(default_factory=list)
+    #: Per block its container, and whether most of it is no link.
+    holders: list[Node] = field(default_factory=list)
+    plain: list[bool] = field(default_factory=list)
+    #: Elements left out by a class word: (element, whether the word is a whole class or id).
+    doubted: list[tuple[Node, bool]] = field(default_factory=list)
+    #: Kept letters inside article or main elements.
+    in_articles: int = 0
 
     def best(self) -> Node | None:
         """The container of highest score, the first in page order among equals."""
@@ -117,6 +135,18 @@ class Page:
             end = max(end, node.last)
         return "\n".join(out)
 
+    def excused(self) -> set[str]:
+        """Paths of the elements that a class word leaves out although they hold most of
+        the page's text: with the word in a part of the name, if no article is elsewhere;
+        with the word as a name, if the main heading is there too."""
+        half = self.containers[0].letters / 2
+        return {
+            n.path
+            for n, whole in self.doubted
+            if n.letters > half
+            and (n.headed if whole else n.article is not None or not self.in_articles)
+        }
+
     def on_path(self, path: str) -> list[Node]:
         return [c for c in self.containers if c.path == path]
 
@@ -126,22 +156,45 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
-def _boilerplate(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in BOILERPLATE_TAGS or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
-        return True
+def _by_tag(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in BOILERPLATE_TAGS or attributes.get("role", "").lower() in BOILERPLATE_ROLES
+
+
+def _by_word(tag: str, attributes: dict[str, str]) -> int:
+    """2: a whole class or id is made of listed words, 1: a part of one, 0: none is."""
     if tag in ("html", "body", "main", "article") or not attributes:
-        return False
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return not BOILERPLATE_WORDS.isdisjoint(WORDS.findall(named))
+        return 0
+    found = 0
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = WORDS.findall(name)
+        if words and BOILERPLATE_WORDS.issuperset(words):
+            return 2
+        found |= not BOILERPLATE_WORDS.isdisjoint(words)
+    return int(found)
+
 
+def read_page(source: str, winners: list[str] | tuple[str, ...] = ()) -> Page:
+    """The page, read again where a class word left out the text itself.
 
-def read_page(source: str) -> Page:
+    An element on the way to one of ``winners`` is not left out for a class word.
+    """
+    page = _walk(source, winners, frozenset(), True)
+    if page.doubted and (excused := page.excused()):
+        page = _walk(source, winners, excused, True)
+    if page.doubted and not page.blocks:
+        page = _walk(source, winners, frozenset(), False)
+    return page
+
+
+def _walk(source: str, winners, excused: set[str] | frozenset[str], by_words: bool) -> Page:
     """Walk a page's tags once, tolerating missing and stray end tags."""
     page = Page()
-    node = Node("", "", None, False)
+    root = node = Node("", "", None, False)
+    root.container = root
+    page.containers.append(root)
     words: list[str] = []  # the open block's text, piece by piece
     plain = linked = 0
-    holder: Node | None = None
+    holder = root
 
     def close_block() -> None:
         nonlocal plain, linked
@@ -150,22 +203,28 @@ def read_page(source: str) -> Page:
             words.clear()
             if text:
                 page.blocks.append(text)
-                if holder is not None:
-                    holder.score += len(text) * plain / max(1, plain + linked)
+                page.holders.append(holder)
+                page.plain.append(plain >= linked)
+                holder.score += len(text) * plain / max(1, plain + linked)
         plain = linked = 0
 
     def leave(top: Node) -> Node:
         if top.container is top:
             top.last = len(page.blocks)
-            outer = top.parent.container
-            if outer is not None:
-                outer.score += PASSED_ON * top.score
+            top.outer.score += PASSED_ON * top.score
+        top.parent.letters += top.letters
+        top.parent.headed |= top.headed
         return top.parent
 
     at, end = 0, len(source)
     while at < end:
         found = TOKEN.search(source, at)
         stop = found.start() if found else end
+        if stop > at and not node.hard:
+            letters = sum(map(len, source[at:stop].split()))
+            node.letters += letters
+            if node.article is not None and not node.skipped:
+                page.in_articles += letters
         if stop > at and not node.skipped:
             text = source[at:stop]
             if "&" in text:
@@ -221,20 +280,35 @@ def read_page(source: str) -> Page:
         attributes = (
             {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if "=" in rest else {}
         )
-        skipped = node.skipped or _boilerplate(tag, attributes)
+        hard = node.hard or _by_tag(tag, attributes)
+        word = 0 if hard or not by_words else _by_word(tag, attributes)
         path = node.path
-        if block:
+        if block or word:
             classes = sorted({DIGITS.sub("#", c) for c in attributes.get("class", "").split()})
             path = f"{path}>{'.'.join([tag, *classes])}"
-        node = Node(tag, path, node, skipped, node.container, node.link or tag == "a")
-        if tag in CONTAINER and not skipped:
+            if word:  # an id may hold the word
+                path += "".join(f"#{DIGITS.sub('#', i)}" for i in attributes.get("id", "").split())
+        if word and (path in excused or any(f"{w}>".startswith(f"{path}>") for w in winners)):
+            word = 0
+        node = Node(
+            tag, path, node, node.skipped or hard or word > 0, hard, node.article,
+            container=node.container, link=node.link or tag == "a",
+        )
+        node.headed = tag == "h1" and not hard
+        if word:
+            page.doubted.append((node, word == 2))
+        if tag in CONTAINER and not node.skipped:
+            node.outer = node.container
             node.container = node
             node.first = len(page.blocks)
             page.containers.append(node)
             holder = node
+        if node.article is None and tag in ("article", "main"):
+            node.article = node
     close_block()
     while node.parent is not None:
         node = leave(node)
+    root.last = len(page.blocks)
     return page
 
 
@@ -267,7 +341,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(source: str, winners: list[str]) -> str:
     """The text of a page, given its host's winning paths, best first."""
-    page = read_page(source)
+    page = read_page(source, winners)
     for path in winners:
         nodes = page.on_path(path)
         text = page.text(nodes) if nodes else ""

@@ -85,3 +85,21 @@ def test_deep_and_unclosed_markup_is_fast():
 
 def test_host():
     assert [host_of(u) for u in ("HTTP://u@A.b:1/c", "x", None, "//h/")] == ["a.b", "", "", ""]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<title>x</title><h1>T</h1><p>one<p>two", "T\none\ntwo"),
+        ("<title>x</title><h1>T</h1><p>one<div>small</div>", "T\none\nsmall"),
+        ("<body><div class='content has-sidebar'><p>the text</p><div class=sidebar>no</div></div><p>tag", "the text\ntag"),
+        ("<body><div id='page-with-comments'><p>the text</p><div id=comments><p>said</div></div>", "the text"),
+        ("<body><div class='post share-enabled'><p>the text</p></div>", "the text"),
+        ("<body><div class=no-sidebar><h1>T</h1><p>text</p></div><div class=sidebar>side</div>", "T\ntext"),
+        ("<body><div class=widget><p>a</p></div><div class=widget><p>b</p></div>", "a\nb"),
+        ("<body><article><p>short</p></article><div class=comments-area><p>much said here</div>", "short"),
+        ("<body><div class=post><p>short</p></div><div id=comments><p>much said here</div>", "short"),
+    ],
+)
+def test_whole_articles_stay(html, text):
+    assert extract(html, []) == text
