@@ -129,11 +129,28 @@ class Page:
         return found if found is not None and found.score > 0 else None
 
     def text(self, nodes: list[Node]) -> str:
-        out, end = [], 0
-        for node in nodes:
-            out += self.blocks[max(end, node.first) : node.last]
-            end = max(end, node.last)
-        return "\n".join(out)
+        """The text of containers: of the outermost article or main element around each;
+        without one also what the containers around it hold themselves and is no link,
+        and the sections beside a section."""
+        keep = bytearray(len(self.blocks))
+        around: set[Node] = set()
+        of_sections: set[Node] = set()
+        for top in dict.fromkeys(n.article or n for n in nodes):
+            keep[top.first : top.last] = b"\1" * (top.last - top.first)
+            inner, outer = top, None if top.article else top.outer
+            while outer is not None and (outer not in around or inner.tag == "section"):
+                around.add(outer)
+                if inner.tag == "section":
+                    of_sections.add(outer)
+                inner, outer = outer, outer.outer
+        sections: set[Node] = set()
+        for c in self.containers if of_sections else []:
+            if c.outer in sections or c.tag == "section" and c.outer in of_sections:
+                sections.add(c)
+        for i, holder in enumerate(self.holders if around else []):
+            if self.plain[i] and (holder in around or holder in sections):
+                keep[i] = 1
+        return "\n".join(b for b, kept in zip(self.blocks, keep, strict=True) if kept)
 
     def excused(self) -> set[str]:
         """Paths of the elements that a class word leaves out although they hold most of

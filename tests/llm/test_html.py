@@ -103,3 +103,22 @@ def test_host():
 )
 def test_whole_articles_stay(html, text):
     assert extract(html, []) == text
+
+
+LONG = "word " * 30 + "end"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><h1>T</h1><p>lede</p><div class=body><p>{}</p></div></article>", "T\nlede\n{}"),
+        ("<main><article><section class=a><p>one</section><section class=b><p>{}</section></article></main>", "one\n{}"),
+        ("<div class=post><h1>T</h1><p>lede</p><p><a href=/>all posts</a></p><div class=body><p>{}</div></div>", "T\nlede\n{}"),
+        ("<section class=a><p>one</section><section class=b><p>{}</section>", "one\n{}"),
+        ("<div class=links><p>see</div><div class=body><p>{}</div>", "{}"),
+    ],
+)
+def test_what_stands_beside_the_body_stays(spark, html, text):
+    rows = [page("http://a.org/", "<body>" + html.format(LONG)) for _ in range(3)]
+    found = main_text(frame(spark, rows)).collect()
+    assert [r.text for r in found] == [text.format(LONG)] * 3
