@@ -14,7 +14,6 @@ import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,12 +26,13 @@ from srcgauge.llm.common import (
 )
 
 ORDER = 4
-#: Characters learned from per language (on average, by a hash of the document).
+#: Characters learned from per language (on average, by a hash of pieces of the texts).
 LEARN_CHARS = 4_000_000
-#: Characters learned from in all, and languages (those of most characters), at most.
+#: Characters learned from in all, divided over the languages.
 ALL_CHARS = 32_000_000
-MOST_LANGUAGES = 200
-#: One in so many of these documents calibrates instead.
+#: Characters of a piece at most; a language's share is some 64 pieces or more.
+PIECE = 16_384
+#: One in so many of these pieces calibrates instead.
 CALIBRATE = 5
 UNKNOWN = "und"
 #: Texts with fewer letters are not rejected for their cross-entropy.
@@ -41,6 +41,11 @@ JUDGED_LETTERS = 40
 MARGIN = 1.4
 GAP = 32
 STEP_BYTES = 1 << 20
+#: Numbers of a full table (sequences x languages); larger ones keep only what was seen.
+FULL_NUMBERS = 16_000_000
+#: Texts x languages, and numbers added up, at once.
+STEP_NUMBERS = 4_000_000
+SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 
 
 @lru_cache(1)
@@ -109,6 +114,44 @@ class Table:
         return at
 
 
+@dataclass
+class SeenTable(Table):
+    """Numbers by key and language, only where there are some. ``rows`` tells where a key's
+    numbers begin, and at last their count."""
+
+    languages: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of_languages(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> SeenTable:
+        """From each language's keys and numbers."""
+        hashes = mixed(np.concatenate([k for k, _ in parts]))
+        language = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        values = np.concatenate([v for _, v in parts]).astype(np.float32)
+        return cls(hashes[first], np.append(first, len(hashes)), language[order], values[order])
+
+    def add(self, keys: np.ndarray, text: np.ndarray, sums: np.ndarray) -> None:
+        """Add the numbers of each text's keys to its row of ``sums``."""
+        at = self.find(keys)
+        hit = at >= 0
+        pairs, times = np.unique(text[hit] * len(self.hashes) + at[hit], return_counts=True)
+        texts, rows = pairs // len(self.hashes), pairs % len(self.hashes)
+        size = self.rows[rows + 1] - self.rows[rows]
+        ends, start, flat = np.cumsum(size), 0, sums.reshape(-1)
+        while start < len(rows):
+            most = STEP_NUMBERS + (ends[start - 1] if start else 0)
+            some = slice(start, max(start + 1, int(np.searchsorted(ends, most, side="right"))))
+            n = size[some]
+            entry = np.arange(n.sum()) + np.repeat(self.rows[rows[some]] - (np.cumsum(n) - n), n)
+            place = np.repeat(texts[some] * sums.shape[1], n) + self.languages[entry]
+            weights = np.repeat(times[some], n) * self.values[entry]
+            flat += np.bincount(place, weights=weights, minlength=len(flat))
+            start = some.stop
+
+
 @dataclass
 class Models:
     languages: list[str]
@@ -142,21 +185,73 @@ class Models:
         out[todo] += self.never
         return out
 
-    def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text and language the cross-entropy per letter; the number of letters."""
-        keys, sizes = sequences(texts)
+    def sums(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Per text, of so many sequences, and language: log probability."""
         logs = self.log_probabilities(keys)
-        sums = np.zeros((len(texts), len(self.languages)))
+        sums = np.zeros((len(sizes), len(self.languages)))
         some = np.flatnonzero(sizes)
         if len(some):
             starts = (np.cumsum(sizes) - sizes)[some]
             sums[some] = np.add.reduceat(logs.astype(np.float64), starts, axis=0)
+        return sums
+
+    def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text and language the cross-entropy per letter; the number of letters."""
+        keys, sizes = sequences(texts)
+        sums = self.sums(keys, sizes)
         letters = (keys & _mask(1)) != GAP
         text = np.repeat(np.arange(len(texts)), sizes)
         count = np.bincount(text[letters], minlength=len(texts))
         return -sums / np.maximum(1, sizes)[:, None], count
 
 
+@dataclass
+class SeenModels(Models):
+    """The same for many languages. A log probability is that of a letter never seen, and
+    for each order the weight of the shorter context and, if the sequence was seen, what
+    it adds to that; ``seen`` and ``weight`` hold these."""
+
+    def sums(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        sums = sizes[:, None] * self.never.astype(np.float64)
+        for order in range(1, ORDER + 1):
+            some = keys & _mask(order) if order < 4 else keys
+            self.seen[order - 1].add(some, text, sums)
+            if order > 1:
+                self.weight[order - 2].add(some >> np.uint64(16), text, sums)
+        return sums
+
+
+def _learn_seen(languages: list[str], counts: list[list[tuple[np.ndarray, np.ndarray]]]):
+    """Models that hold only what each language has."""
+    base = 1 / (len(np.unique(np.concatenate([k for k, _ in counts[0]]))) + 1)
+    seen, weight = [[] for _ in range(ORDER)], [[] for _ in range(ORDER)]
+    never = np.zeros(len(languages))
+    for i in range(len(languages)):
+        shorter, below = None, None
+        for order in range(1, ORDER + 1):
+            own, n = counts[order - 1][i]
+            once, twice = (n == 1).sum(), (n == 2).sum()
+            discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+            contexts, context = np.unique(own >> np.uint64(16), return_inverse=True)
+            total = np.bincount(context, weights=n)
+            back = discount * np.bincount(context) / total
+            if order == 1:
+                lower = np.full(len(own), base)
+                never[i] = np.log(back[0] * base)
+            else:
+                lower = below[np.searchsorted(shorter, own & _mask(order - 1))]
+            p = (n - discount) / total[context] + back[context] * lower
+            seen[order - 1].append((own, np.log(p) - np.log(back[context] * lower)))
+            weight[order - 1].append((contexts, np.log(back)))
+            shorter, below = own, p
+    return SeenModels(
+        languages, [SeenTable.of_languages(x) for x in seen],
+        [SeenTable.of_languages(x) for x in weight[1:]], never.astype(np.float32),
+        np.full(len(languages), np.inf),
+    )
+
+
 def learn(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
     """Interpolated Kneser-Ney models from each language's sequences and counts."""
     languages = sorted(counted)
@@ -167,6 +262,8 @@ def learn(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
         for order in range(ORDER - 1, 0, -1):  # in how many ways a sequence is continued leftwards
             keys, n = np.unique(keys & _mask(order), return_counts=True)
             counts[order - 1].append((keys, n))
+    if len(np.unique(np.concatenate([k for k, _ in counts[-1]]))) * len(languages) > FULL_NUMBERS:
+        return _learn_seen(languages, counts)
     letters = np.unique(np.concatenate([k for k, _ in counts[0]]))
     seen, weight = [], []
     below, never = None, None
@@ -199,24 +296,6 @@ def learn(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
     return Models(languages, seen, weight, never.astype(np.float32), limits)
 
 
-def calibrate(models: Models, entropies: np.ndarray, letters: np.ndarray, truth: np.ndarray):
-    """Set limits and sharpness from texts that the models were not made from."""
-    best = entropies.argmin(axis=1)
-    judged = (letters >= JUDGED_LETTERS) & (best == truth)
-    for i in range(len(models.languages)):
-        own = entropies[judged & (truth == i), i]
-        if len(own) >= 20:
-            models.limits[i] = MARGIN * np.quantile(own, 0.999)
-    if not len(truth):
-        return
-    losses = {}
-    for sharpness in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
-        x = -sharpness * (entropies - entropies.min(axis=1, keepdims=True))
-        p = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
-        losses[sharpness] = -np.log(np.maximum(p[np.arange(len(p)), truth], 1e-6)).mean()
-    models.sharpness = min(losses, key=losses.get)
-
-
 def _learn_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sequences and counts of the documents chosen for a language."""
     parts = []
@@ -230,61 +309,102 @@ def _learn_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "data": [data]})
 
 
+def _steps(
+    batches: Iterator[pa.RecordBatch], text: str, models: Models | None
+) -> Iterator[pa.RecordBatch]:
+    """Batches of some text and of few texts if there are many languages."""
+    rows = max(1, STEP_NUMBERS // max(1, len(models.languages))) if models else STEP_NUMBERS
+    for batch in slices(batches, text, STEP_BYTES):
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _counted(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    made = rows.groupBy("lang").applyInPandas(_learn_group, "lang string, data binary")
+    counted = {r.lang: pickle.loads(r.data) for r in made.collect()}
+    return {language: c for language, c in counted.items() if len(c[0])}
+
+
 def train(docs: DataFrame, learn_from, learn_chars: int = LEARN_CHARS) -> Models | None:
     """Models of the languages in ``docs`` (doc_id, text, lang), from rows where
     ``learn_from`` holds.
 
-    About ``learn_chars`` characters per language are used, chosen by a hash of the
-    row, and ``ALL_CHARS`` in all, so what reaches the driver is bounded: the counts of
-    their sequences.
+    About ``learn_chars`` characters per language are used, in pieces chosen by a hash of
+    the row and their place, and ``ALL_CHARS`` in all, so what reaches the driver is
+    bounded: the counts of their sequences. Every language with a letter in its pieces is
+    learned; one that has none left beside those that calibrate is learned from these
+    and not calibrated.
     """
     docs = small_batches(docs).withColumn("pick", F.xxhash64("doc_id", "text"))
     usable = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    sizes = sizes.orderBy(F.desc("chars"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
+    sizes = stored(usable.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")), "sizes")
+    languages = sizes.count()
+    if not languages:
         return None
-    each = min(learn_chars, ALL_CHARS / len(sizes))
-    shares = [(F.lit(r.lang), F.lit(min(1.0, each / max(1, r.chars)))) for r in sizes]
-    share = F.try_element_at(F.create_map(*chain.from_iterable(shares)), F.col("lang"))
+    each = min(learn_chars, ALL_CHARS / languages)
+    piece = int(min(PIECE, max(16, each // 64)))
+    shares = sizes.select("lang", F.least(F.lit(1.0), each / F.greatest("chars", F.lit(1))).alias("share"))
+    pieces = F.when(
+        F.length("text") > piece, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{piece}}}"), F.lit(0))
+    ).otherwise(F.array("text"))
+    cut = usable.select("lang", "pick", F.posexplode(pieces).alias("k", "text")).withColumn(
+        "pick", F.when(F.col("k") == 0, F.col("pick")).otherwise(F.xxhash64("pick", "k"))
+    )
     held = F.pmod(F.shiftright("pick", 20), F.lit(CALIBRATE)) == 0
     chosen = stored(
-        usable.filter(F.pmod("pick", F.lit(1 << 20)) < share * (1 << 20)).select(
-            "lang", "text", held.alias("held")
-        ),
+        cut.join(F.broadcast(shares), "lang")  # a row a language
+        .filter(F.pmod("pick", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+        .select("lang", "text", held.alias("held")),
         "languages",
     )
-    made = chosen.filter("not held").groupBy("lang").applyInPandas(
-        _learn_group, "lang string, data binary"
-    )
-    counted = {r.lang: pickle.loads(r.data) for r in made.collect()}
-    counted = {language: c for language, c in counted.items() if len(c[0])}
+    counted = _counted(chosen.filter("not held"))
+    calibrating = sorted(counted)
+    if len(counted) < languages:
+        known = docs.sparkSession.createDataFrame([(x,) for x in calibrating], "lang string")
+        counted |= _counted(chosen.filter("held").join(F.broadcast(known), "lang", "left_anti"))
     if not counted:
         return None
     models = learn(counted)
-    number = {language: i for i, language in enumerate(models.languages)}
+    place = {language: i for i, language in enumerate(models.languages)}
+    number = {language: place[language] for language in calibrating}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", STEP_BYTES):
+        for batch in _steps(batches, "text", models):
             entropies, letters = models.cross_entropies(texts_of(batch, "text"))
-            truth = [number.get(x, -1) for x in batch.column("lang").to_pylist()]
+            truth = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            some = (truth >= 0) & (letters > 0)
+            entropies, letters, truth = entropies[some], letters[some], truth[some]
+            own = entropies[np.arange(len(truth)), truth]
+            judged = (letters >= JUDGED_LETTERS) & (entropies.argmin(axis=1) == truth)
+            above = entropies - entropies.min(axis=1, keepdims=True, initial=np.inf)
+            losses = []
+            for sharpness in SHARPNESS:
+                p = np.exp(-sharpness * above)
+                p = p[np.arange(len(truth)), truth] / p.sum(axis=1)
+                losses.append(-np.log(np.maximum(p, 1e-6)))
             yield pa.RecordBatch.from_pydict(
                 {
                     "truth": pa.array(truth, pa.int32()),
-                    "letters": pa.array(letters, pa.int64()),
-                    "entropies": pa.array(list(entropies), pa.list_(pa.float64())),
+                    "own": pa.array(np.where(judged, own, np.nan), pa.float64(), from_pandas=True),
+                    "losses": pa.array(list(np.array(losses).T), pa.list_(pa.float64())),
                 }
             )
 
-    rows = chosen.filter("held").mapInArrow(
-        measure, "truth int, letters long, entropies array<double>"
-    ).filter("letters > 0 and truth >= 0").collect()  # a part of the bounded sample
-    calibrate(
-        models,
-        np.array([r.entropies for r in rows]).reshape(len(rows), len(models.languages)),
-        np.array([r.letters for r in rows]),
-        np.array([r.truth for r in rows], np.int64),
-    )
+    rows = (
+        chosen.filter("held")
+        .mapInArrow(measure, "truth int, own double, losses array<double>")
+        .groupBy("truth")
+        .agg(
+            F.count("own").alias("judged"), F.percentile("own", 0.999).alias("own"),
+            F.array(*[F.sum(F.col("losses")[i]) for i in range(len(SHARPNESS))]).alias("losses"),
+        )
+        .collect()  # a row a language
+    )
+    for r in rows:
+        if r.judged >= 20:
+            models.limits[r.truth] = MARGIN * r.own
+    if rows:
+        models.sharpness = SHARPNESS[int(np.sum([r.losses for r in rows], axis=0).argmin())]
     return models
 
 
@@ -300,7 +420,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in slices(batches, "_text", STEP_BYTES):
+        for batch in _steps(batches, "_text", known):
             texts = texts_of(batch, "_text")
             n = len(texts)
             names, score = np.full(n, UNKNOWN, object), np.zeros(n)

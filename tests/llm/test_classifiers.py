@@ -6,9 +6,11 @@ from collections import Counter
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from srcgauge.llm.catalog import op4_log_ratio_toxicity, op5_kneser_ney_language
 from srcgauge.llm.language import GAP, language_id, learn, sequences
+from srcgauge.llm import language as language_module
 from srcgauge.llm import toxicity as toxicity_module
 from srcgauge.llm.toxicity import BUCKET_BITS, features, occurrences, toxicity
 
@@ -167,3 +169,26 @@ def test_steps_as_jobs_give_the_same_model(spark, monkeypatch):
     monkeypatch.setattr(toxicity_module, "SUMMED_AT_ONCE", 1_000)
     spread = toxicity_module.train(docs, marks, held_occurrences=0)
     assert np.allclose(held.weights, spread.weights, atol=1e-6) and np.isclose(held.bias, spread.bias)
+
+
+def test_models_of_what_was_seen_give_the_same(monkeypatch):
+    texts = {"a": "abab abba cab", "b": "zzz y abba", "c": "xyz xyz"}
+    counted = {k: np.unique(sequences([t])[0], return_counts=True) for k, t in texts.items()}
+    probes = ["abab zy", "", "qq abba", "x" * 50, "new words"]
+    full, letters = learn(counted).cross_entropies(probes)
+    monkeypatch.setattr(language_module, "FULL_NUMBERS", 0)
+    monkeypatch.setattr(language_module, "STEP_NUMBERS", 7)
+    seen, same = learn(counted).cross_entropies(probes)
+    assert np.allclose(full, seen, atol=1e-4) and (letters == same).all()
+
+
+def test_every_language_is_learned(spark):
+    """More than 200 languages of one short text, and ten of three long ones each."""
+    draw = random.Random(2)
+    words = lambda n: " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(n))
+    rows = [(f"s{i:03}", words(6)) for i in range(210)]
+    rows += [(f"long{i}", words(6_000)) for i in range(10) for _ in range(3)]
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_module.train(docs, F.lit(True), learn_chars=4_000)
+    assert models.languages == sorted({lang for _, _, lang in rows})
