@@ -74,7 +74,7 @@ def test_edge_rows(spark):
     rows = [(1, None, None, "x", 7), (1, None, None, "x", 7), (None, "odd", "<p>a", "x", 7), (3, "http://c.org", long, "x", 7)]
     df = frame(spark, rows)
     got = sorted((r.page_id or 0, r.url or "", r.n_chars) for r in main_text(df).collect())
-    assert got == [(0, "odd", 0), (1, "", 0), (1, "", 0), (3, "http://c.org", 99_999)]
+    assert got == [(0, "odd", 1), (1, "", 0), (1, "", 0), (3, "http://c.org", 99_999)]
     assert main_text(df.limit(0)).count() == 0
 
 
