@@ -15,6 +15,7 @@ from srcgauge.llm.forest import nearest
 from srcgauge.llm.html import main_text
 from srcgauge.llm.language import language_id
 from srcgauge.llm.licenses import license_scan
+from srcgauge.llm.mixing import taken
 from srcgauge.llm.neardup import near_duplicates
 from srcgauge.llm.oracles import ORACLES  # noqa: F401  (the entry reads it here)
 from srcgauge.llm.packing import pack_documents
@@ -77,6 +78,11 @@ def op10_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = taken(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_projection_forest": op2_projection_forest,
@@ -88,4 +94,5 @@ QUERIES = {
     "op8_prefix_table_pieces": op8_prefix_table_pieces,
     "op9_ball_tree": op9_ball_tree,
     "op10_sentence_rules": op10_sentence_rules,
+    "op12_source_mix": op12_source_mix,
 }
