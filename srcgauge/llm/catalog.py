@@ -14,6 +14,7 @@ from srcgauge.llm.balltree import exact_top_k
 from srcgauge.llm.forest import nearest
 from srcgauge.llm.html import main_text
 from srcgauge.llm.language import language_id
+from srcgauge.llm.lexical import rank_documents
 from srcgauge.llm.licenses import license_scan
 from srcgauge.llm.mixing import taken
 from srcgauge.llm.neardup import near_duplicates
@@ -83,6 +84,10 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_document_fp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_projection_forest": op2_projection_forest,
@@ -95,4 +100,5 @@ QUERIES = {
     "op9_ball_tree": op9_ball_tree,
     "op10_sentence_rules": op10_sentence_rules,
     "op12_source_mix": op12_source_mix,
+    "op13_document_fp_tree": op13_document_fp_tree,
 }

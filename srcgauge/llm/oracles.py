@@ -100,7 +100,43 @@ select query_id, cast(row_number() over (
 from scored qualify rank <= 20
 """
 
+#: Every document is scored for every item that shares a term with it.
+RANKED = r"""
+with d as (
+  select row_number() over () as doc, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), i as (
+  select item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), item_terms as (
+  select item_id, term, count(*) as times from i group by all
+), whole as (
+  select count(*) as n_docs, cast(sum(len(terms)) as bigint) as length from d where len(terms) > 0
+), frequencies as (
+  select doc, term, count(*) as tf from (select doc, unnest(terms) as term from d) group by all
+), weights as (
+  select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+  from frequencies, whole group by term
+), lengths as (
+  select doc, doc_id, 100 - 75 + ((75 * len(terms) * n_docs) // length) as m
+  from d, whole where len(terms) > 0
+), scored as (
+  select item_id, doc_id, doc,
+         cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from item_terms join frequencies using (term) join weights using (term) join lengths using (doc)
+  group by all
+)
+select item_id, cast(row_number() over (
+  partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
+
 ORACLES = {
+    "op13_document_fp_tree": RANKED,
     "op9_ball_tree": TOP_K,
     "op3_host_path_text": MAIN_TEXT,
     "op10_sentence_rules": _license_scan(),
