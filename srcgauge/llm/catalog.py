@@ -22,6 +22,7 @@ from srcgauge.llm.oracles import ORACLES  # noqa: F401  (the entry reads it here
 from srcgauge.llm.packing import pack_documents
 from srcgauge.llm.pieces import encode_decode
 from srcgauge.llm.sharding import shuffle_into_shards
+from srcgauge.llm.spelling import spelling_variants
 from srcgauge.llm.toxicity import toxicity
 from srcgauge.sources.tables import table
 
@@ -79,6 +80,10 @@ def op10_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = taken(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_prefix_table_pieces": op8_prefix_table_pieces,
     "op9_ball_tree": op9_ball_tree,
     "op10_sentence_rules": op10_sentence_rules,
+    "op11_permuterm_variants": op11_permuterm_variants,
     "op12_source_mix": op12_source_mix,
     "op13_document_fp_tree": op13_document_fp_tree,
 }

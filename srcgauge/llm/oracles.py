@@ -135,7 +135,63 @@ select item_id, cast(row_number() over (
 from scored where score > 0 qualify rank <= 10
 """
 
+#: crc32 byte by byte over its table, near words by the places of deleted code points.
+VARIANTS = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as steps
+), runs as (
+  select doc_id, run, count(*) as times
+  from (
+    select coalesce(cast(doc_id as varchar), '') as doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{00C0}-\x{00FF}]+')) as run
+    from documents)
+  where length(run) >= 6 group by all
+), hashed as (
+  select run, times, xor(list_reduce(
+    flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c:
+      case when unicode(c) < 128 then [cast(unicode(c) as bigint)] else [195, unicode(c) - 64] end)),
+    lambda h, b: xor(h >> 8, steps[(xor(h, b) & 255) + 1]), 4294967295), 4294967295) as h
+  from runs, crc
+), words as (
+  select word, cast(sum(times) as bigint) as n
+  from (
+    select times, case when h % 199 = 0
+      then substring(run, 1, cast(h % length(run) as bigint)) || substring(run, cast(h % length(run) as bigint) + 2)
+      else run end as word
+    from hashed)
+  where length(word) >= 6 group by word having sum(times) >= 5
+), shorter as (
+  select word, spot, substring(word, 1, spot - 1) || substring(word, spot + 1) as rest
+  from (select word, unnest(range(1, length(word) + 1)) as spot from words)
+), near as (
+  select a.word, b.word as other from shorter a join shorter b
+    on a.spot = b.spot and a.rest = b.rest and a.word <> b.word
+  union select s.word, w.word from shorter s join words w on s.rest = w.word
+  union select w.word, s.word from shorter s join words w on s.rest = w.word
+), ranked as (
+  select near.word, other, o.n as other_n, count(*) over (partition by near.word) as n_near,
+         row_number() over (partition by near.word order by o.n desc, other) as place
+  from near join words o on o.word = near.other
+), formed as (
+  select words.word, words.n, coalesce(n_near, 0) as n_near,
+         case when other_n >= 5 * words.n then other end as form,
+         case when other_n >= 5 * words.n then other_n end as form_n
+  from words left join ranked on ranked.word = words.word and place = 1
+), chain as (
+  select word, word as last, 0 as step from formed
+  union all
+  select chain.word, formed.form, step + 1 from chain join formed on formed.word = chain.last
+  where formed.form is not null
+), roots as (
+  select word, arg_max(last, step) as root from chain group by word
+)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+"""
+
 ORACLES = {
+    "op11_permuterm_variants": VARIANTS,
     "op13_document_fp_tree": RANKED,
     "op9_ball_tree": TOP_K,
     "op3_host_path_text": MAIN_TEXT,
