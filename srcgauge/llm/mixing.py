@@ -40,7 +40,7 @@ SHARD_SLOTS = 1024
 GROUP_SOURCES = 1024
 PARTS = 4096
 #: Rows of a bucket, whose order one task fixes, and bits of the buckets that are added up together.
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 512
 COARSE_BITS = 12
 ROUNDS = 4
 
@@ -222,7 +222,7 @@ def mix(
                 (F.col("_to") - F.col("_from")).alias("_length"))
     )
     spans = (
-        pieces.join(slots, ["sid", "block"])
+        pieces.join(slots.hint("merge"), ["sid", "block"])  # grows with the mix: never broadcast
         .withColumn("words", F.least("_length", F.col("_words") - F.col("offset")))
         .filter("words > 0")
         .select("shard", "slot", "pass", "block", "offset", "sid", "start", "doc_id", "first", "words")
@@ -284,7 +284,8 @@ def _slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataF
 
     work = grouped.select("gid", "of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     schema = "shard int, slot long, sid long, pass int, block long, _words long"
-    return work.repartition("gid", "part").mapInPandas(fill, schema)
+    tasks = min(parts, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return work.repartition(tasks, "gid", "part").mapInPandas(fill, schema)
 
 
 def taken(df: DataFrame, **options) -> DataFrame:
