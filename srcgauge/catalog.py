@@ -522,13 +522,6 @@ def _(spark, sf):
     return analysis.refactor_all(code(spark, sf), "service").select("file_id", "ord", *SUGGESTION)
 
 
-def _told(df: DataFrame, text: str, *parts: Column) -> DataFrame:
-    """Rows (file_id, kind, ord, text) of arrays of such structs, in one pass."""
-    return df.select("file_id", F.explode(F.concat(*parts)).alias("t")).select(
-        "file_id", "t.kind", "t.ord", F.col("t.text").alias(text)
-    )
-
-
 def _part(items: str, kind: str, text) -> Column:
     return F.transform(
         items,
@@ -538,14 +531,21 @@ def _part(items: str, kind: str, text) -> Column:
     )
 
 
+def _told(found: DataFrame, kind: str, field: str, *others: Column) -> DataFrame:
+    """Rows (file_id, kind, ord, text) of a field of the findings and of such arrays."""
+    def told(issue: E.Expr, place: E.Expr) -> E.Expr:
+        return E.struct(E.lit(kind).alias("kind"), place.alias("ord"), issue[field].alias("text"))
+
+    rows = analysis.spread(found.withColumn("others", F.concat(*others)), told, E.col("others"))
+    return rows.select("file_id", "x.*")
+
+
 @query("issue_message")
 def _(spark, sf):
     return _told(
-        analysis.with_findings(code(spark, sf)),
-        "text",
-        _part("linterIssues", "issue", lambda x: x["message"]),
+        analysis.with_findings(code(spark, sf)), "issue", "message",
         _part("refactorSuggestions", "advice", lambda x: x["description"]),
-    )
+    )
 
 
 @query("thresholds_resolve")
@@ -577,27 +577,30 @@ def _(spark, sf):
 
 @query("display_attrs")
 def _(spark, sf):
+    found = analysis.with_findings(code(spark, sf))
     badge = display.file_badge(F.col("filename"), F.col("language"))
     colors = F.concat_ws(
         "/",
-        display.issue_count_color(F.size("linterIssues")),
+        display.issue_count_color(analysis.issue_count().column),
         display.suggestion_count_color(F.size("refactorSuggestions")),
     )
     counts = F.struct(F.lit("counts").alias("kind"), F.lit(0).alias("ord"), colors.alias("text"))
-    return _told(
-        analysis.with_findings(code(spark, sf)),
-        "shown",
-        _part("linterIssues", "icon", lambda x: display.severity_icon(x["severity"])),
+    told = _told(
+        found, "icon", "severity",
         _part("refactorSuggestions", "color", lambda x: display.priority_color(x["priority"])),
         _part(
-            "fns",
-            "label",
+            "fns", "label",
             lambda f: F.concat_ws(
                 "/", badge, display.function_label(f["startLine"], f["loc"], f["paramCount"])
             ),
         ),
         F.array(counts),
-    )
+    )
+    icon = display.severity_icon(F.col("text"))
+    return told.select(
+        "file_id", "kind", "ord",
+        F.when(F.col("kind") == "icon", icon).otherwise(F.col("text")).alias("shown"),
+    )
 
 
 # -- whole results ------------------------------------------------------------

@@ -62,3 +62,38 @@ def group_runs(items: Expr, same: Callable[[Expr, Expr], Expr]) -> Expr:
             F.transform(F.slice(xs, 1, 0), lambda x: F.array(x))
         ),
     )
+
+
+def running_sums(numbers: Expr, block: int = 128) -> Expr:
+    """The sum before each number, linear in the array's length.
+
+    A fold that grows an array copies it at each step, so sums are taken over blocks, then
+    over the blocks before a block and the numbers before a number in its block.
+    """
+    add = lambda a, x: a + x
+    zero = F.lit(0).cast("bigint")
+
+    def within(blocks: Expr, totals: Expr) -> Expr:
+        return F.flatten(
+            F.transform(
+                blocks,
+                lambda b, k: let(
+                    F.aggregate(F.slice(totals, 1, k), zero, add),
+                    lambda before: F.transform(
+                        b, lambda x, i: F.aggregate(F.slice(b, 1, i), before, add)
+                    ),
+                ),
+            )
+        )
+
+    def cut(xs: Expr) -> Expr:
+        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))
+        blocks = F.transform(starts, lambda k: F.slice(xs, k * block + 1, F.lit(block)))
+        return let(
+            blocks,
+            lambda bs: let(
+                F.transform(bs, lambda b: F.aggregate(b, zero, add)), lambda totals: within(bs, totals)
+            ),
+        )
+
+    return let(numbers, lambda xs: F.when(F.size(xs) > 0, cut(xs)).otherwise(xs))

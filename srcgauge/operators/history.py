@@ -31,8 +31,9 @@ def iso_utc(ts: Column) -> Column:
 
 
 def history_records(analysis: DataFrame, timestamp: Column) -> DataFrame:
-    """Flat records of analysed files. The id is a hash, so reruns agree."""
-    return analysis.select(
+    """Flat records of analysed files. The id is a hash, so reruns agree. A file whose
+    findings fill several documents has one record."""
+    return analysis.filter("part = 0").select(
         F.sha2(
             F.concat_ws("|", F.col("file_id").cast("string"), "filename", iso_utc(timestamp)), 256
         ).alias("id"),
@@ -42,7 +43,7 @@ def history_records(analysis: DataFrame, timestamp: Column) -> DataFrame:
         F.col("summary.cyclomaticComplexity").alias("complexity"),
         F.col("summary.maintainabilityIndex").alias("maintainability"),
         F.col("summary.functionCount").alias("functionCount"),
-        F.size("linterIssues").alias("issueCount"),
+        "issueCount",
         timestamp.alias("timestamp"),
     )
 

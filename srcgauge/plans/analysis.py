@@ -6,46 +6,25 @@ projection over the scan, for files of any size.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import findings, fntable
+from ..functions import findings, fntable, similar
 from ..functions import sqltext as E
-from ..functions.arrays import empty
+from ..functions.arrays import empty, let
 from ..functions.dialect import CORE, Dialect, dialect
-from ..functions.similar import PAIR_DDL, duplicate_pairs
 from ..functions.sqltext import Expr
 from ..operators import duplicates
 from ..operators.files import CODE, LANG, summary_struct, supported
 from ..operators.functions import explode_rows, posexplode_rows, with_functions
 
 FNS = E.col("fns")
+FOUND = E.col("found")
 KEYS = ("file_id", "filename", "language")
-
-
-def _with_pairs(
-    files: DataFrame, d: Dialect, want: tuple[str, ...], anchor: str
-) -> DataFrame:
-    """Supported files with code, ``fns`` and the duplicate ``pairs``."""
-    columns = [*KEYS, "code", "fns"]
-    if not d.is_core:  # the service has no duplicate rule
-        found = with_functions(files, d, want, anchor)
-        return found.select(*columns, empty(PAIR_DDL).alias("pairs").column)
-    found = with_functions(files, d, (*want, "words"), anchor)
-    return found.select(*columns, duplicate_pairs(FNS).alias("pairs").column)
-
-
-def _issues(limits: Mapping[str, Expr], d: Dialect) -> Expr:
-    per_function = findings.function_issues(FNS, limits, d)
-    if not d.is_core:
-        return per_function
-    return E.concat(
-        per_function,
-        findings.switch_issues(E.col("cases")),
-        E.transform(E.col("pairs"), findings.duplicate_issue),
-    )
+#: Duplicate pairs of one analysis document, about; a file with more has several.
+DOCUMENT_PAIRS = 65_536
 
 
 def with_issues(
@@ -55,13 +34,21 @@ def with_issues(
     want: tuple[str, ...] = ("cc", "nesting", "returns"),
     anchor: str = "reference",
 ) -> DataFrame:
-    """Files with ``fns`` and the ordered array ``linterIssues``."""
+    """Files with ``fns``, the ordered array ``issues`` of all findings but duplicates, which
+    come last, and what is ``found`` of these. ``issue_rows`` makes the findings of it."""
     d = dialect(profile)
     limits = findings.resolve_limits(thresholds)
-    return (
-        _with_pairs(files, d, want, anchor)
-        .withColumn("cases", findings.case_count(CODE, LANG, d).column)
-        .select(*KEYS, "code", "fns", _issues(limits, d).alias("linterIssues").column)
+    issues = findings.function_issues(FNS, limits, d)
+    if not d.is_core:  # the service has neither a switch nor a duplicate rule
+        nothing = E.lit(None).cast(similar.FOUND_DDL).alias("found")
+        found = with_functions(files, d, want, anchor)
+        return found.select(*KEYS, "code", "fns", issues.alias("issues").column, nothing.column)
+    found = with_functions(files, d, (*want, "words"), anchor).select(
+        *KEYS, "code", "fns", findings.case_count(CODE, LANG, d).alias("cases").column
+    )
+    issues = E.concat(issues, findings.switch_issues(E.col("cases")))
+    return duplicates.with_duplicates(
+        found.select(*KEYS, "code", "fns", issues.alias("issues").column)
     )
 
 
@@ -70,19 +57,63 @@ def with_findings(
     profile: str | Dialect = CORE,
     thresholds: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """Files with ``fns``, ``linterIssues`` and ``refactorSuggestions`` from one search for
-    functions; ``issue_rows`` and ``suggestion_rows`` take it."""
+    """``with_issues`` and ``refactorSuggestions``, from one search for functions;
+    ``issue_rows`` and ``suggestion_rows`` take it."""
     d = dialect(profile)
     return with_issues(files, d, thresholds).withColumn(
         "refactorSuggestions", findings.suggestions(FNS, LANG, d).column
     )
 
 
+def issue_count() -> Expr:
+    """The number of findings of a file, duplicates counted without their pairs."""
+    return (E.size(E.col("issues")) + similar.pair_count(FOUND)).cast("int")
+
+
+def spread(found: DataFrame, item: Callable[[Expr, Expr], Expr], more: Expr | None = None) -> DataFrame:
+    """Rows (file_id, x): ``item(issue, issue_ord)`` of every finding, and the items of ``more``.
+
+    A file's first rows come from the findings in its row. Its duplicate pairs are made
+    afterwards, in blocks whose size is bounded by the file's functions; the place of a
+    pair is known from the counts, so blocks need no order among them.
+    """
+    issues = E.col("issues")
+    items = E.transform(issues, lambda x, i: item(x, i))
+    if more is not None:
+        items = E.concat(items, more)
+    blocks = E.transform(
+        similar.head_blocks(FOUND, duplicates.BLOCK_PAIRS),
+        lambda b: E.struct(
+            (b["start"] + E.size(issues)).cast("int").alias("start"), b["heads"].alias("heads")
+        ),
+    )
+    first = E.struct(
+        E.lit(0).alias("start"), empty(similar.HEAD_DDL).alias("heads"), items.alias("items")
+    )
+    later = let(
+        E.slice(items, 1, 0),
+        lambda none: E.transform(
+            E.coalesce(blocks, E.slice(blocks, 1, 0)),
+            lambda b: E.struct(b["start"].alias("start"), b["heads"].alias("heads"), none.alias("items")),
+        ),
+    )
+    parts = explode_rows(
+        found, E.concat(E.array(first), E.coalesce(later, E.slice(E.array(first), 1, 0))), "part",
+        "file_id", F.col("found.cells").alias("cells"),
+    )
+    part = E.col("part")
+    pairs = E.transform(
+        similar.block_pairs(E.col("cells"), part["heads"]),
+        lambda p, i: item(findings.duplicate_issue(p), part["start"] + i),
+    )
+    made = E.when(E.size(part["heads"]) > 0, pairs).otherwise(part["items"])
+    return explode_rows(parts, made, "x", "file_id")
+
+
 def issue_rows(found: DataFrame) -> DataFrame:
     """One row per finding of analysed files, with its place ``issue_ord`` in the file."""
-    return posexplode_rows(
-        found, E.col("linterIssues"), "issue_ord", "x", "file_id"
-    ).select("file_id", "issue_ord", "x.*")
+    placed = spread(found, lambda x, i: E.struct(i.alias("issue_ord"), x.alias("issue")))
+    return placed.select("file_id", "x.issue_ord", "x.issue.*")
 
 
 def suggestion_rows(found: DataFrame) -> DataFrame:
@@ -176,21 +207,45 @@ def analyze(
     thresholds: Mapping[str, object] | None = None,
     anchor: str = "reference",
 ) -> DataFrame:
-    """The nested analysis document of every supported file."""
+    """The nested analysis document of every supported file.
+
+    ``issueCount`` counts all its findings. A file with more than some ``DOCUMENT_PAIRS``
+    duplicate pairs, which no row could hold, has further documents (``part`` 1, 2, ...),
+    which carry on its ``linterIssues`` and whose other arrays are empty.
+    """
     d = dialect(profile)
     want = ("cc", "halstead", "nesting", "returns")
-    return with_issues(files, d, thresholds, want, anchor).select(
+    found = with_issues(files, d, thresholds, want, anchor)
+    if d.is_core:
+        blocks = similar.head_blocks(FOUND, DOCUMENT_PAIRS)
+        found = found.withColumn("blocks", blocks.column).withColumn(
+            "part", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("blocks") - 1, F.lit(0))))
+        )
+        pairs = E.transform(
+            similar.block_pairs(
+                E.col("found.cells"),
+                E.coalesce(E.get(E.col("blocks"), E.col("part"))["heads"], empty(similar.HEAD_DDL)),
+            ),
+            findings.duplicate_issue,
+        )
+    else:
+        found, pairs = found.withColumn("part", F.lit(0)), empty(findings.ISSUE_DDL)
+    whole = E.col("part") == 0
+    only_once = lambda items: E.when(whole, items).otherwise(E.slice(items, 1, 0))
+    return found.select(
         *KEYS,
         summary_struct(CODE, LANG, E.size(FNS), d).alias("summary").column,
-        E.transform(FNS, fntable.public_function).alias("functions").column,
-        "linterIssues",
-        findings.suggestions(FNS, LANG, d).alias("refactorSuggestions").column,
-        E.transform(FNS, fntable.heat_region).alias("heatmap").column,
+        only_once(E.transform(FNS, fntable.public_function)).alias("functions").column,
+        E.concat(only_once(E.col("issues")), pairs).alias("linterIssues").column,
+        only_once(findings.suggestions(FNS, LANG, d)).alias("refactorSuggestions").column,
+        only_once(E.transform(FNS, fntable.heat_region)).alias("heatmap").column,
+        issue_count().alias("issueCount").column,
+        "part",
     )
 
 
 def result_json(analysis: DataFrame) -> DataFrame:
-    """One JSON text per file."""
+    """One JSON text per document."""
     fields = [
         "language", "filename", "summary", "functions", "linterIssues", "refactorSuggestions",
         "heatmap",
@@ -204,6 +259,6 @@ def file_counts(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
     return with_issues(files, d).select(
         "file_id",
         F.size("fns").alias("functionCount"),
-        F.size("linterIssues").alias("issueCount"),
+        issue_count().alias("issueCount").column,
         E.size(findings.suggestions(FNS, LANG, d)).alias("suggestionCount").column,
     )
