@@ -101,20 +101,20 @@ def change_only(
 
     ``bucket`` must rise with the order. Each (key, bucket) is compared on its
     own and only its last value is handed to the next bucket, so a hot key is
-    split over its buckets.
+    split over its buckets. Rows without a key are compared with one another.
     """
-    staged = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
+    staged = df.withColumn("_bucket", bucket).withColumn("_key", F.struct(key))
+    inside = Window.partitionBy("_key", "_bucket").orderBy(*order)
     compared = staged.withColumn("_prev", F.lag(F.struct(value)).over(inside))
-    ends = staged.groupBy(key, "_bucket").agg(
+    ends = staged.groupBy("_key", "_bucket").agg(
         F.max_by(F.struct(value), F.struct(*order)).alias("_end")
     )
     carried = ends.withColumn(
-        "_carried", F.lag("_end").over(Window.partitionBy(key).orderBy("_bucket"))
+        "_carried", F.lag("_end").over(Window.partitionBy("_key").orderBy("_bucket"))
     ).drop("_end")
     previous = F.coalesce("_prev", "_carried")
     return (
-        compared.join(carried, [key, "_bucket"])
+        compared.join(carried, ["_key", "_bucket"])  # a struct of a null equals another
         .filter(previous.isNull() | ~previous[value].eqNullSafe(F.col(value)))
         .select(*df.columns)
     )

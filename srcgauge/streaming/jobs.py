@@ -2,7 +2,8 @@
 
 Every sink writes one folder per micro-batch and replaces the whole folder on a
 retry, so a lost executor or a restarted query leaves no duplicate rows, whatever
-partitions the first try wrote.
+partitions the first try wrote. What a batch needs of the batches before it is in
+Spark's state store (change-only) or in a bucketed table (latest values).
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from ..operators.history import change_only, history_records, latest
+from ..operators.history import change_only, history_records
 from ..plans.analysis import analyze
-
-SNAPSHOT_EVERY = 50  # batches between two full copies of the change-only state
+from .state import BEFORE, KNOWN, OPENING, keyed_state, openings
+from .store import LatestStore
 
 
 def stream_table(spark: SparkSession, path: str, schema: str, max_files: int = 1_000) -> DataFrame:
@@ -100,28 +101,32 @@ def stream_latest(
     path: str,
     checkpoint: str,
     trigger: Mapping[str, object] = ALL_AVAILABLE,
+    buckets: int = 64,
 ) -> StreamingQuery:
-    """Running latest values per key; each batch writes the keys it changed."""
+    """Running latest values per key in a ``LatestStore``: about one row a key on disk.
+
+    A batch is reduced to its own keys first, which combines map-side, so a hot key costs
+    one row; then only the buckets of its keys are touched. ``buckets`` holds for a new
+    table; one that is there keeps its number.
+    """
     _make_folder(df.sparkSession, path)
-    fields = [*order, *values]
-    running = (
-        df.groupBy(key)
-        .agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("last"))
-        .select(key, "last.*")
-    )
-    return _start(
-        running, lambda batch, n: _write_batch(batch, n, path), checkpoint, trigger, mode="update"
-    )
+
+    def each(batch: DataFrame, number: int) -> None:
+        LatestStore(batch.sparkSession, path, key, values, order).merge(batch, number, buckets)
+
+    return _start(df, each, checkpoint, trigger)
 
 
 def read_latest(
     spark: SparkSession, path: str, key: str, values: Sequence[str], order: Sequence[str],
     schema: str | StructType | None = None,
 ) -> DataFrame:
-    """The last row of each key. With the stored columns' ``schema`` a stream without a
-    batch reads as empty."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return latest(reader.parquet(path), key, values, order)
+    """The last row of each key after the newest whole batch. With the stored columns'
+    ``schema`` a stream without a batch reads as empty."""
+    found = LatestStore(spark, path, key, values, order).read(schema)
+    if found is None:
+        raise ValueError(f"no batch has been written to {path}; give a schema to read it as empty")
+    return found
 
 
 def stream_change_only(
@@ -139,60 +144,43 @@ def stream_change_only(
     Rows arrive batch by batch, and inside a batch in ``order``. A row that arrives
     late is compared with the last row that arrived before it, as a reader of the
     running values sees them. Inside a batch the batch operator does the work, so a
-    hot key is split over its buckets. Between batches only each key's last row is
-    kept: one small folder per batch, and a full copy every ``SNAPSHOT_EVERY`` batches.
+    hot key is split over its buckets. Between batches each key's last value is kept in
+    the state store; a batch costs what its own keys cost, however many there are. The
+    state operator sees the ends of each key in each Arrow batch, not all its rows.
     """
-    out, deltas, snapshots = f"{path}/rows", f"{path}/state", f"{path}/snapshot"
-    columns = df.columns
-    stored = StructType([*df.schema.fields, StructField("batch", LongType())])
-    others = [c for c in columns if c not in (key, *order)]
+    out, columns = f"{path}/rows", df.columns
     _make_folder(df.sparkSession, out)
-
-    def state(spark: SparkSession, upto: int, since: int) -> DataFrame | None:
-        """The last row of each key that arrived before batch ``upto``."""
-        parts = []
-        if since > 0:
-            full = spark.read.schema(df.schema).parquet(f"{snapshots}/batch={since}")
-            parts.append(full.select(*columns, F.lit(-1).cast("bigint").alias("batch")))
-        if upto > since:
-            recent = spark.read.schema(stored).parquet(deltas)
-            recent = recent.filter(F.col("batch").between(since, upto - 1))
-            parts.append(recent.select(*columns, "batch"))
-        if not parts:
-            return None
-        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return latest(both, key, [*order, *others], ["batch"]).select(*columns)
+    opened = openings(df, key, value, order)
+    both = df.withColumn(OPENING, F.lit(False)).unionByName(
+        opened.withColumn(OPENING, F.lit(True)), allowMissingColumns=True
+    )
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        since = number - number % SNAPSHOT_EVERY
-        if number == since and number > 0:
-            full = state(spark, number, number - SNAPSHOT_EVERY)
-            full.write.mode("overwrite").parquet(f"{snapshots}/batch={number}")
-        known = state(spark, number, since)
-        batch = batch.select(*columns).persist()
+        batch = batch.persist()  # the state is read once
         try:
-            changed = change_only(batch, key, value, order, bucket)
-            if known is not None:
-                # The first row of a key in the batch follows the last one before it.
-                first = batch.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-                before = known.select(key, F.struct(F.col(value).alias("v")).alias("_before"))
-                opening = first.join(before, key)
-                same = (F.struct(*order) == F.col("_first")) & F.col("_before.v").eqNullSafe(
-                    F.col(value)
-                )
-                changed = (
-                    changed.join(opening, key, "left")
-                    .filter(F.col("_before").isNull() | ~same)
-                    .select(*columns)
-                )
+            rows = batch.filter(~F.col(OPENING)).select(*columns)
+            first = batch.filter(F.col(OPENING) & F.col(KNOWN)).select(
+                F.struct(key).alias("_key"),
+                F.struct(*order).alias("_first"),
+                F.struct(F.col(BEFORE).alias("v")).alias("_before"),
+            )
+            # The first row of a key in the batch follows the last one before it.
+            same = F.struct(*order).eqNullSafe(F.col("_first")) & F.col("_before.v").eqNullSafe(
+                F.col(value)
+            )
+            changed = change_only(rows, key, value, order, bucket)
+            changed = (
+                changed.withColumn("_key", F.struct(key))
+                .join(first, "_key", "left")
+                .filter(F.col("_before").isNull() | ~same)
+                .select(*columns)
+            )
             _write_batch(changed, number, out)
-            last = latest(batch, key, [*order, *others], order).select(*columns)
-            _write_batch(last, number, deltas)
         finally:
             batch.unpersist()
 
-    return _start(df, each, checkpoint, trigger)
+    with keyed_state(df.sparkSession):
+        return _start(both, each, checkpoint, trigger, mode="update")
 
 
 def read_changes(

@@ -2,6 +2,8 @@
 
 import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from srcgauge.operators import history
 from srcgauge.sources import code_files
 from srcgauge.sources.tables import table
 from srcgauge.streaming import jobs
+from srcgauge.streaming.store import LatestStore
 
 COLUMNS = ["user_id", "ts", "event_id", "event_type"]
 ORDER = ["ts", "event_id"]
@@ -35,9 +38,8 @@ def stream(spark, folder):
     return jobs.stream_table(spark, folder, ddl, max_files=1)
 
 
-def test_change_only_over_batches(spark, slices, tmp_path, monkeypatch):
+def test_change_only_over_batches(spark, slices, tmp_path):
     events, folder = slices
-    monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 2)
     day = F.to_date("ts")
     jobs.stream_change_only(
         stream(spark, folder).select(*COLUMNS), "user_id", "event_type", ORDER, day,
@@ -47,12 +49,10 @@ def test_change_only_over_batches(spark, slices, tmp_path, monkeypatch):
     want = history.change_only(events.select(*COLUMNS), "user_id", "event_type", ORDER, day)
     assert want.count() > 100
     assert sorted(got.collect()) == sorted(want.collect())
-    assert len(list((tmp_path / "out" / "snapshot").iterdir())) == 2
 
 
-def test_change_only_in_order_of_arrival(spark, sf_dir, tmp_path, monkeypatch):
+def test_change_only_in_order_of_arrival(spark, sf_dir, tmp_path):
     """Shuffled arrival: a late row follows what arrived before it, not what happened."""
-    monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 2)
     rows = table(spark, sf_dir, "events").select(*COLUMNS, "value").toPandas()
     rows = rows.sample(frac=1, random_state=5).reset_index(drop=True)
     folder, last, want, step = tmp_path / "arriving", {}, set(), len(rows) // 5 + 1
@@ -183,3 +183,172 @@ def test_texts_move_only_when_the_session_asks(spark, sf_dir):
         assert "RoundRobinPartitioning(3)" in plan()
     finally:
         spark.conf.unset("spark.srcgauge.splits")
+
+
+# -- latest values in a bucketed store ----------------------------------------
+VALUES = "k bigint, t bigint, v string"
+
+
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, VALUES)
+
+
+def store_at(spark, tmp_path):
+    return LatestStore(spark, str(tmp_path / "store"), "k", ["v"], ["t"])
+
+
+def files_below(path) -> int:
+    return sum(pq.read_metadata(p).num_rows for p in path.rglob("*.parquet"))
+
+
+def test_store_size_follows_the_keys(spark, tmp_path):
+    """Ten batches over the same keys leave about one row a key, and whole versions."""
+    store, want = store_at(spark, tmp_path), {}
+    for n in range(10):
+        rows = [(k, n * 10 - (k % 3) * 15, f"{n}-{k}") for k in range(0, 100, 1 + n % 3)]
+        rows += [(None, n, f"null {n}")]
+        store.merge(batch_of(spark, rows), n, 4)
+        for k, t, v in rows:
+            if k not in want or want[k][0] < t:
+                want[k] = (t, v)
+        got = {r.k: r.v for r in store.read().collect()}
+        assert got == {k: v for k, (_, v) in want.items()}
+    assert files_below(tmp_path / "store") <= 2 * 2 * len(want)
+    assert len(list((tmp_path / "store" / "manifest").glob("*.json"))) == 2
+
+
+def test_store_touches_only_the_buckets_of_a_batch(spark, tmp_path):
+    store = store_at(spark, tmp_path)
+    store.merge(batch_of(spark, [(k, 0, "a") for k in range(200)]), 0, 16)
+    store.merge(batch_of(spark, [(7, 1, "b")]), 1, 99)
+    layers = store._read(1)["layers"]
+    assert len(layers) == 16 and sum(len(ls) for ls in layers.values()) == 17
+    assert len(list((tmp_path / "store" / "data" / "batch=1").glob("bucket=*"))) == 1
+
+
+def test_store_survives_a_batch_that_fails_and_is_tried_again(spark, tmp_path, monkeypatch):
+    """Neither a half-written batch nor a published one that is repeated shows twice."""
+    store = store_at(spark, tmp_path)
+    store.merge(batch_of(spark, [(k, 0, "a") for k in range(50)]), 0, 4)
+    second = batch_of(spark, [(k, 1, "b") for k in range(40)])
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(LatestStore, "_publish", broken)
+        with pytest.raises(OSError):
+            store.merge(second, 1, 4)
+    assert {r.v for r in store.read().collect()} == {"a"}
+    for _ in range(3):
+        store.merge(second, 1, 4)
+        assert sorted(r.v for r in store.read().collect()) == ["a"] * 10 + ["b"] * 40
+    early = store.read()
+    store.merge(batch_of(spark, [(k, 2, "c") for k in range(50)]), 2, 4)
+    assert sorted(r.v for r in early.collect()) == ["a"] * 10 + ["b"] * 40  # its files stay
+    assert {r.v for r in store.read().collect()} == {"c"}
+
+
+def test_an_empty_store(spark, tmp_path):
+    store = store_at(spark, tmp_path)
+    assert store.read() is None and store.read(VALUES).count() == 0
+    store.merge(batch_of(spark, []), 0, 4)
+    assert store.read(VALUES).count() == 0
+    store.merge(batch_of(spark, [(1, 1, None)]), 1, 4)
+    assert [tuple(r) for r in store.read(VALUES).collect()] == [(1, None)]
+
+
+# -- restarts -----------------------------------------------------------------
+def arrivals(folder, number: int, rows: list[tuple]) -> None:
+    folder.mkdir(exist_ok=True)
+    pq.write_table(
+        pa.table({"k": [r[0] for r in rows], "t": [r[1] for r in rows], "v": [r[2] for r in rows]},
+                 schema=pa.schema([("k", pa.int64()), ("t", pa.int64()), ("v", pa.string())])),
+        folder / f"{number:03}.parquet",
+    )
+    time.sleep(0.02)
+
+
+def changed(batches: list[list[tuple]]) -> list[tuple]:
+    last, out = {}, []
+    for rows in batches:
+        for k, t, v in sorted(rows, key=lambda r: r[1]):
+            if k not in last or last[k] != v:
+                out.append((k, t, v))
+            last[k] = v
+    return sorted(out, key=str)
+
+
+def run_changes(spark, tmp_path):
+    arriving = jobs.stream_table(spark, str(tmp_path / "in"), VALUES, max_files=1)
+    jobs.stream_change_only(
+        arriving, "k", "v", ["t"], F.floor(F.col("t") / 10), str(tmp_path / "out"), str(tmp_path / "cp")
+    ).awaitTermination()
+    got = jobs.read_changes(spark, str(tmp_path / "out"), ["k", "t", "v"], VALUES + ", batch int")
+    return sorted(map(tuple, got.collect()), key=str)
+
+
+def test_change_only_goes_on_after_failures(spark, tmp_path, monkeypatch):
+    """A run that fails before and after its rows are written, late rows, nulls and a hot key."""
+    batches = [
+        [(1, 5, "a"), (2, 5, "a"), (None, 5, "n"), (3, 1, None)] + [(9, t, str(t // 50)) for t in range(300)],
+        [(1, 1, "a"), (1, 9, "b"), (2, 2, "c"), (None, 6, "n"), (3, 2, None), (3, 3, "x")],
+        [(1, 20, "b"), (2, 21, None), (None, 22, None)] + [(9, t, "5") for t in range(100, 200)],
+        [(1, 3, "b"), (2, 1, None), (3, 9, "x"), (4, 0, "new"), (9, 0, "5")],
+    ]
+    write, fails = jobs._write_batch, {(1, "before"), (2, "after")}
+
+    def failing(df, batch, path, by=()):
+        if (batch, "before") in fails:
+            fails.discard((batch, "before"))
+            raise OSError("lost before")
+        write(df, batch, path, by)
+        if (batch, "after") in fails:
+            fails.discard((batch, "after"))
+            raise OSError("lost after")
+
+    monkeypatch.setattr(jobs, "_write_batch", failing)
+    for number, rows in enumerate(batches[:3]):
+        arrivals(tmp_path / "in", number, rows)
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            run_changes(spark, tmp_path)
+    assert run_changes(spark, tmp_path) == changed(batches[:3])
+    arrivals(tmp_path / "in", 3, batches[3])
+    assert run_changes(spark, tmp_path) == changed(batches)
+
+
+def test_latest_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    batches = [[(k, n * (1 - 2 * (k % 2)), f"{n}") for k in range(30)] for n in range(4)]
+    for number, rows in enumerate(batches):
+        arrivals(tmp_path / "in", number, rows)
+    publish, fails = LatestStore._publish, {2}
+
+    def failing(self, batch, manifest):
+        if batch in fails:
+            fails.discard(batch)
+            raise OSError("lost")
+        publish(self, batch, manifest)
+
+    monkeypatch.setattr(LatestStore, "_publish", failing)
+
+    def run():
+        arriving = jobs.stream_table(spark, str(tmp_path / "in"), VALUES, max_files=1)
+        jobs.stream_latest(
+            arriving, "k", ["v"], ["t"], str(tmp_path / "out"), str(tmp_path / "cp"), buckets=4
+        ).awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert {r.v for r in jobs.read_latest(spark, str(tmp_path / "out"), "k", ["v"], ["t"]).collect()} == {"0", "1"}
+    run()
+    got = {r.k: r.v for r in jobs.read_latest(spark, str(tmp_path / "out"), "k", ["v"], ["t"]).collect()}
+    assert got == {k: "0" if k % 2 else "3" for k in range(30)}
+
+
+def test_the_session_keeps_its_state_store_settings(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    arrivals(tmp_path / "in", 0, [(1, 1, "a")])
+    assert run_changes(spark, tmp_path) == [(1, 1, "a")]
+    assert spark.conf.get(name, None) == before
