@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.history import change_only, history_records
 from ..plans.analysis import analyze
-from .state import BEFORE, KNOWN, OPENING, keyed_state, openings
+from .state import BEFORE, KEY, ORDER, exact, keyed_state, openings, plain
 from .store import LatestStore
 
 
@@ -150,32 +150,21 @@ def stream_change_only(
     """
     out, columns = f"{path}/rows", df.columns
     _make_folder(df.sparkSession, out)
-    opened = openings(df, key, value, order)
-    both = df.withColumn(OPENING, F.lit(False)).unionByName(
-        opened.withColumn(OPENING, F.lit(True)), allowMissingColumns=True
-    )
+    both = df.unionByName(openings(df, key, value, order), allowMissingColumns=True)
 
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()  # the state is read once
         try:
-            rows = batch.filter(~F.col(OPENING)).select(*columns)
-            first = batch.filter(F.col(OPENING) & F.col(KNOWN)).select(
-                F.struct(key).alias("_key"),
-                F.struct(*order).alias("_first"),
-                F.struct(F.col(BEFORE).alias("v")).alias("_before"),
-            )
-            # The first row of a key in the batch follows the last one before it.
-            same = F.struct(*order).eqNullSafe(F.col("_first")) & F.col("_before.v").eqNullSafe(
-                F.col(value)
-            )
+            opened = batch.filter(F.col(KEY).isNotNull())
+            first = opened.filter(F.col(BEFORE).isNotNull()).select(KEY, ORDER, BEFORE)
+            rows = batch.filter(F.col(KEY).isNull()).select(*columns)
             changed = change_only(rows, key, value, order, bucket)
-            changed = (
-                changed.withColumn("_key", F.struct(key))
-                .join(first, "_key", "left")
-                .filter(F.col("_before").isNull() | ~same)
-                .select(*columns)
-            )
-            _write_batch(changed, number, out)
+            texts = plain(changed.select(F.struct(*columns).alias("_row"), *columns), columns)
+            # The first row of a key in the batch follows the last one before it.
+            same = (exact(*order) == F.col(ORDER)) & (exact(value) == F.col(BEFORE))
+            kept = texts.withColumn(KEY, exact(key)).join(first, KEY, "left")
+            kept = kept.filter(F.col(BEFORE).isNull() | ~same).select("_row.*")
+            _write_batch(kept, number, out)
         finally:
             batch.unpersist()
 

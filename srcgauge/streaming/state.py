@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, FloatType, TimestampNTZType, TimestampType
 
-#: Columns beside the key's first row of a batch: whether the key was seen in a batch before,
-#: and the last value it had then. ``OPENING`` marks such rows.
-KNOWN, BEFORE, OPENING = "_known", "_before", "_opening"
+#: Columns of what the state tells of a key and a batch.
+KEY, ORDER, VALUE, BEFORE = "_key", "_order", "_value", "_before"
 
 #: Keyed state that is written as changes, so that a batch costs what its keys cost.
 _STORE = {
@@ -40,34 +43,44 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(name, old)
 
 
-class LastValue(StatefulProcessor):
-    """Emits a key's first row of a batch with its last value before, and keeps the new one."""
+def exact(*columns: str) -> Column:
+    """Values as one text that is equal for equal values, nulls among them."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
-    def __init__(self, state: StructType, value: str, order: Sequence[str]):
-        self.state, self.value, self.order = state, value, list(order)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.state)
+def plain(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns whose text in ``exact`` keeps them whole: times to the microsecond, one zero."""
+    for name in names:
+        kind = df.schema[name].dataType
+        if isinstance(kind, TimestampType):
+            df = df.withColumn(name, F.unix_micros(name))
+        elif isinstance(kind, TimestampNTZType):
+            df = df.withColumn(name, F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        elif isinstance(kind, (DoubleType, FloatType)):
+            df = df.withColumn(name, F.when(F.col(name) == 0, F.lit(0.0)).otherwise(F.col(name)))
+    return df
 
-    def _place(self, row: Row) -> tuple:
-        return tuple((row[o] is not None, row[o]) for o in self.order)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        first = last = None
-        for row in rows:
-            if first is None or self._place(row) < self._place(first):
-                first = row
-            if last is None or self._place(row) >= self._place(last):
-                last = row
-        known = self.last.exists()
-        before = self.last.get()[0] if known else None
-        if not known or before != last[self.value]:
-            self.last.update((last[self.value],))
-        fields = dict(zip(self.order, (first[o] for o in self.order)))
-        yield Row(_key=key[0], **fields, **{KNOWN: known, BEFORE: before})
+def _place(text: str) -> tuple:
+    """The order of a row, from its text: numbers exactly, null first."""
+    values = json.loads(text, parse_float=Decimal).values()
+    return tuple((v is not None, v) for v in values)
 
-    def close(self) -> None:
-        pass
+
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A key's first row of a batch with its last value before; the new one is kept."""
+    first = last = None
+    for pdf in frames:
+        for order, value in zip(pdf[ORDER], pdf[VALUE]):
+            place = _place(order)
+            if first is None or place < first[0]:
+                first = place, order
+            if last is None or place >= last[0]:
+                last = place, value
+    before = state.get[0] if state.exists else None
+    if before != last[1]:
+        state.update((last[1],))
+    yield pd.DataFrame({KEY: [key[0]], ORDER: [first[1]], BEFORE: [before]})
 
 
 def _ends(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -89,12 +102,13 @@ def _ends(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def openings(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
-    """One row per key of a micro-batch: the key, its first ``order``, ``KNOWN``, ``BEFORE``."""
+    """One row per key of a micro-batch: ``KEY``, ``ORDER`` of its first row, and ``BEFORE``,
+    its last value in the batches before, null for a new key; all as ``exact`` texts."""
     fields = [key, *dict.fromkeys(c for c in (*order, value) if c != key)]
-    ends = _ends(df.select(*fields), key, order)
-    kind = df.schema[value].dataType
-    out = [StructField("_key", df.schema[key].dataType), *(df.schema[o] for o in order)]
-    out += [StructField(KNOWN, BooleanType()), StructField(BEFORE, kind)]
-    processor = LastValue(StructType([StructField("v", kind)]), value, order)
-    kept = ends.groupBy(key).transformWithState(processor, StructType(out), "update", "None")
-    return kept.withColumnRenamed("_key", key)
+    told = plain(_ends(df.select(*fields), key, order), fields).select(
+        exact(key).alias(KEY), exact(*order).alias(ORDER), exact(value).alias(VALUE)
+    )
+    return told.groupBy(KEY).applyInPandasWithState(
+        _advance, f"{KEY} string, {ORDER} string, {BEFORE} string", "value string", "update",
+        GroupStateTimeout.NoTimeout,
+    )
