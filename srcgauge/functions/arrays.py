@@ -64,6 +64,33 @@ def group_runs(items: Expr, same: Callable[[Expr, Expr], Expr]) -> Expr:
     )
 
 
+def run_lengths(items: Expr) -> Expr:
+    """The values of a sorted array with their counts: struct(value, n)."""
+
+    def cut(xs: Expr) -> Expr:
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(xs) - 1),
+            lambda i: F.when(i == 0, F.lit(True)).otherwise(F.get(xs, i - 1) != F.get(xs, i)),
+        )
+        return let(
+            heads,
+            lambda hs: F.transform(
+                hs,
+                lambda h, k: F.struct(
+                    F.get(xs, h).alias("value"),
+                    (F.coalesce(F.get(hs, k + 1), F.size(xs)) - h).alias("n"),
+                ),
+            ),
+        )
+
+    return let(
+        items,
+        lambda xs: F.when(F.size(xs) > 0, cut(xs)).otherwise(
+            F.transform(F.slice(xs, 1, 0), lambda x: F.struct(x.alias("value"), F.lit(0).alias("n")))
+        ),
+    )
+
+
 def running_sums(numbers: Expr, block: int = 128) -> Expr:
     """The sum before each number, linear in the array's length.
 

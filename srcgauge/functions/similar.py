@@ -13,7 +13,7 @@ Different cores are compared only if they share a rare word: two sets above the
 share one of the first words of any common word order, at most ``n - floor(8n/9)`` of
 the smaller set and ``n - floor(4n/5)`` of the larger. The order is by rarity in the file
 (number of classes that hold the word, then the word). What meets there must also be
-near enough in size, and in a 256-bit parity of its words, whose differing bits never
+near enough in size, and in a 128-bit parity of its words, whose differing bits never
 exceed the differing words. All of this is exact.
 """
 
@@ -36,7 +36,7 @@ HEAD_DDL = "struct<ord:int,cell:int,line:int,name:string,sid:int,later:bigint,st
 #: duplicates, in order, each with the place of its first pair in the file's pair list.
 FOUND_DDL = f"struct<cells:array<{CELL_DDL}>,heads:array<{HEAD_DDL}>>"
 #: Words of the parity, of 64 bits each.
-LANES = 4
+LANES = 2
 
 
 def word_classes(fns: Expr) -> Expr:
@@ -167,18 +167,26 @@ def _families(cells: Expr) -> Expr:
     )
     runs = group_runs(placed, lambda a, b: a["key"] == b["key"])
 
-    def bits(core: Expr) -> list[Expr]:
+    def bits(core: Expr) -> Expr:
         """Parity of the words' hashes, in lanes of 64 bits."""
         hashed = F.transform(core, lambda w: F.xxhash64(w))
-        in_lane = lambda lane, h: Expr(f"(({h.text} & 255L) div 64L = {lane}L)")
-        return [
-            F.aggregate(
-                F.filter(hashed, partial(in_lane, lane)),
-                F.lit(0).cast("bigint"),
-                lambda acc, h: Expr(f"({acc.text} ^ shiftleft(1L, cast({h.text} & 63L as int)))"),
-            ).alias(f"b{lane}")
-            for lane in range(LANES)
-        ]
+        bit = lambda lane, h: Expr(
+            f"if(({h.text} & 64L) = {64 * lane}L, shiftleft(1L, cast({h.text} & 63L as int)), 0L)"
+        )
+        flip = lambda lane, acc, h: Expr(f"({acc.text} ^ {bit(lane, h).text})")
+        return let(
+            hashed,
+            lambda hs: F.array(
+                *(
+                    F.aggregate(
+                        hs,
+                        F.lit(0).cast("bigint"),
+                        partial(flip, lane),
+                    )
+                    for lane in range(LANES)
+                )
+            ),
+        )
 
     def family(run: Expr, fid: Expr) -> Expr:
         head = F.get(cells, F.get(run, F.lit(0))["cell"])
@@ -189,7 +197,7 @@ def _families(cells: Expr) -> Expr:
                 c["core"].alias("core"),
                 c["k"].alias("k"),
                 (c["k"] + c["p"]).alias("n"),
-                *bits(c["core"]),
+                bits(c["core"]).alias("bits"),
                 F.transform(
                     group_runs(run, lambda a, b: a["p"] == b["p"]),
                     lambda r: F.struct(
@@ -277,7 +285,7 @@ def _near_families(families: Expr) -> Expr:
     def may(a: Expr, b: Expr) -> Expr:
         """Whether the parities leave room for enough shared words."""
         differing = " + ".join(
-            f"bit_count({a[f'b{i}'].text} ^ {b[f'b{i}'].text})" for i in range(LANES)
+            f"bit_count({a['bits'].text}[{i}] ^ {b['bits'].text}[{i}])" for i in range(LANES)
         )
         needed = _part(a["n"] + b["n"], 4, 9) + 1
         return Expr(f"({differing})") <= a["k"] + b["k"] - needed * 2
@@ -360,9 +368,9 @@ def _links(cells: Expr, families: Expr, near: Expr) -> Expr:
 
 
 def _linked(cells: Expr, links: Expr) -> Expr:
-    """struct(members, links) of every cell."""
+    """struct(members, links) of every cell; nothing, if none is linked."""
     by_cell = group_runs(F.sort_array(links), lambda a, b: a["cell"] == b["cell"])
-    return F.transform(
+    linked = F.transform(
         by_cell,
         lambda g, i: F.struct(
             F.get(cells, i)["members"].alias("members"),
@@ -372,6 +380,7 @@ def _linked(cells: Expr, links: Expr) -> Expr:
             ).alias("links"),
         ),
     )
+    return F.when(F.exists(links, lambda x: x["to"] >= 0), linked).otherwise(empty(CELL_DDL))
 
 
 def _heads(cells: Expr) -> Expr:
@@ -479,30 +488,33 @@ def head_blocks(found: Expr, least: int) -> Expr:
             runs, lambda r: F.struct(F.get(r, F.lit(0))["start"].alias("start"), r.alias("heads"))
         )
 
-    return let(F.greatest(F.lit(least), functions), of)
+    whole = F.struct(F.lit(0).cast("bigint").alias("start"), found["heads"].alias("heads"))
+    return (
+        F.when(pair_count(found) > least, let(F.greatest(F.lit(least), functions), of))
+        .when(F.size(found["heads"]) > 0, F.array(whole))
+        .otherwise(F.slice(F.array(whole), 1, 0))
+    )
 
 
 def block_pairs(cells: Expr, heads: Expr) -> Expr:
     """The pairs of some heads in (i, j) order."""
 
-    def later(h: Expr) -> Expr:
-        links = F.get(cells, h["cell"])["links"]
-        return F.sort_array(
-            F.flatten(
-                F.transform(
-                    links,
-                    lambda x: F.transform(
-                        F.filter(
-                            F.get(cells, x["cell"])["members"], lambda m: m["ord"] > h["ord"]
-                        ),
-                        lambda m: F.struct(
-                            h["ord"].alias("i"), m["ord"].alias("j"), h["line"].alias("line"),
-                            h["name"].alias("first"), m["name"].alias("second"),
-                            F.when(m["sid"] == h["sid"], 100).otherwise(x["percent"]).alias("percent"),
-                        ),
-                    ),
-                )
-            )
+    def of_link(h: Expr, x: Expr) -> Expr:
+        return F.transform(
+            F.filter(F.get(cells, x["cell"])["members"], lambda m: m["ord"] > h["ord"]),
+            lambda m: F.struct(
+                h["ord"].alias("i"), m["ord"].alias("j"), h["line"].alias("line"),
+                h["name"].alias("first"), m["name"].alias("second"),
+                F.when(m["sid"] == h["sid"], 100).otherwise(x["percent"]).alias("percent"),
+            ),
         )
 
+    def later(h: Expr) -> Expr:
+        return let(
+            F.get(cells, h["cell"])["links"],
+            lambda links: F.when(F.size(links) == 1, of_link(h, F.get(links, F.lit(0)))).otherwise(
+                F.sort_array(F.flatten(F.transform(links, lambda x: of_link(h, x))))
+            ),
+        )
+
     return F.flatten(F.transform(heads, later))

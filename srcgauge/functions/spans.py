@@ -21,6 +21,11 @@ from .text import PY, ltrim_space, trim_space
 OPEN, CLOSE = "\x01", "\x03"  # neither a word character nor white space
 
 
+#: Opening parentheses in a row, without a closing one, from which on those that lead to
+#: nothing are taken out before a search. Below it they are scanned at most so many times.
+UNCLOSED_RUN = 64
+
+
 def js_patterns(d: Dialect = CORE) -> list[str]:
     """Declaration, variable, call-like block and (core) arrow patterns.
 
@@ -93,6 +98,37 @@ def _found(code: Expr, pattern: str) -> Expr:
     )
 
 
+def js_tails(d: Dialect = CORE) -> list[str]:
+    """What has to follow the closing parenthesis, pattern by pattern."""
+    return ["", "", rf"{d.s}*+\{{", *([rf"{d.s}*+=>"] if d.is_core else [])]
+
+
+def searchable(code: Expr, tail: str) -> Expr:
+    """The code without the opening parentheses that no match can hold, line by line as long.
+
+    A parameter text ends at the next closing parenthesis, so whatever opens between two
+    closing ones meets the same end. Where no tail follows that end, or none closes, every
+    try would read on to it and fail, in time that grows with the square of their number.
+    """
+
+    def cut(parts: Expr) -> Expr:
+        def keeps(i: Expr) -> Expr:
+            closed = i < F.size(parts) - 1
+            if not tail:
+                return closed
+            return closed & F.regexp_like(F.get(parts, i + 1), F.lit(f"^{tail}"))
+
+        kept = F.transform(
+            parts,
+            lambda part, i: F.when(F.contains(part, "(") & ~keeps(i), F.translate(part, "(", "\x02"))
+            .otherwise(part),
+        )
+        return F.array_join(kept, ")")
+
+    many = F.regexp_like(code, F.lit(rf"(?:\([^()]*+){{{UNCLOSED_RUN}}}"))
+    return F.when(many, let(F.split(code, r"\)", -1), cut)).otherwise(code)
+
+
 def unmarked(code: Expr) -> Expr:
     """The code with the two marks, should they occur, as another control character."""
     taken = F.contains(code, OPEN) | F.contains(code, CLOSE)
@@ -104,7 +140,7 @@ def js_matches(code: Expr, d: Dialect = CORE) -> Expr:
 
     def of(plain: Expr, k: int, pattern: str) -> Expr:
         return F.transform(
-            _found(plain, pattern),
+            _found(searchable(plain, js_tails(d)[k - 1]), pattern),
             lambda m, i: F.struct(
                 m["line"].alias("start"),
                 F.regexp_extract(m["text"], pattern, 1).alias("name"),
@@ -132,7 +168,7 @@ def py_matches(code: Expr, d: Dialect = CORE, anchor: str = "reference") -> Expr
     """All defs in text order: struct(start, name, pattern, seq, params, base)."""
     pattern = py_pattern(d, anchor)
     return F.transform(
-        _found(unmarked(code), pattern),
+        _found(let(unmarked(code), lambda plain: searchable(plain, "")), pattern),
         lambda m, i: F.struct(
             m["line"].alias("start"),
             F.regexp_extract(m["text"], pattern, 2).alias("name"),

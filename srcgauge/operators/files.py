@@ -12,7 +12,7 @@ from ..functions import fixed
 from ..functions import metrics as M
 from ..functions import sqltext as E
 from ..functions import text as T
-from ..functions.arrays import let
+from ..functions.arrays import let, run_lengths
 from ..functions.dialect import CORE, Dialect, dialect
 from ..functions.sqltext import Expr
 
@@ -84,14 +84,19 @@ def classified_tokens(files: DataFrame, profile: str | Dialect = CORE) -> DataFr
 def token_freq(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
     """Count per file, class and token of operators and operands.
 
-    Counted map-side first; a file's tokens spread over the token key.
+    A file's tokens are in its row, so they are sorted and counted there; a token is
+    classified once and is one row, and nothing is shuffled.
     """
-    return (
-        classified_tokens(files, profile)
-        .filter(F.col("token_class") != "ignored")
-        .groupBy("file_id", "token_class", "token")
-        .agg(F.count("*").alias("n"))
+    d = dialect(profile)
+    runs = run_lengths(E.sort_array(M.token_extract(E.col("clean"), d)))
+    counted = clean_files(files, d).select(
+        "file_id", "language", F.explode_outer(runs.column).alias("t")
     )
+    classed = counted.filter(F.col("t").isNotNull()).select(
+        "file_id", M.token_class(E.col("t.value"), LANG).alias("token_class").column,
+        F.col("t.value").alias("token"), F.col("t.n").cast("bigint").alias("n"),
+    )
+    return classed.filter(F.col("token_class") != "ignored")
 
 
 def token_totals(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:

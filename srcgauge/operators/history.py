@@ -72,6 +72,38 @@ def history_top(records: DataFrame, n: int = fixed.HISTORY_PAGE) -> DataFrame:
     return records.orderBy(F.desc("timestamp"), "id").limit(n)
 
 
+def _days(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """The day folders of a history, newest first; rows without a day come last."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[str]] = {}
+    for pattern in ("day=*", "batch=*/day=*"):
+        for status in files.globStatus(hadoop.Path(place, pattern)) or []:
+            folder = status.getPath()
+            found.setdefault(folder.getName().removeprefix("day="), []).append(folder.toString())
+    dated = sorted((d for d in found if d[:1].isdigit()), reverse=True)
+    return [(d, found[d]) for d in (*dated, *(d for d in found if not d[:1].isdigit()))]
+
+
+def newest_history(spark: SparkSession, path: str, n: int = fixed.HISTORY_PAGE) -> DataFrame:
+    """The newest records of a stored history; ties by id.
+
+    Days are looked at from the newest on, twice as many each time, until they hold ``n``
+    records, which the files' footers tell. Older days are not read, however many there are.
+    """
+    days = _days(spark, path)
+    taken, step = 0, 1
+    while True:
+        taken = min(len(days), taken + step)
+        chosen = [folder for _, folders in days[:taken] for folder in folders]
+        reader = spark.read.schema(HISTORY_DDL).option("basePath", path)
+        records = reader.parquet(*chosen) if chosen else spark.createDataFrame([], HISTORY_DDL)
+        if taken == len(days) or records.count() >= n:
+            return history_top(records, n)
+        step *= 2
+
+
 def latest(df: DataFrame, key: str, values: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row per key, combined map-side so a hot key shuffles one row per task."""
     return (

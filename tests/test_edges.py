@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import srcgauge
-from srcgauge.functions import fixed
+from srcgauge.functions import fixed, spans
 from srcgauge.functions import metrics as M
 from srcgauge.functions import sqltext as E
 from srcgauge.functions.dialect import CORE, SERVICE
@@ -278,3 +278,43 @@ def test_function_ends_follow_the_file(spark, name):
     timed(2000)
     assert timed(32_000) < 20 * max(timed(4000), 0.5)
     assert fixed.DEFAULT_LIMITS == {"loc": 50, "nesting": 3, "params": 5, "cc": 10}
+
+
+@pytest.mark.parametrize("name,piece", [
+    ("a.js", "a("), ("a.js", "function f(x"), ("a.js", "x = ("), ("a.js", "const y = ("), ("a.py", "def f(\n"),
+])
+@pytest.mark.parametrize("end", ["", ")", ") {", "(b) => {}"])
+def test_unclosed_parentheses_are_linear(spark, name, piece, end):
+    """1 MB of them; a try that reads on to the end each time would take hours."""
+    code = piece * (1_000_000 // len(piece)) + end
+    start = time.perf_counter()
+    functions.functions_all(frame(spark, (name, code))).count()
+    assert time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize("run", [1, 2, 64])
+def test_taking_out_hopeless_parentheses_changes_nothing(spark, monkeypatch, run):
+    rows = [
+        ("a.js", "f(a(b(c) {\n x(y) z(w) => {\n q = (a(b) => c(\n g(h)\n{ (((m(n) \n { k(l)"),
+        ("b.js", "const a = (b(c) + d(e(f) { function g(h(i { j(\n\x02k(l) {\n async m = (n) =>\n o(p"),
+        ("c.py", "def f(a(b:\n def g(c(d)\n  x((((\n def h(\n\ndef i(j)"),
+        ("d.js", "if (a) { while ((b(c)) { for (;;) { } } }\n" * 3 + "(" * 70 + "z(a) {"),
+    ]
+    plain = sorted(map(str, functions.functions_all(frame(spark, *rows)).collect()))
+    monkeypatch.setattr(spans, "UNCLOSED_RUN", run)
+    got = sorted(map(str, functions.functions_all(frame(spark, *rows)).collect()))
+    assert got == plain
+    monkeypatch.setattr(spans, "UNCLOSED_RUN", 10_000)
+    assert sorted(map(str, functions.functions_all(frame(spark, *rows)).collect())) == plain
+
+
+def test_token_counts_stay_in_the_row(spark):
+    df = frame(spark, ("a.py", "if a and a:\n  b = a = 1"), ("b.js", ""), ("c.js", "x ? y : 'z'"))
+    counted = files.token_freq(df)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    got = {(r.token_class, r.token): r.n for r in counted.filter("file_id = 'a.py'").collect()}
+    assert got == {
+        ("operator", "if"): 1, ("operator", "and"): 1, ("operator", "="): 2,
+        ("operator", ":"): 1, ("operand", "a"): 3, ("operand", "b"): 1, ("operand", "1"): 1,
+    }
+    assert counted.filter("file_id = 'b.js'").count() == 0

@@ -352,3 +352,32 @@ def test_the_session_keeps_its_state_store_settings(spark, tmp_path):
     arrivals(tmp_path / "in", 0, [(1, 1, "a")])
     assert run_changes(spark, tmp_path) == [(1, 1, "a")]
     assert spark.conf.get(name, None) == before
+
+
+def test_newest_history_reads_the_newest_days(spark, tmp_path):
+    """The same rows as a scan of all days, from the files of the last ones."""
+    path = str(tmp_path / "h")
+    rows = [
+        (f"{day:02}-{i}", f"f{i}.py", "python", 1, 1, 1.0, 1, 0, f"2024-01-{day:02} 00:00:{i:02}")
+        for day in range(1, 31) for i in range(day % 4 + 1)
+    ]
+    ddl = "id string, filename string, language string, loc int, complexity int, maintainability double, functionCount int, issueCount int, t string"
+    records = spark.createDataFrame(rows, ddl).withColumn("timestamp", F.col("t").cast("timestamp")).drop("t")
+    history.append_history(records, path)
+    for n in (1, 3, 7, 50, 500):
+        newest = history.newest_history(spark, path, n)
+        want = history.history_top(history.read_history(spark, path), n)
+        assert [r.id for r in newest.collect()] == [r.id for r in want.collect()]
+    few = history.newest_history(spark, path, 3).inputFiles()
+    assert {f.split("day=")[1][:10] for f in few} <= {"2024-01-30", "2024-01-29", "2024-01-28"}
+    dateless = records.limit(2).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    history.append_history(dateless, path)
+    assert history.newest_history(spark, path, 500).count() == len(rows) + 2
+    streamed = str(tmp_path / "s")
+    for number, day in enumerate(("2024-03-02", "2024-03-01")):
+        stamped = records.limit(4).withColumn("timestamp", F.lit(day).cast("timestamp"))
+        jobs._write_batch(stamped.withColumn("day", F.to_date("timestamp")), number, streamed, ("day", "language"))
+    top = history.newest_history(spark, streamed, 4).collect()
+    assert {str(r.day) for r in top} == {"2024-03-02"}
+    (tmp_path / "none").mkdir()
+    assert history.newest_history(spark, str(tmp_path / "none")).count() == 0
