@@ -27,29 +27,60 @@ KEYS = ("file_id", "filename", "language")
 DOCUMENT_PAIRS = 65_536
 
 
-def with_issues(
+MEASURES = ("cc", "nesting", "returns")
+
+
+def function_tables(
     files: DataFrame,
     profile: str | Dialect = CORE,
-    thresholds: Mapping[str, object] | None = None,
-    want: tuple[str, ...] = ("cc", "nesting", "returns"),
+    want: tuple[str, ...] = MEASURES,
     anchor: str = "reference",
 ) -> DataFrame:
-    """Files with ``fns``, the ordered array ``issues`` of all findings but duplicates, which
+    """What findings are made of, one row per file: its keys, ``code``, its function table
+    ``fns`` with the measures, and ``cases``, the counted switch cases.
+
+    Without ``code`` this can be stored; ``issues_of`` and ``suggestions_of`` take the stored
+    table, so other limits need no new search for functions, and no join.
+    """
+    d = dialect(profile)
+    if d.is_core:
+        want = (*want, "words")
+    cases = findings.case_count(CODE, LANG, d) if d.is_core else E.lit(0)
+    found = with_functions(files, d, want, anchor)
+    return found.select(*KEYS, "code", "fns", cases.alias("cases").column)
+
+
+def issues_of(
+    tables: DataFrame,
+    profile: str | Dialect = CORE,
+    thresholds: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """Function tables with the ordered array ``issues`` of all findings but duplicates, which
     come last, and what is ``found`` of these. ``issue_rows`` makes the findings of it."""
     d = dialect(profile)
-    limits = findings.resolve_limits(thresholds)
-    issues = findings.function_issues(FNS, limits, d)
+    issues = findings.function_issues(FNS, findings.resolve_limits(thresholds), d)
     if not d.is_core:  # the service has neither a switch nor a duplicate rule
         nothing = E.lit(None).cast(similar.FOUND_DDL).alias("found")
-        found = with_functions(files, d, want, anchor)
-        return found.select(*KEYS, "code", "fns", issues.alias("issues").column, nothing.column)
-    found = with_functions(files, d, (*want, "words"), anchor).select(
-        *KEYS, "code", "fns", findings.case_count(CODE, LANG, d).alias("cases").column
-    )
+        return tables.withColumn("issues", issues.column).withColumn("found", nothing.column)
     issues = E.concat(issues, findings.switch_issues(E.col("cases")))
-    return duplicates.with_duplicates(
-        found.select(*KEYS, "code", "fns", issues.alias("issues").column)
-    )
+    return duplicates.with_duplicates(tables.withColumn("issues", issues.column))
+
+
+def suggestions_of(tables: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
+    """Function tables with ``refactorSuggestions``; ``suggestion_rows`` spreads them."""
+    made = findings.suggestions(FNS, LANG, dialect(profile))
+    return tables.withColumn("refactorSuggestions", made.column)
+
+
+def with_issues(
+    files: DataFrame,
+    profile: str | Dialect = CORE,
+    thresholds: Mapping[str, object] | None = None,
+    want: tuple[str, ...] = MEASURES,
+    anchor: str = "reference",
+) -> DataFrame:
+    """``issues_of`` the function tables of files."""
+    return issues_of(function_tables(files, profile, want, anchor), profile, thresholds)
 
 
 def with_findings(
@@ -59,10 +90,7 @@ def with_findings(
 ) -> DataFrame:
     """``with_issues`` and ``refactorSuggestions``, from one search for functions;
     ``issue_rows`` and ``suggestion_rows`` take it."""
-    d = dialect(profile)
-    return with_issues(files, d, thresholds).withColumn(
-        "refactorSuggestions", findings.suggestions(FNS, LANG, d).column
-    )
+    return suggestions_of(with_issues(files, profile, thresholds), profile)
 
 
 def issue_count() -> Expr:
