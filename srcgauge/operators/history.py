@@ -126,12 +126,30 @@ def current_or_last(
     )
 
 
+def even_buckets(df: DataFrame, order: str, buckets: int) -> Column:
+    """A bucket for ``change_only`` that rises with a column and holds about as many rows
+    as any other, wherever they are: cuts are quantiles of the whole column.
+
+    So one key with all rows of a day is split over the buckets too. Rows of one value stay
+    together; a null is in the first bucket, as it comes first.
+    """
+    if buckets < 2:
+        return F.lit(0)
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = F.percentile_approx(F.col(order), F.array(*map(F.lit, shares)), F.lit(100 * buckets))
+    found = sorted(set(df.agg(cuts.alias("cuts")).first()["cuts"] or []))
+    if not found:
+        return F.lit(0)
+    above = F.filter(F.array(*map(F.lit, found)), lambda cut: cut < F.col(order))
+    return F.coalesce(F.size(above), F.lit(0))
+
+
 def change_only(
     df: DataFrame, key: str, value: str, order: Sequence[str], bucket: Column
 ) -> DataFrame:
     """Rows whose value differs from the key's previous one; the first is kept.
 
-    ``bucket`` must rise with the order. Each (key, bucket) is compared on its
+    ``bucket`` must rise with the order (a day, or ``even_buckets``). Each (key, bucket) is compared on its
     own and only its last value is handed to the next bucket, so a hot key is
     split over its buckets. Rows without a key are compared with one another.
     """

@@ -381,3 +381,25 @@ def test_newest_history_reads_the_newest_days(spark, tmp_path):
     assert {str(r.day) for r in top} == {"2024-03-02"}
     (tmp_path / "none").mkdir()
     assert history.newest_history(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_even_buckets_split_one_hot_key(spark):
+    """All rows of one key within a second; nulls and equal times stay in order."""
+    rows = spark.range(6000).select(
+        F.lit(1).alias("k"),
+        F.when(F.col("id") >= 50, F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.floor(F.col("id") / 3))).alias("t"),
+        "id",
+        F.floor(F.col("id") / 7 % 3).alias("v"),
+    )
+    bucket = history.even_buckets(rows, "t", 16)
+    sizes = [r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 6000 / 16
+    got = history.change_only(rows, "k", "v", ["t", "id"], bucket)
+    last, want = None, set()
+    for r in rows.orderBy("t", "id").collect():
+        if r.v != last:
+            want.add(r.id)
+        last = r.v
+    assert {r.id for r in got.collect()} == want
+    none = rows.limit(0)
+    assert history.change_only(none, "k", "v", ["t", "id"], history.even_buckets(none, "t", 8)).count() == 0
