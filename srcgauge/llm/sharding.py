@@ -85,6 +85,14 @@ def communication_row(part: int, counts: np.ndarray, columns: np.ndarray, seed:
     return colors
 
 
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that no column of ``df`` has, whatever the case."""
+    taken, prefix = {c.lower() for c in df.columns}, "_"
+    while any(prefix + n in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def shuffle_into_shards(
     df: DataFrame, shards: int = 8, seed: int = 20, block_rows: int = 1 << PART_BITS
 ) -> DataFrame:
@@ -93,7 +101,8 @@ def shuffle_into_shards(
     The order over (shard, slot) is a uniformly random order of all rows, and
     shard sizes differ by one at most. Rows count one by one: nulls, ties and
     repeated rows need no rule, an empty table gives an empty result, and columns
-    of the input named ``shard`` or ``slot`` are replaced.
+    of the input named ``shard`` or ``slot`` are replaced. Other columns stay, whatever
+    their names.
 
     The rows are written once to the shared folder with their place, so that a
     repeated task sees the same rows; then two shuffles move them. A part holds
@@ -104,11 +113,12 @@ def shuffle_into_shards(
     schema = StructType(
         [*df.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())]
     )
+    at, part_of, block_of = _fresh(df, "at", "part", "block")
     place = F.monotonically_increasing_id()
     placed = stored(
-        df.withColumn("_at", place).withColumn("_part", F.shiftright("_at", PART_BITS)), "shuffle"
+        df.withColumn(at, place).withColumn(part_of, F.shiftright(at, PART_BITS)), "shuffle"
     )
-    found = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())
+    found = sorted(tuple(r) for r in placed.groupBy(part_of).agg(F.count("*")).collect())
     if not found:
         return df.sparkSession.createDataFrame([], schema)
     parts = np.array([p for p, _ in found], np.int64)
@@ -116,25 +126,25 @@ def shuffle_into_shards(
     rows = int(counts.sum())
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(np.searchsorted(parts, pdf["_part"].iloc[0]))
+        part = int(np.searchsorted(parts, pdf[part_of].iloc[0]))
         _, columns = blocks_of(sizes_of(rows, shards), block_rows)
         row = communication_row(part, counts, columns, seed)
         order = np.random.default_rng([seed, 2, part]).permutation(len(pdf))
-        pdf = pdf.sort_values("_at", ignore_index=True).iloc[order]
-        return pdf.drop(columns="_part").assign(_block=np.repeat(np.arange(len(row)), row))
+        pdf = pdf.sort_values(at, ignore_index=True).iloc[order]
+        return pdf.drop(columns=part_of).assign(**{block_of: np.repeat(np.arange(len(row)), row)})
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["_block"].iloc[0])
+        block = int(pdf[block_of].iloc[0])
         shard, columns = blocks_of(sizes_of(rows, shards), block_rows)
         first = int(columns[:block][shard[:block] == shard[block]].sum())
         order = np.random.default_rng([seed, 3, block]).permutation(len(pdf))
-        pdf = pdf.sort_values("_at", ignore_index=True)
-        return pdf.drop(columns=["_at", "_block"]).assign(
+        pdf = pdf.sort_values(at, ignore_index=True)
+        return pdf.drop(columns=[at, block_of]).assign(
             shard=np.int32(shard[block]), slot=first + order
         )
 
     moved = StructType(
-        [*df.schema.fields, StructField("_at", LongType()), StructField("_block", LongType())]
+        [*df.schema.fields, StructField(at, LongType()), StructField(block_of, LongType())]
     )
-    sent = placed.groupBy("_part").applyInPandas(send, moved)
-    return sent.groupBy("_block").applyInPandas(settle, schema)
+    sent = placed.groupBy(part_of).applyInPandas(send, moved)
+    return sent.groupBy(block_of).applyInPandas(settle, schema)

@@ -49,3 +49,23 @@ def test_nulls_repeats_and_empty_tables(spark, frame):
     rows = shuffle_into_shards(df, 3).collect()
     assert Counter(r.shard for r in rows) == {0: 2, 1: 1, 2: 1}
     assert shuffle_into_shards(df.limit(0), 3).count() == 0
+
+
+def test_columns_named_like_the_steps_stay(spark):
+    columns = ["_at", "_PART", "_block", "__at", "count", "shard", "slot"]
+    df = spark.createDataFrame([tuple(range(i, i + 7)) for i in range(50)], columns).repartition(3)
+    rows = shuffle_into_shards(df, 4).collect()
+    kept = columns[:5]
+    assert sorted(tuple(r[c] for c in kept) for r in rows) == [tuple(range(i, i + 5)) for i in range(50)]
+    assert sorted(Counter(r.shard for r in rows).values()) == [12, 12, 13, 13]
+
+
+def test_places_follow_the_uniform_law(spark):
+    """Chi-squared over rows and places, of many seeds: within four standard deviations."""
+    df, seen, seeds = spark.range(8, numPartitions=2).coalesce(2), Counter(), 60
+    for seed in range(seeds):
+        for r in shuffle_into_shards(df, 2, seed, block_rows=2).collect():
+            seen[r.id, 4 * r.shard + r.slot] += 1
+    expected = seeds / 8
+    chi = sum((seen[i, p] - expected) ** 2 / expected for i in range(8) for p in range(8))
+    assert abs(chi - 49) < 4 * (2 * 49) ** 0.5
