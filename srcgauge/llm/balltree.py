@@ -60,12 +60,12 @@ def build(ids: np.ndarray, matrix: np.ndarray, _: int) -> BallTree:
 
 
 def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exact: as doubles where they stay small, else
-    as 64-bit integers."""
+    """Inner products of whole numbers as 64-bit integers: by way of doubles where these are
+    exact, else in integers, whose sums are right whenever the product fits."""
     top = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0))
     if top * left.shape[1] < EXACT:
-        return left @ right.T
-    return (left.astype(np.int64) @ right.astype(np.int64).T).astype(np.float64)
+        return (left @ right.T).astype(np.int64)
+    return left.astype(np.int64) @ right.astype(np.int64).T
 
 
 def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int):
@@ -109,7 +109,8 @@ def exact_top_k(
     non-finite components, and rows with a null id, take no part; vectors of
     another length than the query's are no candidates. Rows that repeat an id are
     candidates each, but equal (id, score) results appear once. Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Scores are whole numbers throughout, exact
+    as long as they fit 64 bits.
     """
     vector = F.col(vector_col).cast("array<double>")
     vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"))
@@ -117,5 +118,5 @@ def exact_top_k(
         "vec_id",
         F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")).alias("vector"),
     )
-    found = search_all(vectors, F.col("vec_id") % query_every == 0, build, search, k)
-    return found.withColumn("score", F.col("score").cast("long"))
+    asked = F.col("vec_id") % query_every == 0
+    return search_all(vectors, asked, build, search, k, kind="long")

@@ -23,7 +23,9 @@ SHARD_ROWS = 16_384
 BLOCK_ROWS = 4_096
 
 SHARD = "shard long, dim int, n int, data binary"
-FOUND = "block long, query_id long, vec_id long, score double"
+FOUND = "block long, query_id long, vec_id long, score {kind}"
+#: Below every score, by the type of scores: whole numbers stay whole.
+LOWEST = {"double": -np.inf, "long": np.iinfo(np.int64).min}
 
 
 def finite(vector: str | Column) -> Column:
@@ -86,7 +88,9 @@ Search = Callable[
 ]
 
 
-def search_pairs(shards: DataFrame, asked: DataFrame, search: Search, k: int) -> DataFrame:
+def search_pairs(
+    shards: DataFrame, asked: DataFrame, search: Search, k: int, kind: str = "double"
+) -> DataFrame:
     """Run ``search`` for each block and the shard that its row of ``asked`` names.
 
     ``asked`` has (shard, block, queries, known, bounds): queries = pickled (ids,
@@ -104,7 +108,8 @@ def search_pairs(shards: DataFrame, asked: DataFrame, search: Search, k: int) ->
                     name, index = row["shard"].as_py(), pickle.loads(row["data"].as_buffer())
                 ids, matrix = pickle.loads(row["queries"].as_buffer())
                 known = dict(zip(row["known"].as_py(), row["bounds"].as_py(), strict=True))
-                bound = np.array([known.get(q, -np.inf) for q in ids.tolist()])
+                lowest = LOWEST[kind]
+                bound = np.array([known.get(q, lowest) for q in ids.tolist()], type(lowest))
                 at, found, score = search(index, ids, matrix, bound, k)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -116,7 +121,7 @@ def search_pairs(shards: DataFrame, asked: DataFrame, search: Search, k: int) ->
                 )
 
     pairs = asked.join(shards.select("shard", "data"), "shard")
-    return pairs.mapInArrow(run, FOUND)
+    return pairs.mapInArrow(run, FOUND.format(kind=kind))
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -147,10 +152,10 @@ class Best:
     """The k best found so far for a block of queries, and each one's kth score."""
 
     def __init__(self, ids: np.ndarray, bound: np.ndarray, k: int):
-        self.ids, self.k, self.kth = ids, k, bound.astype(np.float64).copy()
+        self.ids, self.k, self.kth = ids, k, bound.copy()
         self.at = np.empty(0, np.int64)
         self.found = np.empty(0, np.int64)
-        self.score = np.empty(0)
+        self.score = np.empty(0, bound.dtype)
 
     def offer(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Scores of the queries ``at`` with the vectors ``ids``, as a matrix."""
@@ -187,8 +192,10 @@ def search_all(
     k: int,
     shard_rows: int = SHARD_ROWS,
     block_rows: int = BLOCK_ROWS,
+    kind: str = "double",
 ) -> DataFrame:
-    """The k best vectors of each query among all others: query_id, rank, vec_id, score.
+    """The k best vectors of each query among all others: query_id, rank, vec_id, score,
+    a double or (``kind``) a long.
 
     Two waves: a block is searched in one shard first; the kth scores found there are
     the bounds that its queries bring to all other shards, so a later shard returns
@@ -214,15 +221,15 @@ def search_all(
         for dim, ids in names.items()
     ]
     if not asked:
-        return best_of(vectors.sparkSession.createDataFrame([], FOUND), k)
+        return best_of(vectors.sparkSession.createDataFrame([], FOUND.format(kind=kind)), k)
     pairs = asked[0]
     for more in asked[1:]:
         pairs = pairs.unionByName(more)
     unknown = pairs.withColumns(
-        {"known": F.array().cast("array<long>"), "bounds": F.array().cast("array<double>")}
+        {"known": F.array().cast("array<long>"), "bounds": F.array().cast(f"array<{kind}>")}
     )
     home = stored(
-        search_pairs(shards, unknown.filter("nth = home"), search, k), "first"
+        search_pairs(shards, unknown.filter("nth = home"), search, k, kind), "first"
     )
     bounds = (
         home.groupBy("block", "query_id")
@@ -233,9 +240,9 @@ def search_all(
     )
     rest = pairs.filter("nth <> home").join(bounds, "block", "left").withColumns(
         {c: F.coalesce(c, F.array().cast(t))
-         for c, t in (("known", "array<long>"), ("bounds", "array<double>"))}
+         for c, t in (("known", "array<long>"), ("bounds", f"array<{kind}>"))}
     )
-    return best_of(home.unionByName(search_pairs(shards, rest, search, k)), k)
+    return best_of(home.unionByName(search_pairs(shards, rest, search, k, kind)), k)
 
 
 def _few(df: DataFrame) -> int:

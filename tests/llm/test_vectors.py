@@ -116,3 +116,12 @@ def test_edge_rows(spark, operator):
     assert [v for v, _ in found[0]] == ([1, 20, 5] if exact else [1, 20])
     assert set(found) == {0, 20, 80}
     assert operator(df.limit(0), 3).count() == 0
+
+
+def test_large_whole_scores_stay_apart(spark):
+    """Scores beyond 2^53 that doubles would hold to be equal."""
+    big = 2.0**23  # 64 times it squared is 2^58
+    rows = [(0, [big, 1 / 64]), (1, [big, 1 / 64]), (2, [big, 2 / 64]), (3, [big, 0.0]), (4, [-big, 3 / 64])]
+    got = [tuple(r) for r in exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    top = 2**58
+    assert sorted(got) == [(0, 1, 2, top + 2), (0, 2, 1, top + 1), (0, 3, 3, top), (0, 4, 4, 3 - top)]
