@@ -452,17 +452,36 @@ def _heads(cells: Expr) -> Expr:
     return let(heads, numbered)
 
 
+def _cells_of(fns: Expr) -> Expr:
+    return let(
+        word_classes(fns),
+        lambda classes: let(_cores(classes), lambda cores: _cells(classes, cores)),
+    )
+
+
+def _links_of(cells: Expr) -> Expr:
+    return let(
+        _families(cells),
+        lambda families: let(
+            _near_families(families), lambda near: _links(cells, families, near)
+        ),
+    )
+
+
+def _found_of(cells: Expr, links: Expr) -> Expr:
+    return let(
+        _linked(cells, links),
+        lambda linked: F.struct(linked.alias("cells"), _heads(linked).alias("heads")),
+    )
+
+
 #: The steps from a function table ``fns`` with words to ``found``, each an expression over
-#: columns of steps before it. One expression would nest too deep for the analyzer.
+#: columns of steps before it. One expression would nest too deep for the analyzer; more
+#: steps would copy a file's row more often.
 STEPS: dict[str, Callable[[], Expr]] = {
-    "_classes": lambda: word_classes(F.col("fns")),
-    "_cores": lambda: _cores(F.col("_classes")),
-    "_cells": lambda: _cells(F.col("_classes"), F.col("_cores")),
-    "_families": lambda: _families(F.col("_cells")),
-    "_near": lambda: _near_families(F.col("_families")),
-    "_links": lambda: _links(F.col("_cells"), F.col("_families"), F.col("_near")),
-    "_linked": lambda: _linked(F.col("_cells"), F.col("_links")),
-    "found": lambda: F.struct(F.col("_linked").alias("cells"), _heads(F.col("_linked")).alias("heads")),
+    "_cells": lambda: _cells_of(F.col("fns")),
+    "_links": lambda: _links_of(F.col("_cells")),
+    "found": lambda: _found_of(F.col("_cells"), F.col("_links")),
 }
 
 
