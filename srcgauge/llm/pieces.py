@@ -10,6 +10,10 @@ recovered backwards from the end.
 No token reaches over a space mark that begins a word, a line break or another
 character outside the vocabulary, so a text's ids are its segments' ids one after
 another, and a worker remembers those of frequent segments.
+
+In a run of space marks the last token of each prefix grows to the left while it and
+the token before it join to a token: pieces of space marks all rank alike and last, so
+the leftmost pair merges first, and a word takes the mark before it beforehand.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import pyarrow as pa
@@ -36,8 +41,9 @@ WORDS = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
 #: The same, cut between letters and other characters too, for vocabularies in
 #: which no token holds both.
 LETTER_RUNS = rf"{SPACE}*(?:{LETTERS}|(?:[^\w{SPACE}\n]|[\d_{RAISED}])+)|{SPACE}+|\n"
-#: Distinct segments and token pairs that a worker remembers.
+#: Distinct segments, of so many letters at most, and token pairs that a worker remembers.
 KNOWN_SEGMENTS = 300_000
+KNOWN_LENGTH = 64
 KNOWN_PAIRS = 600_000
 
 
@@ -70,6 +76,16 @@ class MergeVocabulary:
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self._pairs: dict[tuple[str, str], bool] = {}
+        marks = {p: r for p, (r, _) in self.order.items() if not p.strip(SPACE)}
+        #: Lengths of the tokens of space marks, if these rank alike and after all others
+        #: and no other token holds a mark but as its first letter.
+        self.mark_lengths = {len(p) for p in marks}
+        if len(set(marks.values())) > 1 or any(
+            r >= marks.get(SPACE, r) or SPACE in p[1:]
+            for p, (r, _) in self.order.items()
+            if p not in marks
+        ):
+            self.mark_lengths = set()
         letter = re.compile(LETTERS).fullmatch
         mixed = any(
             SPACE not in piece[i : i + 2]
@@ -86,18 +102,36 @@ class MergeVocabulary:
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """The merges done one by one, the best-ranked pair first and the leftmost of
-        equals, until ``least`` parts are left."""
-        parts, rank = list(text), self.order
-        while len(parts) > least:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r[0] < best):
-                    best, at = r[0], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        equals, until ``least`` parts are left. Pairs wait in a heap; one whose parts have
+        merged with others since is passed over."""
+        parts, rank, n = list(text), self.order, len(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting: list[tuple[float, int, str]] = []
+
+        def pair(i: int, j: int) -> str | None:
+            joined = parts[i] + parts[j]
+            return joined if joined in rank else None
+
+        for i in range(n - 1):
+            if joined := pair(i, i + 1):
+                waiting.append((rank[joined][0], i, joined))
+        heapify(waiting)
+        left = n
+        while waiting and left > least:
+            _, i, joined = heappop(waiting)
+            j = after[i]
+            if not parts[i] or j == n or parts[i] + parts[j] != joined:
+                continue
+            parts[i], parts[j] = joined, ""
+            after[i] = j = after[j]
+            left -= 1
+            if j < n:
+                before[j] = i
+                if joined := pair(i, j):
+                    heappush(waiting, (rank[joined][0], i, joined))
+            if (h := before[i]) >= 0 and (joined := pair(h, i)):
+                heappush(waiting, (rank[joined][0], h, joined))
+        return [p for p in parts if p]
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging the joined text gives these two tokens.
@@ -159,9 +193,30 @@ class MergeVocabulary:
                 run = i + 1
         return ids + self._run_ids(segment[run:])
 
+    def mark_tokens(self, n: int) -> list[str]:
+        """Tokens of a run of space marks."""
+        last, lengths = [0] * (n + 1), self.mark_lengths
+        for end in range(1, n + 1):
+            size = 1
+            while (before := last[end - size]) and before + size in lengths:
+                size += before
+            last[end] = size
+        out = []
+        while n:
+            out.append(SPACE * last[n])
+            n -= last[n]
+        return out[::-1]
+
     def _run_ids(self, run: str) -> list[int]:
-        # Runs of space marks all rank alike, so position decides: merge one by one.
-        parts = self.merged(run) if SPACE + SPACE in run else self.tokens(run)
+        if not run.startswith(SPACE + SPACE):
+            parts = self.tokens(run)
+        elif self.mark_lengths:
+            word = run.lstrip(SPACE)
+            marks = len(run) - len(word)
+            parts = self.tokens(SPACE + word) if word else [SPACE]
+            parts = self.mark_tokens(marks - (parts[0] != SPACE)) + parts[parts[0] == SPACE :]
+        else:
+            parts = self.merged(run)
         return [self.id[p] for p in parts]
 
     def text_of(self, ids: list[int]) -> str:
@@ -183,7 +238,7 @@ class MergeVocabulary:
 class Segments(dict):
     """What is remembered of a segment: (number of ids, ids as text, decoded text).
 
-    Two generations: when the young one is full it becomes the old one, and what
+    Long segments are not remembered. Two generations: when the young one is full it becomes the old one, and what
     is asked for again comes back from there.
     """
 
@@ -199,7 +254,8 @@ class Segments(dict):
         if found is None:
             ids = self.vocabulary.segment_ids(segment)
             found = len(ids), ",".join(map(str, ids)), self.vocabulary.text_of(ids)
-        self[segment] = found
+        if len(segment) <= KNOWN_LENGTH:
+            self[segment] = found
         return found
 
 

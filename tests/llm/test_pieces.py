@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 import sentencepiece
@@ -30,6 +31,32 @@ def test_fixed_cases(text):
     same(text)
 
 
+@given(st.lists(st.tuples(st.integers(0, 70), st.sampled_from(["a", "the", "7", "\n", "é", "雪", "", "/*", "▁"])), max_size=6))
+@settings(max_examples=600, deadline=None)
+def test_runs_of_spaces(runs):
+    same("".join(" " * n + word for n, word in runs))
+
+
+def test_long_runs_take_time_in_proportion():
+    started = time.monotonic()
+    same(" " * 1_000_000)
+    same("x" + " " * 300_000 + "hello" + " " * 200_001 + "雪")
+    assert time.monotonic() - started < 10
+
+
+@given(st.text("ab ", max_size=30).map(lambda t: t.replace(" ", "▁")), st.integers(1, 3))
+@settings(max_examples=300, deadline=None)
+def test_merging_takes_the_best_pair_and_the_leftmost_of_equals(text, least):
+    vocab, parts = vocabulary(PIECE_BPE), list(text)
+    while len(parts) > least:
+        pairs = [(vocab.order[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in vocab.order]
+        if not pairs:
+            break
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    assert vocab.merged(text, least) == parts
+
+
 @given(st.lists(st.integers(0, 31_999), max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_compatible_is_what_merging_gives(ids):
