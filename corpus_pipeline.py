@@ -31,7 +31,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold."""
+    """Documents below the toxicity threshold.
+
+    A null or empty text has the score of a text without n-grams. Rows are scored one by
+    one: repeated rows and null ids stay as they are, an empty table gives no rows, extra
+    columns are dropped, whatever their names. Learns from the documents that labels name.
+    """
     model = learned(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     scored = score(docs, model, passed=COLUMNS)
     return scored.filter(F.col("toxicity") < THRESHOLD).select(*COLUMNS)
@@ -40,17 +45,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8).
 
-    The smallest id stays; of rows that repeat an id one stays. Rows with a null id
-    are in no group and stay.
+    The smallest id stays. Rows of one id with different texts are different documents:
+    each is grouped by its own text, and of a group's rows of the smallest id the one with
+    the least hash of its text stays. Repeated rows are one group. Rows without words or
+    with a null id are in no group and stay. An empty table gives no rows; extra columns
+    are dropped, whatever their names.
     """
-    kept = near_duplicates(docs, words_per_shingle=5).filter("kept and doc_id is not null")
-    with_id = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    with_id = with_id.dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    rows = docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "rows")  # numbers stay the same when a task is run again
+    groups = near_duplicates(
+        rows.filter("doc_id is not null"), words_per_shingle=5, id_col="row"
+    ).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct("doc_id", F.xxhash64("text").alias("hash"), "row"))
+    kept = rows.join(groups, "row").groupBy("component_id").agg(first.alias("first"))
+    stay = rows.join(kept.select("first.row"), "row", "left_semi")
+    return stay.unionByName(rows.filter("doc_id is null")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the kept documents in sequences of 2048 tokens."""
+    """The pieces of the kept documents in sequences of 2048 tokens.
+
+    A null or empty text is the end mark alone. Repeated rows and null ids are packed as
+    often as they occur, an empty table gives no rows.
+    """
     return pack_documents(docs, WORD_BPE)
 
 
