@@ -57,3 +57,25 @@ def test_edge_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, MIDDLE)
     assert empty.count() == 0
+
+
+def test_different_texts_of_one_id_stay(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, component_id int"
+    one, two, other = ("".join(f"{w}{i} " for i in range(60)) for w in "abc")
+    near = one + "more"
+    rows = [(3, one), (5, near), (5, two), (5, two), (8, two), (9, other), (9, ""), (None, one), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, 1) for i, t in rows], schema)
+    got = corpus_pipeline.near_duplicate(spark, docs, MIDDLE)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [(3, one), (5, two), (9, other), (9, ""), (None, one), (2, None)]
+    assert sorted((r.doc_id or 0, r.text or "-") for r in got.collect()) == sorted((i or 0, t or "-") for i, t in want)
+
+
+def test_long_text_passes_the_stages(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, f"the quiet dog number {i} and the cat " * 3, "en", "s", 9) for i in range(30)]
+    rows.append((50, " ".join(f"the quiet dog and cat {i % 977} {i}" for i in range(40_000)), "en", "s", 9))
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, MIDDLE), "test")
+    assert docs.filter("doc_id = 50").count() > 1
