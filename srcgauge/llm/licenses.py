@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 GPL = r"(gnu )?(general public license|gpl)"
 LGPL = r"(gnu )?(lesser|library) general public license|(gnu )?lgpl"
 AGPL = r"(gnu )?affero general public license|(gnu )?agpl"
+#: What follows the version where later ones are allowed.
+LATER = r"(.{0,80}any later version|( of the licen[sc]e)?,? or (any )?(later|newer)|(\.0)?(\+|-or-later))"
+
+
+def _version(names: str, number: str) -> str:
+    """A licence and its version, close by or after some words."""
+    return rf"({names})([ -]?|.{{0,80}}\b)(v\.? ?|version )?{number}"
 
 #: Known sentences: (identifier, pattern on the normalised sentence), first match wins.
 SENTENCES: list[tuple[str, str]] = [
@@ -22,12 +29,29 @@ SENTENCES: list[tuple[str, str]] = [
     ("ApacheObtain", r"you may obtain a copy of the license at"),
     ("ApacheUnless", r"unless required by applicable law or agreed to in writing"),
     ("ApacheLimits", r"see the license for the specific language governing permissions"),
-    ("Apache2", r"apache (software )?license,? v(ersion )?2|apache 2(\.0)? license|apache-2\.0"),
+    ("Apache2", r"apache (software |public )?licen[sc]e,? ?(v\.? ?|version )?2(\.0)?\b"
+                r"|apache[ -]?(v\.? ?|version )?2(\.0)? licen[sc]e|\bapache-2\.0"
+                r"|(licen[sc]ed|released|distributed|available) under (the )?apache[ -]?2(\.0)?\b"),
     ("MitGrant", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
     ("MitNotice", r"above copyright notice and this permission notice shall be included"),
     ("IscGrant", r"permission to use,? copy,? modify,? and/?(or)? distribute this software for any purpose"),
-    ("AsIs", r"(software|program|library|work) is provided .{0,40}as is"),
-    ("NoLiability", r"in no event shall .{0,200}(be )?liable"),
+    ("IscName", r"\bisc licen[sc]e"),
+    ("BoostGrant", r"permission is hereby granted,? free of charge,? to any person or organization obtaining"),
+    ("BoostNotice", r"copyright notices in the software and this entire statement"),
+    ("Boost1", r"boost software licen[sc]e|\bbsl-1\.0"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose"),
+    ("ZlibOrigin", r"origin of this software must not be misrepresented"),
+    ("ZlibAltered", r"altered source versions must be plainly marked as such"),
+    ("ZlibNotice", r"this notice may not be removed or altered from any source distribution"),
+    ("ZlibName", r"\bzlib(/libpng)? licen[sc]e"),
+    ("WtfplTerms", r"you just do what the fuck you want to"),
+    ("Wtfpl", r"do what the fuck you want to public licen[sc]e|\bwtfpl\b"),
+    ("Artistic2", r"artistic licen[sc]e,? ?(v\.? ?|version )?2|\bartistic-2\.0"),
+    ("Artistic1", r"artistic licen[sc]e,? ?(v\.? ?|version )?1|\bartistic-1\.0|(perl|original) artistic licen[sc]e"),
+    ("Ofl11", r"sil open font licen[sc]e,? ?(v\.? ?|version )?1\.1|\bofl-1\.1"),
+    ("Cddl1", r"common development and distribution licen[sc]e.{0,20}(v\.? ?|version )?1\.0|\bcddl-1\.0"),
+    ("AsIs", r"(software|program|library|work) is provided .{0,40}as[ -]is"),
+    ("NoLiability", r"in no event (shall|will) .{0,200}(be )?(held )?liable"),
     ("Mit", r"\b(mit|expat|x11)( ?/ ?x11)? licen[sc]e|licensed under (the )?(terms of (the )?)?mit\b"),
     ("BsdGrant", r"redistribution and use in source and binary forms,? with or without modification"),
     ("BsdSource", r"redistributions of source code must retain the above copyright notice"),
@@ -35,20 +59,24 @@ SENTENCES: list[tuple[str, str]] = [
     ("BsdNames", r"neither the name of .{0,200}may be used to endorse or promote products"),
     ("Bsd3", r"bsd[ -]3[ -]clause|(3|three)[ -]clause bsd|\b(new|modified) bsd licen[sc]e"),
     ("Bsd2", r"bsd[ -]2[ -]clause|(2|two)[ -]clause bsd|\b(simplified bsd|freebsd) licen[sc]e"),
-    ("Agpl3Later", rf"({AGPL}).{{0,120}}version 3.{{0,80}}any later version"),
-    ("Agpl3", rf"({AGPL}).{{0,80}}\b(v|version )?3"),
-    ("Lgpl3Later", rf"({LGPL}).{{0,120}}version 3.{{0,80}}any later version"),
-    ("Lgpl21Later", rf"({LGPL}).{{0,120}}version 2\.1.{{0,80}}any later version"),
-    ("Lgpl3", rf"({LGPL}).{{0,80}}\b(v|version )?3"),
-    ("Lgpl21", rf"({LGPL}).{{0,80}}\b(v|version )?2\.1"),
+    ("Agpl3Later", _version(AGPL, "3") + LATER),
+    ("Agpl3", _version(AGPL, "3")),
+    ("Lgpl3Later", _version(LGPL, "3") + LATER),
+    ("Lgpl21Later", _version(LGPL, r"2\.1") + LATER),
+    ("Lgpl2Later", _version(LGPL, "2") + LATER),
+    ("Lgpl3", _version(LGPL, "3")),
+    ("Lgpl21", _version(LGPL, r"2\.1")),
+    ("Lgpl2", _version(LGPL, "2")),
     ("GplNoWarranty", r"without any warranty"),
     ("GplReceived", r"you should have received a copy of the gnu"),
-    ("Gpl3Later", rf"{GPL}.{{0,120}}version 3.{{0,80}}any later version"),
-    ("Gpl2Later", rf"{GPL}.{{0,120}}version 2.{{0,80}}any later version"),
-    ("Gpl3", rf"{GPL}.{{0,80}}\b(v|version )?3"),
-    ("Gpl2", rf"{GPL}.{{0,80}}\b(v|version )?2"),
-    ("Mpl2", r"mozilla public license,? (v|version )?\.? ?2"),
-    ("Epl2", r"eclipse public license,? (- )?(v|version )?2"),
+    ("Gpl3Later", _version(GPL, "3") + LATER),
+    ("Gpl2Later", _version(GPL, "2") + LATER),
+    ("Gpl3", _version(GPL, "3")),
+    ("Gpl2", _version(GPL, "2")),
+    ("Mpl2", r"mozilla public licen[sc]e,? ?(v|version )?\.? ?2|\bmpl[ -]?(v\.? ?|version )?2"),
+    ("Mpl11", r"mozilla public licen[sc]e,? ?(v|version )?\.? ?1\.1|\bmpl[ -]?(v\.? ?|version )?1\.1"),
+    ("Epl2", r"eclipse public licen[sc]e,? ?(- )?(v|version )?\.? ?2|\bepl[ -]?(v\.? ?|version )?2"),
+    ("Epl1", r"eclipse public licen[sc]e,? ?(- )?(v|version )?\.? ?1|\bepl[ -]?(v\.? ?|version )?1"),
     ("Cc0", r"\bcc0\b|creative commons zero"),
     ("Unlicense", r"free and unencumbered software released into the public domain"),
     ("PublicDomain", r"(released|placed|dedicated|is) (in|into|to) the public domain"),
@@ -78,7 +106,10 @@ for _letters in sorted(CC_PARTS, key=len, reverse=True):
 RULES: list[tuple[str, str]] = [
     ("Apache-2.0", "( Apache2 )?( ApacheMayNotUse )( ApacheObtain )?( Apache2 )?( ApacheUnless )?( ApacheLimits )?"),
     ("MIT", "( Mit )?( MitGrant )( MitNotice )?( AsIs )?( NoLiability )?"),
-    ("ISC", "( IscGrant )( AsIs )?( NoLiability )?"),
+    ("ISC", "( IscName )?( IscGrant )( AsIs )?( NoLiability )?"),
+    ("BSL-1.0", "( Boost1 )?( BoostGrant )( BoostNotice )?( AsIs )?( NoLiability )?"),
+    ("Zlib", "( ZlibName )?( AsIs )?( NoLiability )?( ZlibGrant )?( ZlibOrigin )( ZlibAltered )?( ZlibNotice )?"),
+    ("WTFPL", "( Wtfpl ){0,2}( WtfplTerms )"),
     ("BSD-3-Clause", "( Bsd3 )?( BsdGrant )( BsdSource )( BsdBinary )( BsdNames )( AsIs )?( NoLiability )?"),
     ("BSD-2-Clause", "( Bsd2 )?( BsdGrant )( BsdSource )( BsdBinary )( AsIs )?( NoLiability )?"),
     ("AGPL-3.0-or-later", "( Agpl3Later )( GplNoWarranty )?( GplReceived )?"),
@@ -86,17 +117,29 @@ RULES: list[tuple[str, str]] = [
     ("GPL-2.0-or-later", "( Gpl2Later )( GplNoWarranty )?( GplReceived )?"),
     ("LGPL-3.0-or-later", "( Lgpl3Later )( GplNoWarranty )?( GplReceived )?"),
     ("LGPL-2.1-or-later", "( Lgpl21Later )( GplNoWarranty )?( GplReceived )?"),
+    ("LGPL-2.0-or-later", "( Lgpl2Later )( GplNoWarranty )?( GplReceived )?"),
     ("AGPL-3.0-only", "( Agpl3 )( GplNoWarranty )?( GplReceived )?"),
     ("LGPL-3.0-only", "( Lgpl3 )( GplNoWarranty )?( GplReceived )?"),
     ("LGPL-2.1-only", "( Lgpl21 )( GplNoWarranty )?( GplReceived )?"),
+    ("LGPL-2.0-only", "( Lgpl2 )( GplNoWarranty )?( GplReceived )?"),
     ("GPL-3.0-only", "( Gpl3 )( GplNoWarranty )?( GplReceived )?"),
     ("GPL-2.0-only", "( Gpl2 )( GplNoWarranty )?( GplReceived )?"),
     ("Apache-2.0", "( Apache2 )"),
     ("MIT", "( Mit )"),
     ("BSD-3-Clause", "( Bsd3 )"),
     ("BSD-2-Clause", "( Bsd2 )"),
+    ("ISC", "( IscName )"),
+    ("BSL-1.0", "( Boost1 )"),
+    ("Zlib", "( ZlibName )"),
+    ("WTFPL", "( Wtfpl )"),
+    ("Artistic-2.0", "( Artistic2 )"),
+    ("Artistic-1.0", "( Artistic1 )"),
+    ("OFL-1.1", "( Ofl11 )"),
+    ("CDDL-1.0", "( Cddl1 )"),
     ("MPL-2.0", "( Mpl2 )"),
+    ("MPL-1.1", "( Mpl11 )"),
     ("EPL-2.0", "( Epl2 )"),
+    ("EPL-1.0", "( Epl1 )"),
     ("CC0-1.0", "( Cc0 )"),
     ("Unlicense", "( Unlicense )"),
     ("LicenseRef-public-domain", "( PublicDomain )"),
@@ -111,7 +154,8 @@ RULES: list[tuple[str, str]] = [
 TRIGGER = (
     "licen[sc]e|spdx|copyright|permission|warranty|redistribution|liable|endorse|gpl|apache|bsd"
     "|is provided|public domain|all rights reserved|cc[ -]by|cc0|creative commons"
-    "|received a copy|applicable law|free and unencumbered"
+    "|received a copy|applicable law|free and unencumbered|removed or altered|misrepresented|plainly marked"
+    "|you just do what|wtfpl|mpl|epl|cddl|ofl-1|artistic-|bsl-1"
 )
 #: The same on a text that is not normalised: anything may stand between its words.
 BETWEEN = "[^a-z0-9.,:+/-]+"
@@ -148,6 +192,8 @@ SHARED_NAME = (
 def _gnu_pattern(name: str, pattern: str) -> str:
     version = next(v for v in ("21", "2", "3") if v in name)
     own = {"21": r"2\.1", "2": r"2(?!\.1)", "3": "3"}[version]
+    if version == "2":
+        pattern = pattern.replace("version )?2", "version )?2(?!\\.1)")
     between = rf"(?:(?!{OTHER_NAME}|\b(?:v|version )(?!{own})[0-9])[^\ue000-\ue0ff])"
     pattern = pattern.replace("(gnu )?", "")
     if name.startswith("Gpl"):
@@ -155,9 +201,7 @@ def _gnu_pattern(name: str, pattern: str) -> str:
             "(general public license|gpl)",
             "(?:(?<!lesser )(?<!library )(?<!affero )general public license|(?<![al])gpl)",
         )
-    for width in ("80", "120"):
-        pattern = pattern.replace(f".{{0,{width}}}", f"{between}{{0,{width}}}?")
-    return pattern
+    return pattern.replace(".{0,80}", f"{between}{{0,80}}?")
 
 
 #: Patterns as they are looked for in a sentence that may hold several.
@@ -169,9 +213,10 @@ ALL_PATTERNS = {
     else pattern
     for name, pattern in SENTENCES
 }
-#: Ends of sentences: a mark and white space, an empty line, or a colon before a list.
+#: Ends of sentences: a mark and white space, an empty line, or a colon before a list. A
+#: semicolon ends none: licence notices go on behind it.
 SENTENCE_END = (
-    r"([.!?;][ \t\n\r\f]+|\n[ \t\r]*\n[ \t\n\r\f]*"
+    r"([.!?][ \t\n\r\f]+|\n[ \t\r]*\n[ \t\n\r\f]*"
     r"|:[ \t\r]*\n[ \t\n\r\f]*(?=(?:[*+\u2022-]|\(?[0-9a-z]{1,3}[.)])[ \t]))"
 )
 #: A mark that ends no sentence.

@@ -44,10 +44,12 @@ def _license_scan() -> str:
     return rf"""
 with cut as (
   select doc_id, row_number() over () as r, list_transform(
-    string_split(regexp_replace(regexp_replace(
+    string_split(regexp_replace(regexp_replace(regexp_replace(
       translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
       '([^a-z0-9])v\.[ \t\n\r\f]+([0-9])', '\1v \2', 'g'),
-      '([.!?;]|\n[ \t\r]*\n)[ \t\n\r\f]+', '\1' || chr(30), 'g'), chr(30)),
+      '([.!?][ \t\n\r\f]+|\n[ \t\r]*\n[ \t\n\r\f]*)', '\1' || chr(30), 'g'),
+      '(:[ \t\r]*\n[ \t\n\r\f]*)((?:[*+•-]|\(?[0-9a-z]{{1,3}}[.)])[ \t])', '\1' || chr(30) || '\2', 'g'),
+      chr(30)),
     lambda s: trim(regexp_replace(s, '[^a-z0-9.,:+/-]+', ' ', 'g'))) as parts
   from documents
 ), asked as (

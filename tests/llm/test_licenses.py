@@ -91,3 +91,95 @@ def test_bulleted_licence(frame, gap):
 def test_an_empty_line_ends_a_sentence(frame):
     row = license_scan(frame([(1, "The licence of poets\n\nCopyright 2001")])).first()
     assert row.n_unknown == 2
+
+
+GNU_NOTICE = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU {} as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {} for more details.
+
+You should have received a copy of the GNU {}
+along with this program; if not, see the licenses' page.
+"""
+ONLY = "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event
+will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial
+applications, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote it.
+2. Altered source versions must be plainly marked as such.
+3. This notice may not be removed or altered from any source distribution."""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the
+software and accompanying documentation covered by this license to use it. The copyright notices in
+the Software and this entire statement must be included in all copies. THE SOFTWARE IS PROVIDED "AS
+IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE COPYRIGHT HOLDERS BE LIABLE FOR ANY DAMAGES."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or
+without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS". IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software is distributed on an "AS IS"
+BASIS. See the License for the specific language governing permissions and limitations."""
+
+
+def gnu(name, version):
+    return GNU_NOTICE.format(name, version, name, name)
+
+
+NOTICES = [
+    (gnu("General Public License", "2"), "GPL-2.0-or-later"),
+    (gnu("General Public License", "3"), "GPL-3.0-or-later"),
+    (gnu("Lesser General Public License", "2.1"), "LGPL-2.1-or-later"),
+    (gnu("Lesser General Public License", "3"), "LGPL-3.0-or-later"),
+    (gnu("Library General Public License", "2"), "LGPL-2.0-or-later"),
+    (gnu("Affero General Public License", "3"), "AGPL-3.0-or-later"),
+    (ONLY, "GPL-2.0-only"),
+    (ZLIB, "Zlib"),
+    (BOOST, "BSL-1.0"),
+    (ISC, "ISC"),
+    (APACHE, "Apache-2.0"),
+    ("Licensed under the Apache License 2.0", "Apache-2.0"),
+    ("Licensed under the Apache License v2.0.", "Apache-2.0"),
+    ("The Apache server of 2004 has a licence.", ""),
+    ("License: GPLv2+", "GPL-2.0-or-later"),
+    ("License: GPLv2", "GPL-2.0-only"),
+    ("License: GPL-3.0-or-later", "GPL-3.0-or-later"),
+    ("Released under GPL version 2 or later.", "GPL-2.0-or-later"),
+    ("License: LGPLv2.1+", "LGPL-2.1-or-later"),
+    ("License: LGPLv3", "LGPL-3.0-only"),
+    ("License: AGPLv3+", "AGPL-3.0-or-later"),
+    ("Under the GPL v3 or the Apache License 2.0.", "Apache-2.0,GPL-3.0-only"),
+    ("Under the zlib License.", "Zlib"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("Under the ISC license", "ISC"),
+    ("Under the Artistic License 2.0", "Artistic-2.0"),
+    ("Under the original Artistic License", "Artistic-1.0"),
+    ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n\n 0. You just DO WHAT THE FUCK YOU WANT TO.", "WTFPL"),
+    ("Under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("Mozilla Public License Version 1.1", "MPL-1.1"),
+    ("Eclipse Public License - v 1.0", "EPL-1.0"),
+]
+
+
+def test_standard_notices_and_short_names(frame):
+    rows = license_scan(frame([(i, text) for i, (text, _) in enumerate(NOTICES)])).collect()
+    got = {r.doc_id: r.licenses for r in rows}
+    assert [(t[:40], got[i]) for i, (t, _) in enumerate(NOTICES)] == [(t[:40], want) for t, want in NOTICES]
+
+
+def test_a_semicolon_ends_no_sentence(frame):
+    row = license_scan(frame([(1, gnu("General Public License", "2"))])).first()
+    assert row.sentence_ids == "Gpl2Later GplNoWarranty GplReceived"
