@@ -9,8 +9,8 @@
    and of the article around them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
-are left out by their tags, roles and class words in both passes; a class word does
-not count where it would leave out the page's text itself.
+are left out by their tags, roles and class words in both passes; a class word, or a
+form around the page, does not count where it would leave out the page's text itself.
 """
 
 from __future__ import annotations
@@ -60,20 +60,30 @@ ENDS = {
 #: Open tags beyond which a start tag ends nothing.
 SCOPE = frozenset("ul ol dl table td th div section article main body aside".split())
 BOILERPLATE_TAGS = frozenset(
-    "head nav header footer aside form menu dialog button select svg object audio video canvas"
+    "head nav header footer aside menu dialog button label select svg object audio video canvas"
     .split()
 )
 BOILERPLATE_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alert alertdialog menu"
+    "navigation banner contentinfo complementary search dialog alert alertdialog menu"
     " menubar toolbar".split()
 )
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment"
-    " comments consent cookie cookies disqus footer header masthead menu modal nav navbar"
-    " navigation newsletter notice notices pager pagination popup promo promoted promotion"
-    " related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget"
+    "ad ads adsbygoogle adsense adslot adunit advert adverts advertisement advertising banner"
+    " breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead"
+    " menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup"
+    " promo promoted promotion related replies reply respond discussion share sharing sidebar"
+    " signup social sponsor sponsored subscribe taboola toolbar widget".split()
+)
+#: Of these, words that an article's own parts are named with too: there, as a part of a
+#: name, they count only where most of the text is links.
+EVERYDAY_WORDS = frozenset(
+    "banner discussion header notice notices promotion related reply respond share sharing social"
     .split()
 )
+#: An article element of such a class or id is a reader's comment.
+COMMENT_WORDS = frozenset("comment comments replies reply".split())
+#: Elements that text is written in, other than containers.
+WRITTEN = frozenset("h1 h2 h3 p article blockquote".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
@@ -83,6 +93,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 DIGITS = re.compile(r"\d+")
 WORDS = re.compile(r"[a-z]+")
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
@@ -99,6 +112,9 @@ class Node:
     #: Letters inside that no tag or role leaves out; whether a main heading is there.
     letters: int = 0
     headed: bool = False
+    #: Of the letters those in links; whether a heading or paragraph is there.
+    linked: int = 0
+    written: bool = False
     container: Node | None = None
     link: bool = False
     #: A container's outer one.
@@ -118,8 +134,8 @@ class Page:
     #: Per block its container, and whether most of it is no link.
     holders: list[Node] = field(default_factory=list)
     plain: list[bool] = field(default_factory=list)
-    #: Elements left out by a class word: (element, whether the word is a whole class or id).
-    doubted: list[tuple[Node, bool]] = field(default_factory=list)
+    #: Elements left out by a class word, or as forms: (element, how much that says).
+    doubted: list[tuple[Node, int]] = field(default_factory=list)
     #: Kept letters inside article or main elements.
     in_articles: int = 0
 
@@ -129,9 +145,9 @@ class Page:
         return found if found is not None and found.score > 0 else None
 
     def text(self, nodes: list[Node]) -> str:
-        """The text of containers: of the outermost article or main element around each;
-        without one also what the containers around it hold themselves and is no link,
-        and the sections beside a section."""
+        """The text of containers: of the outermost article or main element around each
+        and the articles beside it; without one also what the containers around it hold
+        themselves and is no link, and the sections beside a section."""
         keep = bytearray(len(self.blocks))
         around: set[Node] = set()
         of_sections: set[Node] = set()
@@ -143,6 +159,11 @@ class Page:
                 if inner.tag == "section":
                     of_sections.add(outer)
                 inner, outer = outer, outer.outer
+        tops = dict.fromkeys(n.article for n in nodes if n.article is not None)
+        beside = {t.outer for t in tops if t.tag == "article"}
+        for c in self.containers if beside else []:
+            if c.tag == "article" and c.outer in beside and 2 * c.linked <= c.letters:
+                keep[c.first : c.last] = b"\1" * (c.last - c.first)
         sections: set[Node] = set()
         for c in self.containers if of_sections else []:
             if c.outer in sections or c.tag == "section" and c.outer in of_sections:
@@ -153,16 +174,27 @@ class Page:
         return "\n".join(b for b, kept in zip(self.blocks, keep, strict=True) if kept)
 
     def excused(self) -> set[str]:
-        """Paths of the elements that a class word leaves out although they hold most of
-        the page's text: with the word in a part of the name, if no article is elsewhere;
-        with the word as a name, if the main heading is there too."""
-        half = self.containers[0].letters / 2
-        return {
-            n.path
-            for n, whole in self.doubted
-            if n.letters > half
-            and (n.headed if whole else n.article is not None or not self.in_articles)
-        }
+        """Paths of the elements that a class word leaves out although they hold the text.
+
+        They hold most of the page's letters, and: with the word in a part of the name, no
+        article is elsewhere; with the word as a name, the main heading is there too; for a
+        form, the main heading, or what is written if neither is elsewhere. Or they are in an
+        article, an everyday word is a part of their name and at most half are links."""
+        root = self.containers[0]
+        out = set()
+        for n, doubt in self.doubted:
+            alone = n.article is not None or not self.in_articles
+            most = n.letters > root.letters / 2
+            if doubt == EVERYDAY:
+                good = 2 * n.linked <= n.letters
+            elif doubt == PART:
+                good = most and alone
+            else:
+                plain = doubt == FORM and n.written and not root.headed and not self.in_articles
+                good = most and (n.headed or plain)
+            if good:
+                out.add(n.path)
+        return out
 
     def on_path(self, path: str) -> list[Node]:
         return [c for c in self.containers if c.path == path]
@@ -173,21 +205,50 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
-def _by_tag(tag: str, attributes: dict[str, str]) -> bool:
+def _by_tag(tag: str, attributes: dict[str, str], article: Node | None) -> bool:
+    if tag == "header" and article is not None:
+        return False  # an article's title
     return tag in BOILERPLATE_TAGS or attributes.get("role", "").lower() in BOILERPLATE_ROLES
 
 
-def _by_word(tag: str, attributes: dict[str, str]) -> int:
-    """2: a whole class or id is made of listed words, 1: a part of one, 0: none is."""
-    if tag in ("html", "body", "main", "article") or not attributes:
+#: Why an element is doubted: an everyday word inside an article, a listed word as a
+#: part of a class or id, as the whole of it (or an element that is not shown), a form.
+EVERYDAY, PART, WHOLE, FORM = 1, 2, 3, 4
+
+
+def _by_word(tag: str, attributes: dict[str, str], article: Node | None) -> int:
+    """How a listed word says that an element is no part of the text, 0 if none does."""
+    if tag in ("html", "body", "main") or not attributes:
         return 0
     found = 0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         words = WORDS.findall(name)
-        if words and BOILERPLATE_WORDS.issuperset(words):
-            return 2
-        found |= not BOILERPLATE_WORDS.isdisjoint(words)
-    return int(found)
+        if tag == "article":
+            found = max(found, 0 if COMMENT_WORDS.isdisjoint(words) else WHOLE)
+            continue
+        listed = [w for w in words if w in BOILERPLATE_WORDS]
+        if article is not None and "header" in listed:
+            listed.remove("header")
+        if not listed:
+            continue
+        if len(listed) == len(words):
+            return WHOLE
+        everyday = article is not None and EVERYDAY_WORDS.issuperset(listed)
+        found = max(found, EVERYDAY if everyday else PART)
+    return found
+
+
+def _doubt(tag: str, rest: str, attributes: dict[str, str], article: Node | None, by_words: bool) -> int:
+    if tag == "form" or attributes.get("role", "").lower() == "form":
+        return FORM
+    if not by_words or not rest or tag in ("html", "body"):
+        return 0
+    lower = rest.lower()
+    if "hidden" in lower and HIDDEN.search(QUOTED.sub("", rest)):
+        return WHOLE
+    if "style" in attributes and UNSEEN.search(attributes["style"]):
+        return WHOLE
+    return _by_word(tag, attributes, article)
 
 
 def read_page(source: str, winners: list[str] | tuple[str, ...] = ()) -> Page:
@@ -230,7 +291,9 @@ def _walk(source: str, winners, excused: set[str] | frozenset[str], by_words: bo
             top.last = len(page.blocks)
             top.outer.score += PASSED_ON * top.score
         top.parent.letters += top.letters
+        top.parent.linked += top.linked
         top.parent.headed |= top.headed
+        top.parent.written |= top.written
         return top.parent
 
     at, end = 0, len(source)
@@ -240,6 +303,8 @@ def _walk(source: str, winners, excused: set[str] | frozenset[str], by_words: bo
         if stop > at and not node.hard:
             letters = sum(map(len, source[at:stop].split()))
             node.letters += letters
+            if node.link:
+                node.linked += letters
             if node.article is not None and not node.skipped:
                 page.in_articles += letters
         if stop > at and not node.skipped:
@@ -297,8 +362,8 @@ def _walk(source: str, winners, excused: set[str] | frozenset[str], by_words: bo
         attributes = (
             {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if "=" in rest else {}
         )
-        hard = node.hard or _by_tag(tag, attributes)
-        word = 0 if hard or not by_words else _by_word(tag, attributes)
+        hard = node.hard or _by_tag(tag, attributes, node.article)
+        word = 0 if hard else _doubt(tag, rest, attributes, node.article, by_words)
         path = node.path
         if block or word:
             classes = sorted({DIGITS.sub("#", c) for c in attributes.get("class", "").split()})
@@ -312,15 +377,16 @@ def _walk(source: str, winners, excused: set[str] | frozenset[str], by_words: bo
             container=node.container, link=node.link or tag == "a",
         )
         node.headed = tag == "h1" and not hard
+        node.written = tag in WRITTEN and not hard
         if word:
-            page.doubted.append((node, word == 2))
+            page.doubted.append((node, word))
         if tag in CONTAINER and not node.skipped:
             node.outer = node.container
             node.container = node
             node.first = len(page.blocks)
             page.containers.append(node)
             holder = node
-        if node.article is None and tag in ("article", "main"):
+        if node.article is None and tag in ("article", "main") and not word:
             node.article = node
     close_block()
     while node.parent is not None:
@@ -365,7 +431,8 @@ def extract(source: str, winners: list[str]) -> str:
         if text:
             return text
     best = page.best()
-    return page.text([best]) if best is not None else ""
+    # Without a best container all that is kept is links: then these are the text.
+    return page.text([best]) if best is not None else "\n".join(page.blocks)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

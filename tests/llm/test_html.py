@@ -122,3 +122,50 @@ def test_what_stands_beside_the_body_stays(spark, html, text):
     rows = [page("http://a.org/", "<body>" + html.format(LONG)) for _ in range(3)]
     found = main_text(frame(spark, rows)).collect()
     assert [r.text for r in found] == [text.format(LONG)] * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<form id=aspnet><div><h1>Hi</h1><p>one</p><p>two<input></p><select><option>x</select></div></form>", "Hi\none\ntwo"),
+        ("<form><article><h1>Hi</h1><p>one</p></article><div class=sidebar>side</div></form>", "Hi\none"),
+        ("<form><div><p>no heading, only text</p></div></form>", "no heading, only text"),
+        ("<article><h1>Hi</h1><p>one</p><form><p>write to us<input></form></article>", "Hi\none"),
+        ("<h1>Hi</h1><p>one</p><form><p>a form of more words than the text has</p></form>", "Hi\none"),
+        ("<nav>menu</nav><form><label>find</label><input></form>", ""),
+        ("<article><header><h1>Title</h1><p>By me</p></header><p>text</p></article>", "Title\nBy me\ntext"),
+        ("<article><div class=entry-header><h1>Title</h1></div><p>text</p></article>", "Title\ntext"),
+        ("<header><h1>Site</h1></header><article><p>text</p></article><footer>end</footer>", "text"),
+        ("<article class=a><p>first text</p></article><article class=b><p>second</p></article>", "first text\nsecond"),
+        ("<article class=a><p>first text</p></article><article class=teaser><a href=/>more of it</a></article>", "first text"),
+        ("<div><p><a href=/a>one</a></p><p><a href=/b>two</a></p></div>", "one\ntwo"),
+        ("<article><p>text</p><p class=share-price>It costs 12.</p></article>", "text\nIt costs 12."),
+        ("<article><p>text</p><section id=related-work><h2>Work</h2><p>of others</p></section></article>", "text\nWork\nof others"),
+        ("<article><p>text</p><div class=related-posts><a href=/>another one</a></div></article>", "text"),
+        ("<article><p>text</p><div class=share-bar>Share <a href=/>Facebook</a> <a href=/>by mail</a></div></article>", "text"),
+        ("<article><p>text</p><div class=replies><p>said</p></div></article>", "text"),
+        ("<div class=post><p>the text</p></div><div class=discussion><p>said</p></div>", "the text"),
+        ("<article><p>text</p><article class='comment depth-1'><p>said</p></article></article>", "text"),
+        ("<article><p>text</p><div class=adslot>buy</div><div class=outbrain>buy</div></article>", "text"),
+        ("<article><p>text</p><p hidden>no</p><div style='display: none'>no</div><p data-hidden=x>yes</p></article>", "text\nyes"),
+        ("<div style='visibility:hidden'><h1>T</h1><p>shown by a script</p></div>", "T\nshown by a script"),
+        ("<article><p title='a hidden thing'>text</p></article>", "text"),
+    ],
+)
+def test_layouts(html, text):
+    assert extract("<body>" + html, []) == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article><header><h1>T{0}</h1></header><div class=body><p>one {0}</p><div class=box><p>two</p></div></div></article>",
+        "<main><section class=a><h1>T{0}</h1><p>one {0}</p></section><section class=b><p>two</p></section></main>",
+        "<form><div class=page><h1>T{0}</h1><p>one {0}</p><table><tr><td>two</table></div></form>",
+    ],
+)
+def test_containers_inside_articles_of_a_host(spark, html):
+    around = "<body><nav>menu</nav>{}<footer>end</footer></body>"
+    rows = [page("http://a.org/", around.format(html.format(i))) for i in range(5)]
+    found = main_text(frame(spark, rows)).orderBy("page_id").collect()
+    assert [r.text for r in found] == [f"T{i}\none {i}\ntwo" for i in range(5)]
