@@ -155,7 +155,7 @@ TRIGGER = (
     "licen[sc]e|spdx|copyright|permission|warranty|redistribution|liable|endorse|gpl|apache|bsd"
     "|is provided|public domain|all rights reserved|cc[ -]by|cc0|creative commons"
     "|received a copy|applicable law|free and unencumbered|removed or altered|misrepresented|plainly marked"
-    "|you just do what|wtfpl|mpl|epl|cddl|ofl-1|artistic-|bsl-1"
+    r"|you just do what|wtfpl|\bmpl|\bepl|\bcddl|\bofl-1|\bartistic-|\bbsl-1"
 )
 #: The same on a text that is not normalised: anything may stand between its words.
 BETWEEN = "[^a-z0-9.,:+/-]+"
