@@ -48,7 +48,7 @@ class Dialect:
 
     @property
     def line_start(self) -> str:
-        return f"(?<![^{self.eol}])"
+        return r"(?<!.)(?<!\u0085)" if self.is_core else f"(?<![^{self.eol}])"
 
     def words(self, *words: str) -> str:
         """Pattern for any of the words standing alone. The look-ahead drops
@@ -67,7 +67,7 @@ CORE = Dialect(
     space_chars="\t\n\x0b\f\r \xa0" + "".join(map(chr, _WIDE_CHARS)) + "\ufeff",
     word=r"\w",
     digit="0123456789",
-    eol=r"\n\r\u2028\u2029",
+    eol=r"\n\r\u2028-\u2029",
 )
 SERVICE = Dialect(
     "service",

@@ -52,10 +52,11 @@ def decision_patterns(family: str, d: Dialect = CORE) -> dict[str, str]:
         words = ("if", "elif", "for", "while", "except", "and", "or")
         kinds = {w: d.words(w) for w in words}
         if d.is_core:
-            # One conditional expression per line at most. The atomic group
-            # stops at the first `if`, so a line is read a bounded number of times.
+            # One conditional expression per line at most. A match is the line from its
+            # first `if`, so a line is read once; group 1 tells whether an `else` follows.
+            other = d.words("else").replace("else", "(else)")
             kinds["if_else"] = (
-                rf"{d.line_start}(?>[^{d.eol}]*?{d.words('if')})[^{d.eol}]*{d.words('else')}"
+                rf"{d.words('if')}[^{d.eol}]*?(?:{other}|(?![^{d.eol}]))[^{d.eol}]*+"
             )
         return kinds
     kinds = {w: d.words(w) for w in ("if", "for", "while", "case", "catch")}
@@ -70,22 +71,27 @@ def decision_patterns(family: str, d: Dialect = CORE) -> dict[str, str]:
 
 def decision_counts(clean: Expr, family: str, d: Dialect = CORE) -> Expr:
     return F.struct(
-        *(count_of(clean, p).alias(k) for k, p in decision_patterns(family, d).items())
+        *(_kind_count(clean, k, p).alias(k) for k, p in decision_patterns(family, d).items())
     )
 
 
+def _kind_count(clean: Expr, kind: str, pattern: str) -> Expr:
+    if kind != "if_else":
+        return count_of(clean, pattern)
+    lines = F.regexp_extract_all(clean, F.lit(pattern), F.lit(1))
+    return F.when(F.contains(clean, "else"), F.size(F.array_remove(lines, ""))).otherwise(0)
+
+
 def cyclomatic_clean(clean: Expr, family: str, d: Dialect = CORE) -> Expr:
     """1 + all decisions. Kinds that cannot overlap share one pass."""
     kinds = decision_patterns(family, d)
     if family == PY:
-        passes = [d.words("if", "elif", "for", "while", "except", "and", "or")]
-        passes += [kinds["if_else"]] if d.is_core else []
-    else:
-        plain = d.words("if", "for", "while", "case", "catch")
-        passes = [rf"(?=[cfiw&|?])(?:{plain}|&&|\|\||\?\?)", kinds["else_if"], kinds["ternary"]]
-    hints = [None, "else", "?"]
+        total = 1 + count_of(clean, d.words("if", "elif", "for", "while", "except", "and", "or"))
+        return total + _kind_count(clean, "if_else", kinds["if_else"]) if d.is_core else total
+    plain = d.words("if", "for", "while", "case", "catch")
+    passes = [rf"(?=[cfiw&|?])(?:{plain}|&&|\|\||\?\?)", kinds["else_if"], kinds["ternary"]]
     total = F.lit(1)
-    for pattern, hint in zip(passes, hints):
+    for pattern, hint in zip(passes, (None, "else", "?")):
         total = total + count_of(clean, pattern, hint)
     return total
 
