@@ -4,6 +4,10 @@
 white space, four line terminators); ``service`` follows Python's (Unicode
 words, one line terminator). Java's own ``\\s``, ``\\b`` and ``.`` match
 neither, so every class is spelled out and words are bounded by look-around.
+
+A negated class holds one wide item at most: a pattern with a class of two took 0.17
+microseconds a character in one thread and 2 in eight of one JVM, for the type checks, it
+seems, that Java makes in a union of a union.
 """
 
 from __future__ import annotations

@@ -1,6 +1,5 @@
 """Edge cases with values worked out by hand from the rules."""
 
-import re
 import time
 
 import pytest
@@ -11,7 +10,6 @@ from srcgauge.functions import fixed, spans
 from srcgauge.functions import metrics as M
 from srcgauge.functions import sqltext as E
 from srcgauge.functions.dialect import CORE, SERVICE
-from srcgauge.functions.text import PY
 from srcgauge.operators import duplicates, files, functions, heat
 from srcgauge.plans import analysis
 from srcgauge.sources import code_files
