@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as SF
 
@@ -17,7 +18,7 @@ from ..functions import sqltext as F
 from ..functions.sqltext import Expr
 from ..functions.text import language_detect
 from . import dom
-from .dom import Element, Page, has, has_class, under
+from .dom import Element, Page, Selector, Tag, has, has_class, under
 
 # What marks a page as a file view.
 FILE_PAGE_TESTIDS = ("raw-button", "react-blob", "code-viewer")
@@ -39,11 +40,19 @@ def url_path(url: Expr) -> Expr:
 # Selectors of file names, code lines and whole blocks, in their order.
 NAME_SELECTORS = (
     has("data-testid", "breadcrumbs-filename"),
-    under(has("data-testid", "breadcrumbs"), lambda e: e.tag == "li" and e.after is None),
-    under(has_class("react-directory-filename-column"), lambda e: e.tag == "a"),
+    under(
+        has("data-testid", "breadcrumbs"), Selector(lambda t: t.name == "li", lambda e: e.after is None)
+    ),
+    under(has_class("react-directory-filename-column"), Selector(lambda t: t.name == "a")),
     has_class("final-path"),
     under(has("data-testid", tag="h2"), has_class("Link--primary")),
 )
+
+
+def _after_number(e: Element) -> bool:
+    return e.before is not None and "data-line-number" in e.before.kind.attributes
+
+
 LINE_SELECTORS = (
     under(has_class("react-code-line-contents"), has_class("react-code-text")),
     under(has_class("react-code-line-contents"), has("data-testid", "react-code-text")),
@@ -51,9 +60,9 @@ LINE_SELECTORS = (
     has_class("react-file-line"),
     has_class("blob-code", tag="td"),
     has_class("blob-code-inner", tag="td"),
-    lambda e: e.tag == "td" and e.before is not None and "data-line-number" in e.before.attributes,
-    lambda e: e.before is not None and "data-line-number" in e.before.attributes,
-    lambda e: "react-code-line" in e.classes or "blob-code" in e.classes,
+    Selector(lambda t: t.name == "td", _after_number),
+    Selector(lambda t: True, _after_number),
+    Selector(lambda t: "react-code-line" in t.classes or "blob-code" in t.classes),
 )
 TEXT_SELECTORS = (
     has_class("react-code-text"),
@@ -67,14 +76,18 @@ CODE_TAGS = ("pre", "code", "table")
 HINTS = ("data-testid", "blob-", "react-", "data-line-number", "final-path", "Link--primary", "highlight")
 
 
-def _marked(e: Element) -> bool:
+def _is_mark(t: Tag) -> bool:
     return (
-        e.attributes.get("data-testid") in FILE_PAGE_TESTIDS
-        or not e.classes.isdisjoint(FILE_PAGE_CLASSES)
-        or "data-line-number" in e.attributes
+        t.attributes.get("data-testid") in FILE_PAGE_TESTIDS
+        or not t.classes.isdisjoint(FILE_PAGE_CLASSES)
+        or "data-line-number" in t.attributes
     )
 
 
+def _marked(page: Page) -> bool:
+    return page.first(Selector(_is_mark)) is not None
+
+
 def _name(page: Page) -> str | None:
     for selector in NAME_SELECTORS:
         found = page.first(selector)
@@ -97,21 +110,30 @@ def _code(page: Page) -> str | None:
         if found := page.all(selector):
             return "\n".join(e.text for e in found)
     blob = has("data-testid", "react-blob")
-    wrapper = page.first(lambda e: "blob-wrapper" in e.classes or blob(e))
+    wrapper = page.first(Selector(lambda t: "blob-wrapper" in t.classes or blob.tag(t)))
     if wrapper is not None:
-        code = page.first(lambda e: e.tag in CODE_TAGS and e.inside(lambda x: x is wrapper))
+        code = page.first(
+            Selector(lambda t: t.name in CODE_TAGS, lambda e: e.inside(lambda x: x is wrapper))
+        )
         if code is not None:
             return code.text
     inside = under(has("data-hpc"), has_class("react-code-lines"))
     for selector in (
         has_class("data", "highlight"),
-        lambda e: inside(e) or "react-blob-print-hide" in e.classes,
+        Selector(lambda t: True, lambda e: inside(e) or "react-blob-print-hide" in e.kind.classes),
     ):
         if (found := page.first(selector)) is not None:
             return found.text
     return None
 
 
+def _hinted(html: Column) -> Column:
+    hinted = SF.lit(False)
+    for hint in HINTS:
+        hinted = hinted | SF.contains(html, SF.lit(hint))
+    return hinted
+
+
 def _reader(what: Callable[[Page], object], ddl: str) -> Callable[[Column], Column]:
     """A column function of the page source, null for pages without a hint."""
 
@@ -122,19 +144,16 @@ def _reader(what: Callable[[Page], object], ddl: str) -> Callable[[Column], Colu
                 [None if source is None else what(dom.read(source)) for source in batch], dtype=object
             )
 
-    def of(html: Column) -> Column:
-        hinted = SF.lit(False)
-        for hint in HINTS:
-            hinted = hinted | SF.contains(html, SF.lit(hint))
-        return read(SF.when(hinted, html))
+    return lambda html: read(SF.when(_hinted(html), html))
 
-    return of
+
+def _by_path(url: Expr) -> Column:
+    by_path = F.regexp_like(url_path(url), F.lit(r"^/[^/]+/[^/]+/blob/")).column
+    return SF.coalesce(by_path, SF.lit(False))
 
 
 def page_is_file(url: Expr, html: Expr) -> Column:
-    by_path = F.regexp_like(url_path(url), F.lit(r"^/[^/]+/[^/]+/blob/")).column
-    marked = _reader(lambda page: page.first(_marked) is not None, "boolean")
-    return SF.coalesce(by_path, SF.lit(False)) | SF.coalesce(marked(html.column), SF.lit(False))
+    return _by_path(url) | SF.coalesce(_reader(_marked, "boolean")(html.column), SF.lit(False))
 
 
 def page_repo_parts(url: Expr) -> Expr:
@@ -148,10 +167,13 @@ def page_repo_parts(url: Expr) -> Expr:
     )
 
 
+def _last_piece(url: Expr) -> Column:
+    return F.element_at(F.split(url_path(url), "/", -1), -1).column
+
+
 def page_file_name(url: Expr, html: Expr) -> Column:
     """First non-blank breadcrumb, else the last piece of the path."""
-    last = F.element_at(F.split(url_path(url), "/", -1), -1).column
-    return SF.coalesce(_reader(_name, "string")(html.column), last)
+    return SF.coalesce(_reader(_name, "string")(html.column), _last_piece(url))
 
 
 def page_code_text(html: Expr) -> Column:
@@ -159,19 +181,33 @@ def page_code_text(html: Expr) -> Column:
     return _reader(_code, "string")(html.column)
 
 
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Is it a file, what is it called, what does it show: answered on one reading."""
+    for batch in batches:
+        names, codes = [], []
+        for by_path, last, source in zip(*(batch.column(k).to_pylist() for k in ("by_path", "last", "html"))):
+            page = dom.read(source)
+            is_file = by_path or _marked(page)
+            codes.append(_code(page) if is_file else None)
+            names.append((_name(page) or last) if is_file else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("file_id"), pa.array(names, pa.string()), pa.array(codes, pa.string())],
+            names=["file_id", "filename", "code"],
+        )
+
+
 def pages_to_files(pages: DataFrame) -> DataFrame:
     """File pages of a supported language as (file_id, filename, code) rows.
 
-    The gates on URL and name come before the code is read.
+    A page is read once. One without a hint shows no code, so it is not sent.
     """
-    url, html, name = F.col("url"), F.col("html"), F.col("filename")
-    named = pages.filter(page_is_file(url, html)).select(
-        F.col("page_id").alias("file_id").column,
-        page_file_name(url, html).alias("filename"),
+    url = F.col("url")
+    sent = pages.filter(_hinted(SF.col("html"))).select(
+        SF.col("page_id").alias("file_id"),
+        _by_path(url).alias("by_path"),
+        _last_piece(url).alias("last"),
         "html",
     )
-    return (
-        named.filter((language_detect(name) != "unknown").column)
-        .select("file_id", "filename", page_code_text(html).alias("code"))
-        .filter("code is not null")
-    )
+    id_type = sent.schema["file_id"].dataType.simpleString()
+    read = sent.mapInArrow(_read_files, f"file_id {id_type}, filename string, code string")
+    return read.filter("code is not null").filter((language_detect(F.col("filename")) != "unknown").column)

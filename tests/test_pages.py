@@ -3,7 +3,7 @@
 import pytest
 
 from srcgauge.functions import sqltext as E
-from srcgauge.sources import pages
+from srcgauge.sources import dom, pages
 
 BLOB = "https://code.example.com/me/tool/blob/main/src/app.js"
 
@@ -93,3 +93,42 @@ def test_repo_parts(spark):
 )
 def test_file_name(spark, html, want):
     assert one(spark, pages.page_file_name(URL, HTML), html=html) == want
+
+
+def test_files_are_read_from_pages_once(spark):
+    rows = [
+        (1, BLOB, LAYOUTS["cells"]),
+        (2, "https://x.example/a/b.py", LAYOUTS["raw"]),  # shows code, but nothing says file
+        (3, "https://x.example/a/b.py", LAYOUTS["print"]),
+        (4, BLOB.replace(".js", ".md"), LAYOUTS["cells"]),
+        (5, BLOB, '<b data-testid="breadcrumbs-filename"> a.py </b>'),  # shows no code
+        (6, None, LAYOUTS["cells"]),
+        (7, BLOB, None),
+        (8, BLOB, "<p>a page</p>"),
+        (9, None, '<i class="final-path">d.py</i>' + LAYOUTS["numbered"]),
+    ]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    files = pages.pages_to_files(df)
+    code = "if (a < 1) {\n}"
+    assert sorted(map(tuple, files.collect())) == [(1, "app.js", code), (3, "b.py", code), (9, "d.py", code)]
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_tags_of_one_source_are_parsed_once(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(dom, "_known", {})
+    monkeypatch.setattr(dom, "_tag", lambda found, real=dom._tag: parsed.append(found[0]) or real(found))
+    page = dom.read('<ul class="a"><li>1<li>2</ul><!-- x --><!-- x --><ul class="a"><li>3</ul>')
+    assert sorted(parsed) == sorted(['<ul class="a">', "<li>", "</ul>", "<!-- x -->"])
+    assert [e.text for e in page.all(dom.has_class("a"))] == ["12", "3"]
+    assert [e.after is None for e in page.elements] == [False, False, True, True, True]
+
+
+def test_remembered_tags_are_bounded(monkeypatch):
+    monkeypatch.setattr(dom, "_known", {})
+    monkeypatch.setattr(dom, "KNOWN_TAGS", 10)
+    many = "".join(f"<td data-line-number={i}>{i}" for i in range(50)) + f"<p title='{'x' * 300}'>y</p>"
+    page = dom.read(many)
+    assert len(page.elements) == 51 and len(dom._known) <= 10
+    assert all(len(source) <= dom.KNOWN_LENGTH for source in dom._known)
