@@ -305,9 +305,21 @@ def rgb_part(color: Expr, part: int) -> Expr:
 
 
 def distinct_words(body: Expr, d: Dialect = CORE) -> Expr:
-    """The set of blank-separated words of a raw body; an empty body has ''."""
-    spaced = trim_runs(body, d)
-    return F.array_distinct(F.split(spaced, " ", -1))
+    """The set of blank-separated words of a raw body; an empty body has ''.
+
+    A body of ASCII whose only white space are blanks and newlines is cut at these alone.
+    """
+    others = [c for c in d.space_chars if c not in " \n" and c < "\x80"]
+    plain = F.octet_length(body) == F.length(body)
+    for c in others:
+        plain = plain & ~F.contains(body, c)
+    # Indents go before the cut, which would make an empty word of each blank.
+    blanks = F.replace(F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("    "), F.lit(" "))
+    cut = let(
+        F.array_remove(F.array_distinct(F.split(blanks, " ", -1)), ""),
+        lambda words: F.when(F.size(words) > 0, words).otherwise(F.array("")),
+    )
+    return F.when(plain, cut).otherwise(F.array_distinct(F.split(trim_runs(body, d), " ", -1)))
 
 
 def trim_runs(body: Expr, d: Dialect = CORE) -> Expr:

@@ -1,9 +1,8 @@
 """Finding functions in a file, without leaving the file's row.
 
 A pattern runs once over the code and wraps every match in two control
-characters. Dropping everything but marks and newlines then gives each match's
-line, and the marked text gives name and parameters; both are linear in the
-file. End lines come from one ordered walk over braces (or indents) that holds
+characters. The newlines between the marks then give each match's line, and the
+marked text gives name and parameters; both are linear in the file. End lines come from one ordered walk over braces (or indents) that holds
 only the functions still open.
 """
 
@@ -14,7 +13,7 @@ from string import ascii_letters, digits, punctuation
 from . import sqltext as F
 from .sqltext import Expr
 from . import fixed
-from .arrays import empty, first_of_runs, group_runs, let
+from .arrays import empty, first_of_runs, group_runs, let, running_sums
 from .dialect import CORE, Dialect
 from .text import PY, ltrim_space, trim_space
 
@@ -80,14 +79,23 @@ def params_py(text: Expr, d: Dialect = CORE) -> Expr:
 
 def _found(code: Expr, pattern: str) -> Expr:
     """Matches in text order: array of struct(line, text). The code is unmarked."""
-    marked = F.regexp_replace(code, f"({pattern})", f"{OPEN}$1{CLOSE}")
+    marked = F.regexp_replace(code, pattern, f"{OPEN}$0{CLOSE}")
 
     def read(m: Expr) -> Expr:
-        marks = F.split(F.regexp_replace(m, rf"[^{OPEN}\n]++", ""), "\n", -1)
-        line_nos = F.flatten(F.transform(marks, lambda k, i: F.array_repeat(i + 1, F.length(k))))
-        texts = F.regexp_extract_all(m, F.lit(f"{OPEN}([^{CLOSE}]*+){CLOSE}"), F.lit(1))
-        return F.zip_with(
-            line_nos, texts, lambda n, t: F.struct(n.alias("line"), t.alias("text"))
+        return let(F.split(m, OPEN, -1), of_parts)
+
+    def of_parts(parts: Expr) -> Expr:
+        # A match begins a part; its line is told by the newlines of the parts before.
+        before = running_sums(F.transform(parts, lambda p: newlines(p).cast("bigint")))
+        return let(
+            before,
+            lambda sums: F.transform(
+                F.slice(parts, F.lit(2), F.size(parts)),
+                lambda p, i: F.struct(
+                    (F.get(sums, i + 1) + 1).cast("int").alias("line"),
+                    F.substring_index(p, CLOSE, 1).alias("text"),
+                ),
+            ),
         )
 
     return let(
@@ -98,6 +106,11 @@ def _found(code: Expr, pattern: str) -> Expr:
     )
 
 
+def newlines(text: Expr) -> Expr:
+    """Number of newlines; counted in bytes, so no character is decoded."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def js_tails(d: Dialect = CORE) -> list[str]:
     """What has to follow the closing parenthesis, pattern by pattern."""
     return ["", "", rf"{d.s}*+\{{", *([rf"{d.s}*+=>"] if d.is_core else [])]
@@ -125,8 +138,14 @@ def searchable(code: Expr, tail: str) -> Expr:
         )
         return F.array_join(kept, ")")
 
-    many = F.regexp_like(code, F.lit(rf"(?:\([^()]*+){{{UNCLOSED_RUN}}}"))
-    return F.when(many, let(F.split(code, r"\)", -1), cut)).otherwise(code)
+    return let(F.split(code, r"\)", -1), cut)
+
+
+def has_unclosed_run(code: Expr) -> Expr:
+    """Whether so many parentheses open in a row. Most files are told by the byte search
+    alone: they hold fewer."""
+    held = F.octet_length(F.substring_index(code, "(", UNCLOSED_RUN)) < F.octet_length(code)
+    return held & F.regexp_like(code, F.lit(rf"(?:\([^()]*+){{{UNCLOSED_RUN}}}"))
 
 
 def unmarked(code: Expr) -> Expr:
@@ -138,9 +157,11 @@ def unmarked(code: Expr) -> Expr:
 def js_matches(code: Expr, d: Dialect = CORE) -> Expr:
     """All matches of all patterns: struct(start, name, pattern, seq, params)."""
 
-    def of(plain: Expr, k: int, pattern: str) -> Expr:
+    def of(x: Expr, k: int, pattern: str) -> Expr:
+        plain = x["plain"]
+        searched = F.when(x["run"], searchable(plain, js_tails(d)[k - 1])).otherwise(plain)
         return F.transform(
-            _found(searchable(plain, js_tails(d)[k - 1]), pattern),
+            _found(searched, pattern),
             lambda m, i: F.struct(
                 m["line"].alias("start"),
                 F.regexp_extract(m["text"], pattern, 1).alias("name"),
@@ -151,11 +172,15 @@ def js_matches(code: Expr, d: Dialect = CORE) -> Expr:
         )
 
     return let(
-        unmarked(code),
-        lambda plain: F.concat(*(of(plain, k, p) for k, p in enumerate(js_patterns(d), 1))),
+        let(unmarked(code), _with_run),
+        lambda x: F.concat(*(of(x, k, p) for k, p in enumerate(js_patterns(d), 1))),
     )
 
 
+def _with_run(plain: Expr) -> Expr:
+    return F.struct(plain.alias("plain"), has_unclosed_run(plain).alias("run"))
+
+
 def js_deduped(code: Expr, d: Dialect = CORE) -> Expr:
     """First match per (start, name), sorted by start line."""
     return first_of_runs(
@@ -167,8 +192,12 @@ def js_deduped(code: Expr, d: Dialect = CORE) -> Expr:
 def py_matches(code: Expr, d: Dialect = CORE, anchor: str = "reference") -> Expr:
     """All defs in text order: struct(start, name, pattern, seq, params, base)."""
     pattern = py_pattern(d, anchor)
+    searched = let(
+        unmarked(code),
+        lambda plain: F.when(has_unclosed_run(plain), searchable(plain, "")).otherwise(plain),
+    )
     return F.transform(
-        _found(let(unmarked(code), lambda plain: searchable(plain, "")), pattern),
+        _found(searched, pattern),
         lambda m, i: F.struct(
             m["line"].alias("start"),
             F.regexp_extract(m["text"], pattern, 2).alias("name"),
@@ -197,21 +226,30 @@ def _ends_of(done: Expr, key: str) -> Expr:
     )
 
 
-def _brace_ends(code: Expr, starts: Expr) -> Expr:
+def _brace_ends(code: Expr, lines: Expr, starts: Expr) -> Expr:
     """End line for every start line (sorted, distinct): array of int."""
     # Events sorted by (line, kind, at): a start precedes its line's braces.
+    def braces_of(text: Expr, i: Expr) -> Expr:
+        return F.transform(
+            F.regexp_extract_all(text, F.lit("[{}]"), F.lit(0)),
+            lambda c, j: F.struct(
+                (i + 1).alias("line"),
+                F.lit(1).alias("kind"),
+                j.alias("at"),
+                F.when(c == "{", 1).otherwise(-1).alias("step"),
+            ),
+        )
+
+    # Lines without a brace are null here, and no pattern is run on them.
     braces = F.flatten(
-        F.transform(
-            F.split(F.regexp_replace(code, r"[^{}\n]++", ""), "\n", -1),
-            lambda text, i: F.transform(
-                F.regexp_extract_all(text, F.lit("[{}]"), F.lit(0)),
-                lambda c, j: F.struct(
-                    (i + 1).alias("line"),
-                    F.lit(1).alias("kind"),
-                    j.alias("at"),
-                    F.when(c == "{", 1).otherwise(-1).alias("step"),
+        F.filter(
+            F.transform(
+                lines,
+                lambda text, i: F.when(
+                    F.contains(text, "{") | F.contains(text, "}"), braces_of(text, i)
                 ),
             ),
+            lambda found: found.is_not_null(),
         )
     )
     opens = F.transform(
@@ -261,7 +299,7 @@ def _brace_ends(code: Expr, starts: Expr) -> Expr:
             state(acc["depth"], F.concat(acc["open"], F.array(started)), acc["done"]),
         ).otherwise(brace(acc, e))
 
-    total = F.length(code) - F.length(F.replace(code, F.lit("\n"), F.lit(""))) + 1
+    total = newlines(code) + 1
 
     def finish(acc: Expr) -> Expr:
         rest = F.transform(
@@ -365,7 +403,7 @@ def _fn(hit: Expr, params: Expr) -> Expr:
     )
 
 
-def js_regions(code: Expr, d: Dialect = CORE) -> Expr:
+def js_regions(code: Expr, lines: Expr, d: Dialect = CORE) -> Expr:
     """Distinct start lines with end line and the functions that begin there.
 
     Functions of one start line share end and body, so a minified one-line file
@@ -376,7 +414,7 @@ def js_regions(code: Expr, d: Dialect = CORE) -> Expr:
         starts = F.transform(groups, lambda g: F.get(g, F.lit(0))["start"])
         return F.zip_with(
             groups,
-            _brace_ends(code, starts),
+            _brace_ends(code, lines, starts),
             lambda g, end: F.struct(
                 F.get(g, F.lit(0))["start"].alias("start"),
                 end.alias("end"),
@@ -418,7 +456,7 @@ def py_regions(
 def regions(
     code: Expr, lines: Expr, family: str, d: Dialect = CORE, anchor: str = "reference"
 ) -> Expr:
-    return py_regions(code, lines, d, anchor) if family == PY else js_regions(code, d)
+    return py_regions(code, lines, d, anchor) if family == PY else js_regions(code, lines, d)
 
 
 def body_of(lines: Expr, start: Expr, end: Expr) -> Expr:
