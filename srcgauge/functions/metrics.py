@@ -13,7 +13,7 @@ from .sqltext import Expr
 from . import fixed
 from .arrays import let
 from .dialect import CORE, Dialect
-from .text import JS, PY, by_language, count_of, strip_family
+from .text import JS, PY, by_language, count_of, ltrim_blanks, strip_family
 
 
 # -- rounding -----------------------------------------------------------------
@@ -314,7 +314,7 @@ def distinct_words(body: Expr, d: Dialect = CORE) -> Expr:
     for c in others:
         plain = plain & ~F.contains(body, c)
     # Indents go before the cut, which would make an empty word of each blank.
-    blanks = F.replace(F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("    "), F.lit(" "))
+    blanks = F.array_join(F.transform(F.split(body, "\n", -1), lambda line: ltrim_blanks(line)), " ")
     cut = let(
         F.array_remove(F.array_distinct(F.split(blanks, " ", -1)), ""),
         lambda words: F.when(F.size(words) > 0, words).otherwise(F.array("")),

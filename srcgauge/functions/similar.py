@@ -37,11 +37,14 @@ HEAD_DDL = "struct<ord:int,cell:int,line:int,name:string,sid:int,later:bigint,st
 FOUND_DDL = f"struct<cells:array<{CELL_DDL}>,heads:array<{HEAD_DDL}>>"
 #: Words of the parity, of 64 bits each.
 LANES = 2
+#: Functions of a file up to which its word sets are compared pair by pair first, which
+#: tells most such files from those with a duplicate.
+FEW = 8
 
 
 def word_classes(fns: Expr) -> Expr:
     """Functions grouped by equal word set: struct(sid, words, members). None, where no
-    function is long enough to be the first of a pair."""
+    function is long enough to be the first of a pair or few functions have no pair."""
     keyed = F.sort_array(
         F.transform(
             fns,
@@ -69,9 +72,27 @@ def word_classes(fns: Expr) -> Expr:
         ),
     )
     possible = (F.size(fns) > 1) & F.exists(fns, lambda f: f["loc"] > fixed.DUPLICATE_MIN_LOC)
+    possible = possible & ((F.size(fns) > FEW) | any_pair(fns))
     return F.when(possible, classes).otherwise(empty(CLASS_DDL))
 
 
+def any_pair(fns: Expr) -> Expr:
+    """Whether any two of some functions have near enough word sets; sizes come first."""
+
+    def near(a: Expr, b: Expr) -> Expr:
+        n1, n2 = F.size(a), F.size(b)
+        sizes = (n1 * 5 > n2 * 4) & (n2 * 5 > n1 * 4)
+        return sizes & close_enough(F.size(F.array_intersect(a, b)), n1, n2)
+
+    return F.exists(
+        F.sequence(F.lit(0), F.size(fns) - 1),
+        lambda i: let(
+            F.get(fns, i)["words"],
+            lambda a: F.exists(F.slice(fns, i + 2, F.size(fns)), lambda g: near(a, g["words"])),
+        ),
+    )
+
+
 def close_enough(shared: Expr, n1: Expr, n2: Expr) -> Expr:
     """Jaccard > 4/5 in whole numbers."""
     return shared * 5 > (n1 + n2 - shared) * 4

@@ -15,7 +15,7 @@ from .sqltext import Expr
 from . import fixed
 from .arrays import empty, first_of_runs, group_runs, let, running_sums
 from .dialect import CORE, Dialect
-from .text import PY, ltrim_space, trim_space
+from .text import PY, ltrim_once, trim_space
 
 OPEN, CLOSE = "\x01", "\x03"  # neither a word character nor white space
 
@@ -328,7 +328,7 @@ def _indent_ends(lines: Expr, hits: Expr, d: Dialect) -> Expr:
         F.transform(
             lines,
             lambda text, i: let(
-                F.length(ltrim_space(text, d)),
+                F.length(ltrim_once(text, d)),
                 lambda bare: F.struct(
                     (i + 1).alias("line"),
                     F.lit(0).alias("kind"),

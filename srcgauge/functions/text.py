@@ -42,6 +42,21 @@ def ltrim_space(text: Expr, d: Dialect = CORE) -> Expr:
     return F.ltrim(text, d.space_chars)
 
 
+def ltrim_blanks(text: Expr) -> Expr:
+    """Without leading blanks; much quicker than a trim of given characters."""
+    return F.call("ltrim", text)
+
+
+def ltrim_once(text: Expr, d: Dialect = CORE) -> Expr:
+    """``ltrim_space`` for lines: most are led by nothing but blanks."""
+    return let(
+        ltrim_blanks(text),
+        lambda bare: F.when(
+            F.contains(F.lit(d.space_chars), F.left(bare, F.lit(1))), ltrim_space(bare, d)
+        ).otherwise(bare),
+    )
+
+
 def line_split(code: Expr) -> Expr:
     return F.split(code, "\n", -1)
 

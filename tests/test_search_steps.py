@@ -4,9 +4,10 @@ import random
 
 import pytest
 
-from srcgauge.functions import metrics, spans
+from srcgauge.functions import metrics, similar, spans, text
 from srcgauge.functions import sqltext as E
 from srcgauge.functions.dialect import CORE, SERVICE
+from srcgauge.operators import duplicates
 
 CODE = E.col("code")
 
@@ -52,3 +53,34 @@ def test_word_sets(spark, d):
     spaced = values(spark, metrics.trim_runs(CODE, d), codes)
     assert [len(words) for words in got] == [len(set(words)) for words in got]
     assert [set(words) for words in got] == [set(text.split(" ")) for text in spaced]
+
+
+@pytest.mark.parametrize("d", [CORE, SERVICE], ids=lambda d: d.name)
+def test_lines_are_trimmed_once(spark, d):
+    codes = ["", " ", "a", "  a ", "\ta", " \t a", "\xa0a", "  é", "   x", "\x1c a", "\t", "　"]
+    assert values(spark, text.ltrim_once(CODE, d), codes) == values(spark, text.ltrim_space(CODE, d), codes)
+
+
+def test_few_functions_without_a_pair_are_told_by_their_words(spark):
+    body = "a b c d e f g h i j".split()
+    near, other = [*body, "k"], [*body[:8], "x", "y", "z"]
+    sets = [[], [body], [body, body], [body, other], [other, body, near], [other, body[:8]], [[""], [""]]]
+    rows = [(k, [(words, 9) for words in found]) for k, found in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i int, fns array<struct<words:array<string>,loc:int>>")
+    got = df.orderBy("i").filter("size(fns) > 1").select(similar.any_pair(E.col("fns")).column)
+    assert [r[0] for r in got.collect()] == [True, False, True, False, True]
+
+
+@pytest.mark.parametrize("extra", [0, 1, 8])
+def test_pairs_of_few_and_of_many_functions(spark, extra):
+    """The same pairs whether the quick comparison is made or not."""
+    lines = "\n".join(f"    w{i} = {i}" for i in range(12))
+    alone = lambda k: f"def g{k}():\n" + "\n".join(f"    u{k}_{i} = {i}" for i in range(9))
+    code = "\n".join([f"def f1():\n{lines}", *map(alone, range(extra)), f"def f2():\n{lines}"])
+    files = spark.createDataFrame([(1, "a.py", code)], "file_id int, filename string, code string")
+    pairs = duplicates.duplicate_pairs(files).collect()
+    assert [(p["first"], p["second"]) for p in pairs] == [("f1", "f2")]
+    lone = spark.createDataFrame(
+        [(1, "a.py", "\n".join(map(alone, range(extra + 2))))], "file_id int, filename string, code string"
+    )
+    assert duplicates.duplicate_pairs(lone).collect() == []
