@@ -152,7 +152,9 @@ def token_class(token: Expr, lang: Expr) -> Expr:
     return by_language(lang, of(PY), of(JS))
 
 
-def _halstead_struct(operators: Expr, operands: Expr, d: Dialect) -> Expr:
+def halstead_of(counts: Expr, d: Dialect = CORE) -> Expr:
+    """The metrics of struct(n1, n2, t1, t2), distinct and total operators and operands."""
+
     def numbers(c: Expr) -> Expr:
         n1, n2, t1, t2 = (c[k] for k in ("n1", "n2", "t1", "t2"))
         vocabulary, length = n1 + n2, t1 + t2
@@ -177,29 +179,33 @@ def _halstead_struct(operators: Expr, operands: Expr, d: Dialect) -> Expr:
             ),
         )
 
-    counts = let(
-        F.struct(operators.alias("ops"), operands.alias("opnds")),
-        lambda t: F.struct(
-            F.size(F.array_distinct(t["ops"])).alias("n1"),
-            F.size(F.array_distinct(t["opnds"])).alias("n2"),
-            F.size(t["ops"]).alias("t1"),
-            F.size(t["opnds"]).alias("t2"),
-        ),
-    )
     return let(counts, numbers)
 
 
-def halstead_clean(clean: Expr, family: str, d: Dialect = CORE) -> Expr:
+def operators_and_operands(tokens: Expr, family: str) -> Expr:
+    """struct(ops, opnds) of a text's tokens."""
     return let(
-        token_extract(clean, d),
-        lambda ts: _halstead_struct(
-            F.filter(ts, lambda t: is_operator(t, family)),
+        tokens,
+        lambda ts: F.struct(
+            F.filter(ts, lambda t: is_operator(t, family)).alias("ops"),
             F.filter(
                 F.filter(ts, lambda t: ~is_operator(t, family)), lambda t: ~has_symbol_head(t)
-            ),
-            d,
+            ).alias("opnds"),
+        ),
+    )
+
+
+def halstead_clean(clean: Expr, family: str, d: Dialect = CORE) -> Expr:
+    counts = let(
+        operators_and_operands(token_extract(clean, d), family),
+        lambda t: F.struct(
+            F.size(F.array_distinct(t["ops"])).alias("n1"),
+            F.size(F.array_distinct(t["opnds"])).alias("n2"),
+            F.size(t["ops"]).alias("t1"),
+            F.size(t["opnds"]).alias("t2"),
         ),
     )
+    return halstead_of(counts, d)
 
 
 def halstead(code: Expr, lang: Expr, d: Dialect = CORE) -> Expr:
@@ -271,18 +277,41 @@ def nesting_brace(body: Expr) -> Expr:
     )
 
 
+def _brace_part(text: Expr) -> Expr:
+    """struct(base, top) of some lines: how deep they end and their highest depth, which
+    is null without a brace."""
+    return F.aggregate(
+        F.regexp_extract_all(text, F.lit("[{}]"), F.lit(0)),
+        F.struct(F.lit(0).alias("base"), F.lit(None).cast("int").alias("top")),
+        lambda s, b: let(
+            s["base"] + F.when(b == "{", 1).otherwise(-1),
+            lambda n: F.struct(n.alias("base"), F.greatest(s["top"], n).alias("top")),
+        ),
+    )
+
+
 def nesting_indent(body: Expr, d: Dialect = CORE) -> Expr:
     """Deepest indent over the first non-blank line's, in steps of four."""
+    return let(_indent_part(body, d), lambda x: _indent_steps(x["top"], x["base"]))
+
+
+def _indent_steps(top: Expr, base: Expr) -> Expr:
+    return F.coalesce(F.floor((top - base) / F.lit(4.0)).cast("int"), F.lit(0))
+
+
+def _indent_part(text: Expr, d: Dialect) -> Expr:
+    """struct(base, top) of some lines: the first indent and the deepest; null without a
+    non-blank line."""
     indents = F.transform(
         F.regexp_extract_all(
-            body, F.lit(rf"(?<![^\n])([{d.inline_space}]*+)(?=[^{d.space}])"), F.lit(1)
+            text, F.lit(rf"(?<![^\n])([{d.inline_space}]*+)(?=[^{d.space}])"), F.lit(1)
         ),
         lambda lead: F.length(lead),
     )
     return let(
         indents,
-        lambda xs: F.coalesce(
-            F.floor((F.array_max(xs) - F.get(xs, F.lit(0))) / F.lit(4.0)).cast("int"), F.lit(0)
+        lambda xs: F.struct(
+            F.get(xs, F.lit(0)).alias("base"), F.array_max(xs).alias("top")
         ),
     )
 
@@ -291,6 +320,28 @@ def nesting(body: Expr, family: str, d: Dialect = CORE) -> Expr:
     return nesting_indent(body, d) if family == PY else nesting_brace(body)
 
 
+def nesting_part(text: Expr, family: str, d: Dialect = CORE) -> Expr:
+    """What some lines add to the nesting of a body that holds them."""
+    return _indent_part(text, d) if family == PY else _brace_part(text)
+
+
+def nesting_of(parts: Expr, family: str) -> Expr:
+    """The nesting of the lines that the parts are of, one after the other."""
+    if family == PY:
+        bases = F.filter(F.transform(parts, lambda x: x["base"]), lambda n: n.is_not_null())
+        top = F.array_max(F.transform(parts, lambda x: x["top"]))
+        return _indent_steps(top, F.get(bases, F.lit(0)))
+    return F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("top")),
+        lambda s, x: F.struct(
+            (s["depth"] + x["base"]).alias("depth"),
+            F.greatest(s["top"], s["depth"] + x["top"]).alias("top"),
+        ),
+        lambda s: s["top"],
+    )
+
+
 def return_count(body: Expr, d: Dialect = CORE) -> Expr:
     return count_of(body, d.words("return"), "return")
 

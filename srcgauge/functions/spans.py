@@ -29,13 +29,14 @@ def js_patterns(d: Dialect = CORE) -> list[str]:
     """Declaration, variable, call-like block and (core) arrow patterns.
 
     Group 1 is the name, group 2 the parameter text. Names start at a word
-    start and are possessive, so long words cost one pass.
+    start and are possessive, so long words cost one pass. A look-ahead at the first
+    letter drops most positions before words are tried.
     """
     s, w = d.s, d.w
     params = r"\(([^)]*+)\)"
     patterns = [
-        rf"(?:async{s}++)?function{s}++({w}++){s}*+{params}",
-        rf"(?:const|let|var){s}++({w}++){s}*+={s}*+(?:async{s}++)?(?:function{s}*+)?{params}{s}*+(?:=>)?",
+        rf"(?=[af])(?:async{s}++)?function{s}++({w}++){s}*+{params}",
+        rf"(?=[clv])(?:const|let|var){s}++({w}++){s}*+={s}*+(?:async{s}++)?(?:function{s}*+)?{params}{s}*+(?:=>)?",
         rf"(?={w})(?<!{w})({w}++){s}*+{params}{s}*+\{{",
     ]
     if d.is_core:

@@ -153,6 +153,10 @@ def ltrim(text: Expr, chars: str = " ") -> Expr:
     return Expr(f"trim(leading {_quote(chars)} from {text.text})")
 
 
+def rtrim(text: Expr, chars: str = " ") -> Expr:
+    return Expr(f"trim(trailing {_quote(chars)} from {text.text})")
+
+
 def __getattr__(name: str) -> Callable[..., Expr]:
     """Any other name is the Spark function of that name."""
     if name.startswith("_"):

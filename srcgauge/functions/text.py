@@ -98,11 +98,15 @@ def line_counts(code: Expr, lang: Expr, d: Dialect = CORE) -> Expr:
     comment = by_language(
         lang, count_of(led, rf"{lead}#"), count_of(led, rf"{lead}(?://|/\*|\*)")
     )
-    return F.struct(
-        loc.alias("loc"),
-        (loc - blank - comment).alias("sloc"),
-        blank.alias("blankLines"),
-        comment.alias("commentLines"),
+    counted = F.struct(loc.alias("loc"), blank.alias("blank"), comment.alias("comment"))
+    return let(
+        counted,
+        lambda n: F.struct(
+            n["loc"].alias("loc"),
+            (n["loc"] - n["blank"] - n["comment"]).alias("sloc"),
+            n["blank"].alias("blankLines"),
+            n["comment"].alias("commentLines"),
+        ),
     )
 
 
@@ -111,6 +115,15 @@ def strip_family(code: Expr, family: str, d: Dialect = CORE) -> Expr:
 
     A rule only runs on a text that holds its opening mark.
     """
+    if family != PY:
+        code = let(code, _block_comments)
+    for mark, pattern, blank in _strip_rules(family, d):
+        code = let(code, _rule(mark, pattern, blank))
+    return code
+
+
+def _strip_rules(family: str, d: Dialect) -> list[tuple[str, str, str]]:
+    """Mark, pattern and what takes its place, in order; a block comment goes before."""
     if family == PY:
         rules = [
             ("'''", r"(?s)'''.*?'''", ""),
@@ -122,12 +135,48 @@ def strip_family(code: Expr, family: str, d: Dialect = CORE) -> Expr:
             ("//", rf"//{d.rest_of_line}", ""),
             ("`", "`[^`]*+`", '""'),
         ]
+    return [*rules, ("'", "'[^']*+'", '""'), ('"', '"[^"]*+"', '""')]
+
+
+def strip_closed(code: Expr, family: str, d: Dialect = CORE) -> Expr:
+    """``strip_family`` of whole lines, and whether no rule could go on behind them:
+    struct(text, closed). Closed pieces that follow one another, joined by newlines, are
+    stripped piece by piece as they are in one."""
+
+    def state(text: Expr, closed: Expr) -> Expr:
+        return F.struct(text.alias("text"), closed.alias("closed"))
+
+    def step(found: Expr, mark: str, changed: Expr, closed: Callable[[Expr], Expr]) -> Expr:
+        after = let(changed, lambda text: state(text, found["closed"] & closed(text)))
+        return F.when(F.contains(found["text"], mark), after).otherwise(found)
+
+    def rule(mark: str, pattern: str, blank: str) -> Callable[[Expr], Expr]:
+        def of(found: Expr) -> Expr:
+            text = found["text"]
+            if len(mark) == 3:  # a mark that is left has no partner
+                closed = lambda rest: ~F.contains(rest, mark)
+            elif blank:  # every second mark ends a match
+                closed = lambda _: marks(text, mark) % 2 == 0
+            else:  # the rest of a line
+                closed = lambda _: F.lit(True)
+            return step(found, mark, F.regexp_replace(text, pattern, blank), closed)
+
+        return of
+
+    found = state(code, F.lit(True))
     if family != PY:
-        code = let(code, _block_comments)
-    rules += [("'", "'[^']*+'", '""'), ('"', '"[^"]*+"', '""')]
-    for mark, pattern, blank in rules:
-        code = let(code, _rule(mark, pattern, blank))
-    return code
+        found = let(
+            found,
+            lambda f: step(f, "/*", _block_comments(f["text"]), lambda rest: ~F.contains(rest, "/*")),
+        )
+    for mark, pattern, blank in _strip_rules(family, d):
+        found = let(found, rule(mark, pattern, blank))
+    return found
+
+
+def marks(text: Expr, mark: str) -> Expr:
+    """How often an ASCII character occurs; counted in bytes."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
 
 def _block_comments(text: Expr) -> Expr:

@@ -110,9 +110,14 @@ def token_totals(files: DataFrame, profile: str | Dialect = CORE) -> DataFrame:
 
 
 def summary_struct(
-    code: Expr, lang: Expr, function_count: Expr | None, d: Dialect = CORE
+    code: Expr,
+    lang: Expr,
+    function_count: Expr | None,
+    d: Dialect = CORE,
+    whole: Expr | None = None,
 ) -> Expr:
-    """The summary of one file; the stripped text is built once."""
+    """The summary of one file; the stripped text is built once, or not at all if the
+    file's own metrics ``whole`` are known from its function table."""
 
     def family(fam: str) -> Expr:
         return let(
@@ -125,7 +130,7 @@ def summary_struct(
 
     measured = E.struct(
         T.line_counts(code, lang, d).alias("lines"),
-        T.by_language(lang, family(T.PY), family(T.JS)).alias("m"),
+        (T.by_language(lang, family(T.PY), family(T.JS)) if whole is None else whole).alias("m"),
     )
 
     def of(x: Expr) -> Expr:

@@ -21,11 +21,14 @@ def with_functions(
     want: Iterable[str] = (),
     anchor: str = "reference",
 ) -> DataFrame:
-    """Supported files with their function table in the array column ``fns``."""
+    """Supported files with their function table in the array column ``fns``; with
+    ``whole`` among the wanted, the file's own metrics in the column of that name."""
     d = dialect(profile)
-    return supported(files).withColumn(
-        "fns", fntable.function_table(CODE, LANG, d, want, anchor).column
-    )
+    known = supported(files)
+    kept = [*known.columns, "fns", *([fntable.WHOLE] if fntable.WHOLE in want else [])]
+    for name, step in fntable.steps(CODE, LANG, d, want, anchor).items():
+        known = known.withColumn(name, step.column)
+    return known.select(*kept)
 
 
 def explode_rows(df: DataFrame, items: Expr, name: str, *keys: str) -> DataFrame:

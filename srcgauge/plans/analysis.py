@@ -47,7 +47,8 @@ def function_tables(
         want = (*want, "words")
     cases = findings.case_count(CODE, LANG, d) if d.is_core else E.lit(0)
     found = with_functions(files, d, want, anchor)
-    return found.select(*KEYS, "code", "fns", cases.alias("cases").column)
+    own = [fntable.WHOLE] if fntable.WHOLE in want else []
+    return found.select(*KEYS, "code", "fns", *own, cases.alias("cases").column)
 
 
 def issues_of(
@@ -242,7 +243,7 @@ def analyze(
     which carry on its ``linterIssues`` and whose other arrays are empty.
     """
     d = dialect(profile)
-    want = ("cc", "halstead", "nesting", "returns")
+    want = ("cc", "halstead", "nesting", "returns", fntable.WHOLE)
     found = with_issues(files, d, thresholds, want, anchor)
     if d.is_core:
         blocks = similar.head_blocks(FOUND, DOCUMENT_PAIRS)
@@ -262,7 +263,7 @@ def analyze(
     only_once = lambda items: E.when(whole, items).otherwise(E.slice(items, 1, 0))
     return found.select(
         *KEYS,
-        summary_struct(CODE, LANG, E.size(FNS), d).alias("summary").column,
+        summary_struct(CODE, LANG, E.size(FNS), d, E.col("whole")).alias("summary").column,
         only_once(E.transform(FNS, fntable.public_function)).alias("functions").column,
         E.concat(only_once(E.col("issues")), pairs).alias("linterIssues").column,
         only_once(findings.suggestions(FNS, LANG, d)).alias("refactorSuggestions").column,
