@@ -200,11 +200,34 @@ def _sets(size: int):
     return run
 
 
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose two sides meet in the tasks, never a broadcast.
+
+    Whether a table is broadcast follows the size of its files, in which ids are packed: its
+    hash table takes several times that in the driver, and a loop leaves many of them there.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+def _open(pairs: DataFrame) -> bool:
+    """Whether (a, b) links are more than stars: a node is a centre and a leaf, or a leaf twice."""
+    ends = F.explode(
+        F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("leaf")),
+                F.struct(F.col("b").alias("node"), F.lit(1).alias("leaf")))
+    )
+    nodes = pairs.select(ends.alias("end")).groupBy("end.node")
+    return not (
+        nodes.agg(F.sum("end.leaf").alias("leaf"), F.min("end.leaf").alias("least"))
+        .filter("leaf > 1 or (leaf = 1 and least = 0)")
+        .isEmpty()
+    )
+
+
 def components(links: DataFrame, purpose: str) -> DataFrame:
     """Connected components of (a, b) links: one row per node, its smallest reachable node.
 
     Each split joins its own links by union-find first, which leaves a forest of
-    stars. Then large-star and small-star steps alternate until nothing changes;
+    stars. Then large-star and small-star steps alternate until only stars are left;
     each is an aggregation and a join by node, and its result is written, so no
     component has to fit into a task.
     """
@@ -236,27 +259,22 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
         yield stars()
 
     pairs = stored(links.select("a", "b").mapInArrow(forest, "a long, b long"), purpose)
-    state = None
-    while True:
+    while _open(pairs):
         # Large star: larger neighbours of a node go to the smallest around it.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+        large = _join(both.filter("b > a"), least, "a").select(F.col("m").alias("a"), "b")
         large = large.distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(
+        small = _join(large, least, "b").select(
             F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")
         )
         pairs = stored(
             small.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(),
             purpose,
         )
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
@@ -266,8 +284,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(right, "b")
-        .join(left, "a")
+        _join(_join(pairs, right, "b"), left, "a")
         .filter(100 * both >= percent * (F.size("x") + F.size("y") - both))
         .select("a", "b")
     )
@@ -285,7 +302,7 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 def _unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members, with their component, of buckets that hold several components."""
     roots = found.select(F.col("node").alias("doc_id"), "root")
-    now = members.drop("root").join(roots, "doc_id", "left")
+    now = _join(members.drop("root"), roots, "doc_id", "left")
     now = now.withColumn("root", F.coalesce("root", "doc_id"))
     several = (
         now.groupBy("key")
@@ -293,7 +310,7 @@ def _unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
         .filter("r1 < r2")
         .select("key")
     )
-    return stored(now.join(several, "key", "left_semi"), "unresolved")
+    return stored(_join(now, several, "key", "left_semi"), "unresolved")
 
 
 def _compare(percent: int):
@@ -344,7 +361,8 @@ def _across(open_: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int)
     family = components(stars, "families")
     docs = open_.select("doc_id", "root").distinct()
     docs = stored(
-        docs.join(
+        _join(
+            docs,
             family.select(F.col("node").alias("doc_id"), F.col("root").alias("family")),
             "doc_id",
             "left",
@@ -360,6 +378,7 @@ def _across(open_: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int)
         "family", "m.major", blocks(F.col("all") - F.col("m.n")).alias("rest"),
         blocks(F.col("m.n")).alias("major_blocks"),
     )
+    sizes = stored(sizes, "families")  # so that the join of a large family can be split
     draw = F.xxhash64("doc_id")
     own = F.when(
         F.col("root") == F.col("major"), F.col("rest") + F.pmod(draw, F.col("major_blocks"))
@@ -371,13 +390,12 @@ def _across(open_: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int)
         F.sequence(F.lit(0), F.col("rest") + F.col("major_blocks") - 1)
     )
     dealt = (
-        docs.join(sizes, "family")
+        _join(docs, sizes, "family")
         .withColumn("block", own.cast("int"))
         .select("doc_id", "root", "family", "block", F.transform(to, pair).alias("pairs"))
     )
     full = (
-        dealt.join(sketch.select("doc_id", "bands", "kept"), "doc_id")
-        .join(sets, "doc_id")
+        _join(_join(dealt, sketch.select("doc_id", "bands", "kept"), "doc_id"), sets, "doc_id")
         .select("*", F.inline("pairs"))
         .drop("pairs")
     )
@@ -418,7 +436,7 @@ def near_duplicates(
         "classes",
     )
     firsts = classes.select(F.col("first").alias("doc_id"), *sets_of)
-    marked = real.join(firsts, ["doc_id", *sets_of], "left_semi")
+    marked = _join(real, firsts, ["doc_id", *sets_of], "left_semi")
 
     banded = stored(
         marked.select("doc_id", F.explode("bands").alias("key")), "bands"
@@ -430,7 +448,7 @@ def near_duplicates(
         "buckets",
     )
     members = stored(
-        banded.join(shared.drop("z"), "key").select("key", "a", "members", "doc_id"),
+        _join(banded, shared.drop("z"), "key").select("key", "a", "members", "doc_id"),
         "members",
     )
     pairs = stored(
@@ -439,7 +457,7 @@ def near_duplicates(
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(
         members.filter("members > 2").select("doc_id")
     )
-    texts = rows.join(wanted.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = _join(rows, wanted.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = stored(
         texts.mapInArrow(_sets(words_per_shingle), "doc_id long, elements array<long>"), "sets"
     )
@@ -449,12 +467,10 @@ def near_duplicates(
 
     digests = sketch.select("doc_id", *sets_of)
     copies = classes.filter("copies > 1").select("first", *sets_of)
-    with_class = digests.join(copies, sets_of, "left").withColumn(
+    with_class = _join(digests, copies, sets_of, "left").withColumn(
         "first", F.coalesce("first", "doc_id")
     )
-    with_root = with_class.join(
-        found.withColumnsRenamed({"node": "first"}), "first", "left"
-    )
+    with_root = _join(with_class, found.withColumnsRenamed({"node": "first"}), "first", "left")
     component = F.coalesce("root", F.when(F.col("n") > 0, F.col("first")), "doc_id")
     return with_root.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from srcgauge.llm import neardup
 from srcgauge.llm.catalog import op6_super_minhash
 from srcgauge.llm.neardup import components, near_duplicates, shingles, signatures
 from tests.llm.brute import groups, shingle_set
@@ -84,6 +85,36 @@ def test_components_of_paths_and_stars(spark):
     assert {roots[i] for i in [*range(7, 60)]} == {3}
 
 
+def test_no_table_is_broadcast(frame, families, monkeypatch):
+    """Whatever the files' sizes, no join sends a table through the driver."""
+    plans = []
+    store = neardup.stored
+
+    def seen(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, purpose)
+
+    monkeypatch.setattr(neardup, "stored", seen)
+    result = near_duplicates(frame(families).repartition(3), 2)
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    assert found(result) == groups(families, 2)
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    """Links that are stars already are written once; equal links of two splits are one."""
+    purposes = []
+    store = neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, p: purposes.append(p) or store(df, p))
+    stars = spark.createDataFrame([(1, 2), (1, 3), (5, 9)], "a long, b long")
+    assert sorted(map(tuple, components(stars.coalesce(1), "one").collect())) == [(2, 1), (3, 1), (9, 5)]
+    assert purposes == ["one"]
+    twice = stars.unionByName(stars)
+    assert sorted(map(tuple, components(twice, "two").collect())) == [(2, 1), (3, 1), (9, 5)]
+    assert components(stars.limit(0), "none").count() == 0
+
+
 def test_edge_rows(frame):
     rows = [
         (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one"), (6, "one"),
