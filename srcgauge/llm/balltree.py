@@ -15,10 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgauge.llm.shards import Best, finite, search_all
+from srcgauge.llm.shards import Best, finite, narrowed, search_all
 
 LEAF_ROWS = 256
-#: Products of whole numbers stay exact in double precision below this.
+#: Products of whole numbers stay exact in single and in double precision below these.
+EXACT_SINGLE = float(1 << 24)
 EXACT = float(1 << 53)
 
 
@@ -55,21 +56,29 @@ def build(ids: np.ndarray, matrix: np.ndarray, _: int) -> BallTree:
             spans += [[low, low + half, -1], [low + half, high, -1]]
         node += 1
     return BallTree(
-        ids[order], matrix[order], np.array(centres), np.array(radii), np.array(spans)
+        ids[order], narrowed(matrix[order]), np.array(centres), np.array(radii), np.array(spans)
     )
 
 
+def _exact_type(left: np.ndarray, right: np.ndarray) -> type:
+    """The type in which inner products of whole numbers are exact: floating point where it
+    is, else 64-bit integers, whose sums are right whenever the product fits."""
+    top = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
+    return np.float32 if top < EXACT_SINGLE else np.float64 if top < EXACT else np.int64
+
+
 def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers as 64-bit integers: by way of doubles where these are
-    exact, else in integers, whose sums are right whenever the product fits."""
-    top = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0))
-    if top * left.shape[1] < EXACT:
-        return (left @ right.T).astype(np.int64)
-    return left.astype(np.int64) @ right.astype(np.int64).T
+    return left @ right.T
 
 
-def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int):
-    best = Best(ids, bound, k)
+def search(
+    tree: BallTree, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int,
+    best: Best | None = None,
+):
+    best = best or Best(ids, bound, k)
+    rows = tree.rows.astype(np.float64)
+    exact = _exact_type(queries, rows)
+    whole, rows = queries.astype(exact), rows.astype(exact)
     norms = np.sqrt((queries**2).sum(axis=1))
     # Rounding may not cut a node: widen its bound a little.
     reach = queries @ tree.centres.T + np.outer(norms, tree.radii)
@@ -85,10 +94,11 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, bound: np.ndarr
         if child < 0:
             for a in range(low, high, LEAF_ROWS):
                 b = min(high, a + LEAF_ROWS)
-                best.offer(active, tree.ids[a:b], _products(queries[active], tree.rows[a:b]))
+                best.offer(active, tree.ids[a:b], _products(whole[active], rows[a:b]))
             continue
         for c in (child, child + 1):
             heapq.heappush(heap, (-float(reach[active, c].max()), int(c), active))
+    best.settle()
     return best.at, best.found, best.score
 
 

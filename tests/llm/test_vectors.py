@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.dataset as ds
 import pytest
 
-from srcgauge.llm import balltree, forest
+from srcgauge.llm import balltree, forest, shards
 from srcgauge.llm.balltree import exact_top_k
 from srcgauge.llm.catalog import op2_projection_forest, op9_ball_tree
 from srcgauge.llm.forest import nearest
@@ -73,6 +73,49 @@ def test_bound_prunes_subtrees(monkeypatch):
     assert score.tolist() == sorted((rows @ queries[0]).tolist(), reverse=True)[:5]
 
 
+def test_many_small_shards_and_blocks(spark, monkeypatch):
+    """Whatever the tiles, the best are exact; a tile returns k rows of a query at most, also
+    where it has many shards, so rows grow with the tiles and not with the shards."""
+    monkeypatch.setattr(shards, "TILE_BLOCKS", 3)
+    monkeypatch.setattr(shards, "TILE_SHARDS", 8)
+    monkeypatch.setattr(shards, "TILES_A_CORE", 0)
+    tiles, store, made = [], shards.search_tiles, []
+    monkeypatch.setattr(
+        shards, "search_tiles", lambda *a: tiles.append(a[1]) or made.append(store(*a)) or made[-1]
+    )
+    rng = np.random.default_rng(8)
+    data = [(i, rng.normal(size=5).round(3).tolist()) for i in range(1200)]
+    data += [(i, rng.normal(size=3).round(3).tolist()) for i in range(1200, 1300)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    vectors = df.selectExpr("vec_id", "transform(embedding, x -> cast(floor(64 * x) as double)) as vector")
+    asked = vectors.vec_id % 20 == 0
+    result = shards.search_all(
+        vectors, asked, balltree.build, balltree.search, 7, shard_rows=32, block_rows=8, kind="long"
+    )
+    whole = [(i, np.floor(64 * np.array(x))) for i, x in data]
+    want = {}
+    for size in (5, 3):
+        want |= brute([r for r in whole if len(r[1]) == size], 7, lambda a, b: int(a @ b))
+    assert grouped(result.collect()) == want
+    blocks, rest = tiles  # one home each, then groups of blocks by groups of shards
+    assert blocks >= 6 and rest <= 15
+    assert made[1].count() <= 65 * 7 * 6
+
+
+def test_shards_take_the_least_bytes_and_one_row_a_group(spark, tmp_path):
+    numbers = np.array([[1.0, -128.0], [64.0, 3.0]])
+    for top, kind in ((127, np.int8), (30_000, np.int16), (1 << 30, np.int32), (1 << 40, np.float32)):
+        small = shards.narrowed(np.append(numbers[:, :1], [[float(top)]], axis=0))
+        assert small.dtype == kind and small.max() == top
+    assert shards.narrowed(np.array([[0.1]])).dtype == np.float64
+    assert shards.narrowed(np.array([[2.0**53 + 2]])).dtype == np.float64
+    vectors = spark.range(0, 40_000, 1, 1).selectExpr("id as vec_id", "transform(sequence(1, 64), x -> rand(3)) as vector")
+    made = shards.in_shards(vectors, lambda ids, m, _: (ids, m), 10_000)
+    made.write.options(**shards.LARGE_ROWS).parquet(f"{tmp_path}/x")
+    groups = [g.num_rows for f in ds.dataset(f"{tmp_path}/x").get_fragments() for g in f.row_groups]
+    assert sum(groups) == 4 and max(groups) <= 3
+
+
 def test_forest_query_recall_and_scores(spark, vectors):
     ids, matrix = vectors
     found = grouped(op2_projection_forest(spark, SMALL).collect())
